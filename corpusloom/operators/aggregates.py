@@ -76,25 +76,47 @@ def length_stats(df: DataFrame, col: str, by: Sequence[str] = (), approx: int |
     return counts.groupBy(*by).agg(*aggs)
 
 
-def describe(df: DataFrame, cols: Sequence[str], approx: int | None = None) -> DataFrame:
-    """count, mean, sample deviation, min, quartiles, max and nulls: one row per column.
+def _quantiles(counts: DataFrame, probs: Sequence[float]) -> DataFrame:
+    """Exact quantiles of (v, c) rows, one per distinct value, as one row q0, q1, ...
 
-    Exact quartiles keep one counter per distinct value of a column, spread by pre-counting;
-    give `approx` (an accuracy) for a column of unbounded distinct values.
+    Few distinct values go through the exact aggregate. More of them are sorted over range
+    partitions, where each value knows the places it covers.
     """
+    if counts.limit(skew.GROUP_LIMIT + 1).count() <= skew.GROUP_LIMIT:
+        return counts.agg(*[F.percentile("v", F.lit(p), F.col("c")).alias(f"q{i}") for i, p in enumerate(probs)])
+    placed = skew.running_total(counts, [F.col("v")], F.col("c"), "before")
+    total = counts.agg(F.sum("c").alias("t"))
+    placed = placed.join(F.broadcast(total))  # a one-row table
+    out = []
+    for i, p in enumerate(probs):
+        at = (F.col("t") - 1) * F.lit(p)
+        here = lambda pos: F.max(F.when((F.col("before") <= pos) & (pos < F.col("before") + F.col("c")), F.col("v")))
+        lo, hi, part = here(F.floor(at)), here(F.ceil(at)), F.max(at - F.floor(at))
+        out.append((lo + (hi - lo) * part).alias(f"q{i}"))
+    return placed.agg(*out)
+
+
+def describe(df: DataFrame, cols: Sequence[str], approx: int | None = None) -> DataFrame:
+    """count, mean, sample deviation, min, quartiles, max and nulls: one row per column.
+    Quartiles are exact; `approx` (an accuracy) takes a sketch instead."""
     out = None
+    probs = (0.25, 0.5, 0.75)
     for c in cols:
         v = F.col(c).cast("double")
-        if approx:
-            q = [F.percentile_approx(v, p, approx) for p in (0.25, 0.5, 0.75)]
-        else:
-            q = [F.percentile(v, p) for p in (0.25, 0.5, 0.75)]
         row = df.agg(
-            F.lit(c).alias("column"), F.count(v).alias("count"), F.avg(v).alias("mean"),
-            F.stddev_samp(v).alias("std"), F.min(v).alias("min"),
-            q[0].alias("p25"), q[1].alias("p50"), q[2].alias("p75"), F.max(v).alias("max"),
+            F.lit(c).alias("column"), F.lit(df.schema[c].dataType.simpleString()).alias("type"),
+            F.count(v).alias("count"), F.avg(v).alias("mean"),
+            F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"),
             F.sum(v.isNull().cast("bigint")).alias("nulls"),
-        ).withColumn("type", F.lit(df.schema[c].dataType.simpleString()))
+            *([F.percentile_approx(v, p, approx).alias(f"q{i}") for i, p in enumerate(probs)] if approx else []),
+        )
+        if not approx:
+            counts = df.select(v.alias("v")).where("v IS NOT NULL").groupBy("v").agg(F.count(F.lit(1)).alias("c"))
+            row = row.join(F.broadcast(_quantiles(counts, probs)))  # one row beside one row
+        row = row.select(
+            "column", "type", "count", "mean", "std", "min", F.col("q0").alias("p25"), F.col("q1").alias("p50"),
+            F.col("q2").alias("p75"), "max", "nulls",
+        )
         out = row if out is None else out.unionByName(row)
     return out
 

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from corpusloom.functions import text
@@ -58,12 +59,16 @@ def _grams(words: Column, n: int) -> Column:
     return F.when(F.size(words) >= n, got).otherwise(F.array().cast("array<string>"))
 
 
+def _tagged(n: int, side: int):
+    return lambda g: F.struct(F.lit(n).alias("n"), g.alias("g"), F.lit(side).alias("r"))
+
+
 def _clipped(rows: DataFrame, orders: Sequence[int]) -> DataFrame:
     """(id, n, clip): n-gram matches per row, a hypothesis gram counted at most as often as in the
     reference. Both sides go through one count keyed by (row, n, gram)."""
     side = lambda col, sign: F.concat(
         *[
-            F.transform(_grams(F.col(col), n), lambda g, n=n: F.struct(F.lit(n).alias("n"), g.alias("g"), F.lit(sign).alias("r")))
+            F.transform(_grams(F.col(col), n), _tagged(n, sign))
             for n in orders
         ]
     )
@@ -109,7 +114,7 @@ def corpus_bleu(df: DataFrame, id_col: str, ref: str, hyp: str, n: int = 4) -> D
     )
 
 
-@pandas_udf("int")
+@pandas_udf(T.IntegerType())
 def _lcs(a: pd.Series, b: pd.Series) -> pd.Series:
     """Longest common subsequence lengths; the table's column is one bit vector."""
     def one(x, y) -> int:

@@ -36,6 +36,10 @@ def render_choices(question: Column | str, choices: Column | str, preamble: str
     )
 
 
+def _has(field: str):
+    return lambda e: e[field].isNotNull()
+
+
 def strip_fences(c: Column | str) -> Column:
     return F.regexp_replace(_c(c), "```(json|yaml)?", "")
 
@@ -54,7 +58,7 @@ def parse_fenced(
     if isinstance(struct, T.ArrayType):
         elements = F.col(out)
         for f in required:
-            ok = ok & F.forall(elements, lambda e, f=f: e[f].isNotNull())
+            ok = ok & F.forall(elements, _has(f))
         ok = F.col(out).isNotNull() & F.coalesce(ok, F.lit(False))
     else:
         for f in required:

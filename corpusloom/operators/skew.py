@@ -82,6 +82,17 @@ def dense_ids(df: DataFrame, order: Sequence[Column | str], out: str = "row_id")
     return s.join(F.broadcast(offs), "_p").withColumn(out, F.col("_i") + F.col("_off")).drop("_p", "_i", "_off")
 
 
+def running_total(df: DataFrame, order: Sequence[Column], value: Column, out: str) -> DataFrame:
+    """Sum of `value` over all earlier rows of the whole table, by range partitions."""
+    s = _spread(df.withColumn("_v", value), order)
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    # One row per range partition.
+    offs = s.groupBy("_p").agg(F.sum("_v").alias("_s")).select("_p", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_off"))
+    local = Window.partitionBy("_p").orderBy("_i").rowsBetween(Window.unboundedPreceding, -1)
+    s = s.withColumn("_loc", F.coalesce(F.sum("_v").over(local), F.lit(0))).join(F.broadcast(offs), "_p")
+    return s.withColumn(out, F.col("_loc") + F.col("_off")).drop("_p", "_i", "_v", "_loc", "_off")
+
+
 def running_before(
     df: DataFrame,
     part: Sequence[str],

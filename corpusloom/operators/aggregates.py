@@ -82,11 +82,10 @@ def _quantiles(counts: DataFrame, probs: Sequence[float]) -> DataFrame:
     Few distinct values go through the exact aggregate. More of them are sorted over range
     partitions, where each value knows the places it covers.
     """
-    if counts.limit(skew.GROUP_LIMIT + 1).count() <= skew.GROUP_LIMIT:
+    if counts.count() <= skew.GROUP_LIMIT:
         return counts.agg(*[F.percentile("v", F.lit(p), F.col("c")).alias(f"q{i}") for i, p in enumerate(probs)])
     placed = skew.running_total(counts, [F.col("v")], F.col("c"), "before")
-    total = counts.agg(F.sum("c").alias("t"))
-    placed = placed.join(F.broadcast(total))  # a one-row table
+    placed = placed.withColumn("t", counts.agg(F.sum("c")).scalar())
     out = []
     for i, p in enumerate(probs):
         at = (F.col("t") - 1) * F.lit(p)
@@ -99,26 +98,35 @@ def _quantiles(counts: DataFrame, probs: Sequence[float]) -> DataFrame:
 def describe(df: DataFrame, cols: Sequence[str], approx: int | None = None) -> DataFrame:
     """count, mean, sample deviation, min, quartiles, max and nulls: one row per column.
     Quartiles are exact; `approx` (an accuracy) takes a sketch instead."""
-    out = None
     probs = (0.25, 0.5, 0.75)
-    for c in cols:
-        v = F.col(c).cast("double")
-        row = df.agg(
+    vals = {c: F.col(c).cast("double") for c in cols}
+    # A table within the limit takes its exact quartiles in the same pass as everything else.
+    inline = approx is None and df.count() <= skew.GROUP_LIMIT
+
+    def quart(v: Column, i: int) -> Column:
+        return F.percentile_approx(v, probs[i], approx) if approx else F.percentile(v, probs[i])
+
+    def one(c: str) -> Column:
+        v = vals[c]
+        return F.struct(
             F.lit(c).alias("column"), F.lit(df.schema[c].dataType.simpleString()).alias("type"),
-            F.count(v).alias("count"), F.avg(v).alias("mean"),
-            F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"),
-            F.sum(v.isNull().cast("bigint")).alias("nulls"),
-            *([F.percentile_approx(v, p, approx).alias(f"q{i}") for i, p in enumerate(probs)] if approx else []),
-        )
-        if not approx:
-            counts = df.select(v.alias("v")).where("v IS NOT NULL").groupBy("v").agg(F.count(F.lit(1)).alias("c"))
-            row = row.join(F.broadcast(_quantiles(counts, probs)))  # one row beside one row
-        row = row.select(
-            "column", "type", "count", "mean", "std", "min", F.col("q0").alias("p25"), F.col("q1").alias("p50"),
-            F.col("q2").alias("p75"), "max", "nulls",
-        )
-        out = row if out is None else out.unionByName(row)
-    return out
+            F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"),
+            *[(quart(v, i) if approx or inline else F.lit(None).cast("double")).alias(n) for i, n in enumerate(("p25", "p50", "p75"))],
+            F.max(v).alias("max"), F.sum(v.isNull().cast("bigint")).alias("nulls"),
+        ).alias(f"_{c}")
+
+    rows = df.agg(*[one(c) for c in cols]).select(F.inline(F.array(*[f"`_{c}`" for c in cols])))
+    if approx or inline:
+        return rows
+    quarts = None
+    for c in cols:
+        counts = df.select(vals[c].alias("v")).where("v IS NOT NULL").groupBy("v").agg(F.count(F.lit(1)).alias("c"))
+        q = _quantiles(counts, probs).withColumn("column", F.lit(c))
+        quarts = q if quarts is None else quarts.unionByName(q)
+    return rows.drop("p25", "p50", "p75").join(quarts, "column").select(
+        "column", "type", "count", "mean", "std", "min", F.col("q0").alias("p25"), F.col("q1").alias("p50"),
+        F.col("q2").alias("p75"), "max", "nulls",
+    )
 
 
 def prompt_length_summary(df: DataFrame, col: str = "prompt") -> DataFrame:

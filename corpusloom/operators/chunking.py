@@ -63,8 +63,8 @@ def section_chunks(
     step = max(max_len - overlap, 1)
     size = max_len if true_overlap else step
     cut = df.withColumn("_w", text.tokens("content")).select(
-        "page_id", "title", "pos", "heading", F.inline(_windows(F.col("_w"), step, size))
-    )
+        "page_id", "title", "pos", "heading", F.inline_outer(_windows(F.col("_w"), step, size))
+    ).where("chunk IS NOT NULL")  # an inner `inline` would build the windows twice, to filter on their number
     cut = cut.where(text.est_tokens("chunk") >= floor)
     topic = F.when(
         F.pmod(text.unit_hash("page_id", "pos", "no", F.lit(seed)), F.lit(2)) == 0,
@@ -119,11 +119,11 @@ def packed_chunks(df: DataFrame, max_len: int, overlap: int, floor: float = 5, s
     step = max(max_len - overlap, 1)
     got = df.withColumn("_whole", whole).select(
         "page_id", "title",
-        F.posexplode(F.when(text.est_tokens("_whole") >= max_len, packs).otherwise(F.array("_whole"))).alias("pack", "body"),
+        F.posexplode_outer(F.when(text.est_tokens("_whole") >= max_len, packs).otherwise(F.array("_whole"))).alias("pack", "body"),
     )
     got = got.withColumn("_w", text.tokens("body")).select(
-        "page_id", "title", "pack", F.inline(_windows(F.col("_w"), step, step))
-    )
+        "page_id", "title", "pack", F.inline_outer(_windows(F.col("_w"), step, step))
+    ).where("chunk IS NOT NULL")
     got = got.withColumn("input", F.concat("title", F.lit(", "), "chunk"))
     return got.where(text.est_tokens("input") >= floor).select(
         "page_id", "pack", F.col("no").alias("chunk_no"), "input", F.lit("").alias("response")

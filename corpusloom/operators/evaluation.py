@@ -72,7 +72,8 @@ def _clipped(rows: DataFrame, orders: Sequence[int]) -> DataFrame:
             for n in orders
         ]
     )
-    long = rows.select("id", F.inline(F.concat(side("h", 0), side("f", 1))))
+    # An inner `inline` would infer a filter on the array's size, and build all grams twice.
+    long = rows.select("id", F.inline_outer(F.concat(side("h", 0), side("f", 1)))).where("g IS NOT NULL")
     return (
         long.groupBy("id", "n", "g")
         .agg(F.sum(1 - F.col("r")).alias("ch"), F.sum("r").alias("cr"))

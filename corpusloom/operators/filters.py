@@ -21,7 +21,8 @@ def drop_tombstones(df: DataFrame, col: str, values: Sequence[str] = fixed.TOMBS
 
 
 def filter_min_tokens(df: DataFrame, col: str, floor: float) -> DataFrame:
-    return df.where((text.word_count(col) > 0) & (text.est_tokens(col) >= floor))
+    enough = text.est_tokens(col) >= floor
+    return df.where(enough if floor > 0 else enough & (text.word_count(col) > 0))
 
 
 def count_by_length(df: DataFrame, col: str, cut: float) -> DataFrame:
@@ -72,7 +73,7 @@ def matched_keywords(df: DataFrame, col: str, words: Sequence[str], mode: str =
         hits = F.array_intersect(lits, text.tokens(low))
     else:
         hits = F.filter(lits, lambda w: F.contains(low, w))
-    return df.withColumn(out, hits)
+    return df.withColumn(out, F.coalesce(hits, F.array().cast("array<string>")))
 
 
 def filter_tag_like(df: DataFrame, tags: str, sub: str) -> DataFrame:

@@ -86,7 +86,7 @@ def annotate_gazetteer(
         hits = _scan(docs.select(id_col, text_col), text_col, pairs, out).select(id_col, F.inline(out))
         got = hits if got is None else got.unionByName(hits)
     merged = got.groupBy(id_col).agg(
-        F.array_sort(F.collect_list(F.struct("title", "start_word", "end_word", "entity_type"))).alias(out)
+        F.sort_array(F.collect_list(F.struct("title", "start_word", "end_word", "entity_type"))).alias(out)
     )
     empty = F.array().cast(_HITS)
     return docs.join(merged, id_col, "left").withColumn(out, F.coalesce(out, empty))

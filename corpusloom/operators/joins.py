@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.functions import fixed
 from corpusloom.operators import skew
 
 
@@ -14,14 +15,14 @@ def denorm_posts_comments(posts: DataFrame, comments: DataFrame, list_limit: int
     Only comments on posts match: replies carry another parent prefix. A post whose
     list exceeds `list_limit` continues in rows with `piece` 1, 2, ...
     """
-    # Comments without a matching post cannot reach the result, so they are dropped before the sort.
-    kept = comments.join(posts.select(F.col("post_id").alias("parent_id")).distinct(), "parent_id", "left_semi")
+    # Replies to comments never match; the prefix test reaches the scan and spares their shuffle.
+    kept = comments.where(F.startswith(F.col("parent_id"), F.lit(fixed.POST_PREFIX)))
     placed = skew.place_within(kept, ["parent_id"], "score", [F.col("id")], list_limit)
     placed = placed.withColumn("piece", F.floor((F.col("rn") - 1) / list_limit).cast("int"))
     lists = (
         placed.groupBy("parent_id", "piece")
         .agg(
-            F.array_sort(
+            F.sort_array(
                 F.collect_list(
                     F.struct("rn", F.struct("body", "ups", "score", "downs", F.col("rank").cast("int").alias("rank")).alias("v"))
                 )

@@ -12,6 +12,8 @@ bucket table however large a bucket is: members are never paired with each other
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -19,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from corpusloom.functions import text as tx
+from corpusloom.operators import skew
 from corpusloom.session import stable
 
 # Rounds on band buckets before the open remainder moves to the exact shared-shingle filter.
@@ -92,7 +95,7 @@ def _band_table(sets: DataFrame, threshold: float, num_perm: int, seed: int = 1)
     def run(s: pd.Series) -> pd.Series:
         return s.map(lambda v: _bands(np.asarray(v, dtype=np.int64), a, b, bands, rows))
 
-    return sets.select("id", F.posexplode(run("s")).alias("band", "bucket"))
+    return sets.select("id", F.size("s").alias("n"), F.posexplode(run("s")).alias("band", "bucket"))
 
 
 def minhash_bands(
@@ -115,22 +118,43 @@ def _prefix_keys(sets: DataFrame, threshold: float) -> DataFrame:
     first |x| - ceil(t|x|) + 1 of any common order. Rarest first keeps boilerplate out.
     """
     long = sets.select("id", F.size("s").alias("n"), F.explode("s").alias("key"))
-    freq = long.groupBy("key").agg(F.count(F.lit(1)).alias("f"))
+    freq = skew.small(stable(long.groupBy("key").agg(F.count(F.lit(1)).alias("f")).where("f > 1")))
+    # Shingles of one row only come first in the order and lead to nobody, so only their
+    # number matters: shared ones are the only rows that go on.
+    shared = long.join(freq, "key")
+    w = Window.partitionBy("id")
     # The slack keeps ceil() from rounding an exact product up and losing a position.
     need = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1
-    by = Window.partitionBy("id").orderBy("f", "key")
+    alone = F.col("n") - F.count(F.lit(1)).over(w)
     return (
-        long.join(freq, "key")
-        .withColumn("at", F.row_number().over(by))
-        .where((F.col("at") <= need) & (F.col("f") > 1))
-        .select("id", "key")
+        shared.withColumn("at", alone + F.row_number().over(w.orderBy("f", "key")))
+        .where(F.col("at") <= need)
+        .select("id", "n", "key")
+    )
+
+
+def _by_size(keys: DataFrame, threshold: float) -> DataFrame:
+    """(id, n, key) with `key` split by set size, so that sets of very different size do not meet.
+
+    Jaccard >= t needs sizes within a factor t. Classes are a little wider than that factor, and
+    each row joins its own class and the next one, so every such pair still shares a key.
+    """
+    if threshold <= 0:
+        return keys.select("id", "key")
+    width = -math.log(min(threshold, 0.99) * 0.999)
+    own = F.floor(F.log(F.greatest(F.col("n"), F.lit(1))) / width)
+    return keys.select("id", "key", F.explode(F.array(own, own + 1)).alias("c")).select(
+        "id", F.xxhash64("key", "c").alias("key")
     )
 
 
 def _greedy(sets: DataFrame, keys: DataFrame, threshold: float, max_rounds: int | None) -> tuple[list[DataFrame], DataFrame | None]:
     """Run rounds; returns the dropped (id, kept_id, similarity) of each and the open rest."""
     gone_all: list[DataFrame] = []
-    left = stable(keys)
+    # A key of one row leads to no comparison, and most rows have no other kind.
+    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    left = stable(keys.join(shared.select("key"), "key", "left_semi"))
+    sets = stable(sets.join(left.select("id").distinct(), "id", "left_semi"))
     rounds = 0
     while not left.isEmpty():
         if max_rounds is not None and rounds >= max_rounds:
@@ -167,13 +191,13 @@ def _dropped(
     heads = keyed.join(firsts.select("id"), "id", "left_semi")
     sets = stable(shingle_sets(heads, "id", "text", ngrams))
     if num_perm is None:
-        parts, _ = _greedy(sets, _prefix_keys(sets, threshold), threshold, None)
+        parts, _ = _greedy(sets, _by_size(_prefix_keys(sets, threshold), threshold), threshold, None)
     else:
-        table = _band_table(sets, threshold, num_perm).select("id", F.xxhash64("band", "bucket").alias("key"))
-        parts, rest = _greedy(sets, table, threshold, BAND_ROUNDS)
+        table = _band_table(sets, threshold, num_perm).select("id", "n", F.xxhash64("band", "bucket").alias("key"))
+        parts, rest = _greedy(sets, _by_size(table, threshold), threshold, BAND_ROUNDS)
         if rest is not None:
             open_sets = sets.join(rest.select("id").distinct(), "id", "left_semi")
-            more, _ = _greedy(sets, _prefix_keys(open_sets, threshold), threshold, None)
+            more, _ = _greedy(sets, _by_size(_prefix_keys(open_sets, threshold), threshold), threshold, None)
             parts += more
     copies = (
         hashed.join(firsts.where("c > 1").select("h", F.col("id").alias("kept_id")), "h")

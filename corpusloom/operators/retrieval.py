@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as tx
 from corpusloom.operators import gazetteer, sampling, skew
+from corpusloom.session import stable
 
 K1 = 1.2
 B = 0.75
@@ -32,29 +33,39 @@ def bm25(
 ) -> DataFrame:
     """(query_id, doc_id, score, pos): the best `k` documents per query.
 
-    Documents are cut to query terms before anything is shuffled; term counts are combined
-    map-side, and the top-k filter keeps k rows per query and task before the last shuffle.
+    The text is cut into terms once: only query terms leave that pass, with one row per
+    document under the empty term that carries its length. Term counts are combined map-side,
+    and the top-k filter keeps k rows per query and task before the last shuffle.
     """
     q = (
         queries.select(F.col(query_id).alias("query_id"), F.explode(terms(query_text)).alias("term"))
         .groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
     )
-    words = docs.select(F.col(doc_id).alias("doc_id"), terms(doc_text).alias("w"))
-    stats = words.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("w")).alias("avgdl"))
-    wanted = skew.small(q.select("term").distinct())
-    tf = (
-        words.select("doc_id", F.size("w").alias("dl"), F.explode("w").alias("term"))
-        .join(wanted, "term").groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    q = stable(q)
+    # Everything joined to documents below has at most the rows of `q`, plus one.
+    few = q.count() <= skew.BROADCAST_ROWS
+    mark = F.broadcast if few else (lambda x: x)
+    every = docs.sparkSession.range(1).select(F.lit("").alias("term"))
+    wanted = q.select("term").distinct().unionByName(every)
+    words = docs.select(F.col(doc_id).alias("doc_id"), F.array_append(terms(doc_text), F.lit("")).alias("w"))
+    # An inner explode would infer a filter on the array's size, and cut every text twice.
+    long = words.select("doc_id", (F.size("w") - 1).alias("dl"), F.explode_outer("w").alias("term"))
+    tf = stable(
+        long.join(mark(wanted), "term").groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    )
+    whole = tf.where("term = ''").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+    n, avgdl = whole.select("n").scalar(), whole.select("avgdl").scalar()
+    hits = tf.where("term <> ''")
+    df_ = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    weights = q.join(df_, "term").select(
+        "query_id", "term", "qtf", F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf")
     )
-    df_ = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    n, avgdl = stats.select("n").scalar(), stats.select("avgdl").scalar()
-    weights = q.join(df_, "term").withColumn("idf", F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     score = (
         F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1)
         / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / avgdl))
     )
     scored = (
-        tf.join(skew.small(weights.select("query_id", "term", "qtf", "idf")), "term")
+        hits.join(mark(weights), "term")
         .groupBy("query_id", "doc_id").agg(F.round(F.sum(score), 6).alias("score"))
     )
     return sampling.top_k(scored, ["query_id"], [F.desc("score"), F.asc("doc_id")], k)
@@ -78,7 +89,7 @@ def hit_lists(hits: DataFrame, docs: DataFrame, top: int, doc_id: str = "doc_id"
     # `top` bounds each group.
     best = hits.where(F.col("pos") <= top).join(docs.select(F.col(doc_id).alias("doc_id"), F.col(doc_text).alias("body")), "doc_id")
     return (
-        best.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("pos", "body"))).alias("l"))
+        best.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("pos", "body"))).alias("l"))
         .select("query_id", tx.numbered_list(F.transform("l", lambda x: x["body"])).alias("background"))
     )
 

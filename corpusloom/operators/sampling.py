@@ -37,13 +37,9 @@ def sample_n(df: DataFrame, n: int, seed: int, key: str) -> DataFrame:
 def draw_n(df: DataFrame, n: int, seed: int, key: str) -> DataFrame:
     """`n` draws with replacement: draw i takes the row at a hashed place."""
     rows = skew.dense_ids(df, [F.col(key)], "_at")
-    total = rows.agg(F.count(F.lit(1)).alias("_n"))
-    draws = (
-        df.sparkSession.range(n).withColumnRenamed("id", "draw")
-        .join(F.broadcast(total))  # a one-row table
-        .where(F.col("_n") > 0)
-        .withColumn("_at", F.pmod(text.unit_hash("draw", F.lit(seed)), F.col("_n")))
-        .drop("_n")
+    total = rows.agg(F.count(F.lit(1)).alias("_n")).scalar()
+    draws = df.sparkSession.range(n).withColumnRenamed("id", "draw").withColumn(
+        "_at", F.pmod(text.unit_hash("draw", F.lit(seed)), F.greatest(total, F.lit(1)))
     )
     return rows.join(draws, "_at").drop("_at")
 

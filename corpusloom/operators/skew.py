@@ -30,8 +30,11 @@ def _same(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> Column:
 
 
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark `df` for broadcast only if it has at most `limit` rows."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+    """Mark `df` for broadcast only if it has at most `limit` rows.
+
+    Counted, not limited: a limit would bring `limit` rows of every partition to one task.
+    """
+    return F.broadcast(df) if df.count() <= limit else df
 
 
 def join_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -40,8 +43,13 @@ def join_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str =
     return left.join(r, _same(left, r, keys), how).drop(*[f"_k_{k}" for k in keys])
 
 
-def split_hot(df: DataFrame, keys: Sequence[str], limit: int = GROUP_LIMIT) -> tuple[DataFrame, DataFrame | None]:
-    """(rows of groups up to `limit`, rows of larger groups or None)."""
+def split_hot(
+    df: DataFrame, keys: Sequence[str], limit: int = GROUP_LIMIT
+) -> tuple[DataFrame, DataFrame | None]:
+    """(rows of groups up to `limit`, rows of larger groups or None).
+
+    The check reads the key columns only, and combines their counts before it shuffles them.
+    """
     hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit).drop("_n")
     # There can be at most rows/limit of them; still checked before any broadcast.
     if hot.isEmpty():
@@ -190,6 +198,6 @@ def ordered_lists(
     n = number_within(df, part, order, "_rn", limit=list_limit)
     n = n.withColumn("piece", F.floor((F.col("_rn") - 1) / list_limit).cast("int"))
     got = n.groupBy(*part, "piece").agg(
-        F.array_sort(F.collect_list(F.struct(F.col("_rn"), F.struct(*picked).alias("_v")))).alias("_l")
+        F.sort_array(F.collect_list(F.struct(F.col("_rn"), F.struct(*picked).alias("_v")))).alias("_l")
     )
     return got.select(*part, "piece", F.transform("_l", lambda x: x["_v"]).alias(out))

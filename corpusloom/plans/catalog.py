@@ -38,7 +38,7 @@ def docs(spark: SparkSession, sf_dir: str, *cols: str) -> DataFrame:
 
 def cents(c: Column | str) -> Column:
     col = F.col(c) if isinstance(c, str) else c
-    return F.round(col * 100).cast("bigint")
+    return F.floor(col * 100 + 0.5).cast("bigint")
 
 
 def load() -> None:

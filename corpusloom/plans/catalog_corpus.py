@@ -69,9 +69,10 @@ def near_dup_lsh(s, d):
 
 @query("minhash_index")
 def minhash_index(s, d):
-    # The index of the documents, matched against the benchmark passages as a later batch.
-    index = neardup.minhash_bands(docs(s, d), "doc_id", "text", num_perm=64)
-    later = neardup.minhash_bands(spread(table(s, d, "benchmark"), "item_id"), "item_id", "text", num_perm=64)
+    # The index holds the labelled documents; the documents without labels come as a later batch.
+    x, seen = docs(s, d), table(s, d, "labels").select("doc_id")
+    index = neardup.minhash_bands(x.join(seen, "doc_id", "left_semi"), "doc_id", "text", num_perm=64)
+    later = neardup.minhash_bands(x.join(seen, "doc_id", "left_anti"), "doc_id", "text", num_perm=64)
     return neardup.match_index(later, index)
 
 
@@ -201,7 +202,7 @@ def eval_sample(s, d):
 def turn_pairs(s: SparkSession, d: str) -> DataFrame:
     """Each user turn with the assistant turn right after it."""
     c = table(s, d, "conversations")
-    u = c.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("question"))
+    u = spread(c, "conv_id").where("role = 'user'").select("conv_id", "turn", F.col("text").alias("question"))
     a = c.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer"))
     return u.join(a, ["conv_id", "turn"]).withColumn("id", F.col("conv_id") * 100 + F.col("turn"))
 

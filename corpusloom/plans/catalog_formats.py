@@ -147,7 +147,7 @@ def subtitle_cues(s, d):
     cue = F.concat(
         (F.col("turn") + 1).cast("string"), F.lit("\n00:00:01,000 --> 00:00:02,000\n<i>"), F.md5("text"), F.lit("</i>\n"), F.col("role"), F.lit("\n")
     )
-    files = c.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", cue.alias("c")))), lambda x: x["c"]), "\n").alias("value"))
+    files = c.groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", cue.alias("c")))), lambda x: x["c"]), "\n").alias("value"))
     path = scratch_path(s, "srt")
     files.write.partitionBy("conv_id").text(path)
     cues = readers.read_srt(s, f"{path}/*/*.txt").withColumn("episode", F.regexp_extract("path", r"conv_id=(\d+)", 1).cast("bigint"))

@@ -22,8 +22,8 @@ def _posts(s: SparkSession, d: str) -> DataFrame:
 
 @query("denorm_posts_comments", """
 WITH p AS (SELECT 't3_' || o_orderkey AS post_id FROM orders WHERE o_orderstatus NOT IN ('F')),
-r AS (SELECT 't3_' || l_orderkey AS parent_id, CAST(round(l_extendedprice * 100) AS BIGINT) AS score,
-        rank() OVER (PARTITION BY l_orderkey ORDER BY CAST(round(l_extendedprice * 100) AS BIGINT) DESC) AS rk FROM lineitem),
+r AS (SELECT 't3_' || l_orderkey AS parent_id, CAST(floor(l_extendedprice * 100 + 0.5) AS BIGINT) AS score,
+        rank() OVER (PARTITION BY l_orderkey ORDER BY CAST(floor(l_extendedprice * 100 + 0.5) AS BIGINT) DESC) AS rk FROM lineitem),
 g AS (SELECT parent_id, count(*) AS n, max(score) AS best,
         string_agg(rk || ':' || score, ',' ORDER BY rk, score) AS l FROM r GROUP BY 1)
 SELECT post_id, 0 AS piece, coalesce(n, 0) AS n_comments, best AS best_score, l AS ranked
@@ -50,8 +50,8 @@ def tombstone_filter(s, d):
 
 
 @query("rank_within_parent", """
-SELECT l_orderkey, l_linenumber, l_partkey, CAST(round(l_extendedprice * 100) AS BIGINT) AS score,
-  rank() OVER (PARTITION BY l_orderkey ORDER BY CAST(round(l_extendedprice * 100) AS BIGINT) DESC) AS rank
+SELECT l_orderkey, l_linenumber, l_partkey, CAST(floor(l_extendedprice * 100 + 0.5) AS BIGINT) AS score,
+  rank() OVER (PARTITION BY l_orderkey ORDER BY CAST(floor(l_extendedprice * 100 + 0.5) AS BIGINT) DESC) AS rank
 FROM lineitem""")
 def rank_within_parent(s, d):
     l = table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", cents("l_extendedprice").alias("score"))
@@ -69,11 +69,11 @@ def suffixed_join(s, d):
 
 
 @query("id_difference", """
-SELECT 'left_only' AS side, c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)
+SELECT 'left_only' AS side, c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM events)
 UNION ALL
-SELECT DISTINCT 'right_only' AS side, o_custkey AS id FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)""")
+SELECT DISTINCT 'right_only' AS side, user_id AS id FROM events WHERE user_id NOT IN (SELECT c_custkey FROM customer)""")
 def id_difference(s, d):
-    return joins.id_diff(table(s, d, "customer"), table(s, d, "orders"), "c_custkey", "o_custkey")
+    return joins.id_diff(table(s, d, "customer"), table(s, d, "events"), "c_custkey", "user_id")
 
 
 @query("pending_work", "SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")

@@ -22,7 +22,7 @@ def prompt_factory(
     arr = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(i).alias("instruction"), F.lit(g).alias("guideline")) for n, i, g in templates])
     if per_passage > 0:
         keyed = F.transform(arr, lambda t: F.struct(F.md5(F.concat_ws("\u0001", F.col(id_col).cast("string"), t["name"], F.lit(str(seed)))).alias("h"), t.alias("t")))
-        arr = F.transform(F.slice(F.array_sort(keyed), 1, per_passage), lambda x: x["t"])
+        arr = F.transform(F.slice(F.sort_array(keyed), 1, per_passage), lambda x: x["t"])
     rows = passages.withColumn("_body", body).select(id_col, "_body", F.inline(arr))
     return rows.select(
         id_col, "name",

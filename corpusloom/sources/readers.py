@@ -44,7 +44,9 @@ def read_xml_rows(spark: SparkSession, glob: str, columns: list[str]) -> DataFra
     line = F.trim(F.regexp_replace("value", "[\r﻿]", ""))
     lines = spark.read.text(glob).where(line.rlike(r"^<row\s.*/>$"))
     # A field named for corrupt records tells a broken line from one without attributes.
-    rec = F.from_xml(line, schema, {"columnNameOfCorruptRecord": "_bad", "mode": "PERMISSIVE"})
+    rec = F.from_xml(line, schema, {
+        "columnNameOfCorruptRecord": "_bad", "mode": "PERMISSIVE", "ignoreSurroundingSpaces": "false",
+    })
     return (
         lines.select(rec.alias("r")).where(F.col("r").isNotNull() & F.col("r._bad").isNull())
         .select(*[F.col(f"r._{c}").alias(c) for c in columns])

@@ -35,7 +35,7 @@ def rotated_arrays(df: DataFrame, order: Sequence[Column | str], rotate: int = 1
     r = with_rotation(df, order, rotate)
     return (
         r.groupBy("file_idx")
-        .agg(F.array_sort(F.collect_list(F.struct("pos", F.struct(*cols).alias("r")))).alias("l"))
+        .agg(F.sort_array(F.collect_list(F.struct("pos", F.struct(*cols).alias("r")))).alias("l"))
         .select("file_idx", F.size("l").alias("records"), F.to_json(F.transform("l", lambda x: x["r"])).alias("value"))
     )
 
@@ -71,8 +71,8 @@ def upsert_parquet(df: DataFrame, path: str, key: str, order: Sequence[Column],
     if _exists(spark, path):
         new = stable(new)
         old = spark.read.parquet(path)
-        touched = F.broadcast(new.select("bucket").distinct())  # at most `buckets` rows
-        rest = old.join(touched, "bucket", "left_semi").join(new.select(key), key, "left_anti")
+        touched = [r["bucket"] for r in new.select("bucket").distinct().collect()]  # at most `buckets` numbers
+        rest = old.where(F.col("bucket").isin(touched)).join(new.select(key), key, "left_anti")
         # Read in full before its own folders are replaced.
         new = stable(rest.select(*new.columns).unionByName(new))
     new.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)

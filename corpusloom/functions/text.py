@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
+from html.entities import name2codepoint
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -74,17 +76,31 @@ def clean_text(c: Column | str, rules: Sequence[str]) -> Column:
     return out
 
 
+def _named_entities() -> str:
+    """Entity names with their characters as JSON, the everyday ones first."""
+    first = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "nbsp": "\u00a0", "apos": "'"}
+    return json.dumps({**first, **{n: chr(c) for n, c in sorted(name2codepoint.items()) if n not in first}})
+
+
 def unescape(c: Column | str) -> Column:
-    """Decode the entities that survive in post bodies; `&amp;` last, so nothing decodes twice."""
-    out = _c(c)
-    for name, ch in (
-        ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"),
-        ("&apos;", "'"), ("&nbsp;", " "), ("&#xA;", "\n"), ("&hellip;", "…"),
-        ("&copy;", "©"), ("&middot;", "·"), ("&mdash;", "—"),
-        ("&ndash;", "–"), ("&amp;", "&"),
-    ):
-        out = F.replace(out, F.lit(name), F.lit(ch))
-    return out
+    """Decode named, decimal and hexadecimal character references, each once: the text is cut
+    before every `&`, and a piece that opens with a known reference has it replaced."""
+    col = _c(c)
+    names = F.from_json(F.lit(_named_entities()), "map<string,string>")
+
+    def piece(p: Column) -> Column:
+        ref = F.regexp_extract(p, r"^&(#[xX][0-9a-fA-F]{1,6}|#[0-9]{1,7}|[A-Za-z][A-Za-z0-9]*);", 1)
+        hexa = F.when(
+            F.lower(F.substring(ref, 1, 2)) == "#x", F.substring(ref, 3, 8)
+        ).when(F.substring(ref, 1, 1) == "#", F.hex(F.substring(ref, 2, 8).cast("bigint")))
+        point = F.conv(hexa, 16, 10).cast("bigint")
+        real = ((point > 0) & (point < 0xD800)) | ((point > 0xDFFF) & (point <= 0x10FFFF))
+        numeric = F.when(real, F.decode(F.unhex(F.lpad(hexa, 8, "0")), "UTF-32"))
+        got = F.coalesce(numeric, F.try_element_at(names, ref))
+        return F.coalesce(F.concat(got, F.substring(p, F.length(ref) + 3, F.length(p))), p)
+
+    pieces = F.transform(F.split(col, "(?=&)"), lambda p: F.when(F.startswith(p, F.lit("&")), piece(p)).otherwise(p))
+    return F.when(F.contains(col, F.lit("&")), F.array_join(pieces, "")).otherwise(col)
 
 
 def html_to_text(c: Column | str) -> Column:

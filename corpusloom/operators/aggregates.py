@@ -36,6 +36,11 @@ def value_counts(df: DataFrame, col: Column | str, n: int = 30) -> DataFrame:
     )
 
 
+def explode_tags(df: DataFrame, tags: str, out: str = "tag") -> DataFrame:
+    """One row per tag; a row without tags stays, with NULL."""
+    return df.select("*", F.explode_outer(tags).alias(out))
+
+
 def map_key_counts(df: DataFrame, map_col: str) -> DataFrame:
     inner = df.select(F.explode(F.map_values(map_col)).alias("m"))
     return (

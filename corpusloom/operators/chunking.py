@@ -45,9 +45,12 @@ def with_extra_sections(sections: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 def _windows(words: Column, step: int, size: int) -> Column:
-    """Array of (no, text); empty when there are no words."""
+    """Array of (no, chunk, words in it); NULL when there are no words."""
     starts = F.sequence(F.lit(0), F.size(words) - 1, F.lit(step))
-    cut = F.transform(starts, lambda at, i: F.struct(i.alias("no"), F.array_join(F.slice(words, at + 1, F.lit(size)), " ").alias("chunk")))
+    cut = F.transform(starts, lambda at, i: F.struct(
+        i.alias("no"), F.array_join(F.slice(words, at + 1, F.lit(size)), " ").alias("chunk"),
+        F.least(F.lit(size), F.size(words) - at).alias("n"),
+    ))
     return F.when(F.size(words) > 0, cut)
 
 
@@ -65,7 +68,7 @@ def section_chunks(
     cut = df.withColumn("_w", text.tokens("content")).select(
         "page_id", "title", "pos", "heading", F.inline_outer(_windows(F.col("_w"), step, size))
     ).where("chunk IS NOT NULL")  # an inner `inline` would build the windows twice, to filter on their number
-    cut = cut.where(text.est_tokens("chunk") >= floor)
+    cut = cut.where(F.col("n") * F.lit(fixed.TOKENS_PER_WORD) >= floor)
     topic = F.when(
         F.pmod(text.unit_hash("page_id", "pos", "no", F.lit(seed)), F.lit(2)) == 0,
         F.concat("heading", F.lit(" of "), "title"),

@@ -44,7 +44,8 @@ def preference_pairs(
     _, hot = skew.split_hot(df.select(question), [question], limit)
     if hot is None:
         by = Window.partitionBy(question)
-        run = by.orderBy("rn").rowsBetween(Window.unboundedPreceding, -1)
+        # The order that numbered the places, so no sort is added.
+        run = by.orderBy(F.desc(score), F.col(answer)).rowsBetween(Window.unboundedPreceding, -1)
         o = order.withColumn("before", F.coalesce(F.sum("n_worse").over(run), F.lit(0)))
         o = o.withColumn("total", F.sum("n_worse").over(by))
     else:

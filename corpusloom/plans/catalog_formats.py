@@ -142,17 +142,19 @@ def dialogue_contexts(s, d):
 @query("subtitle_cues", """
 SELECT conv_id AS episode, string_agg(replace(text, chr(10), ' '), '|' ORDER BY turn) AS cues FROM (SELECT conv_id, turn, md5(text) || chr(10) || role AS text FROM conversations) GROUP BY 1""")
 def subtitle_cues(s, d):
-    """Conversations written as one subtitle file each, then read."""
+    """Turns written as subtitle cues, at most 10,000 per file, then read and joined per conversation."""
     c = table(s, d, "conversations")
     cue = F.concat(
-        (F.col("turn") + 1).cast("string"), F.lit("\n00:00:01,000 --> 00:00:02,000\n<i>"), F.md5("text"), F.lit("</i>\n"), F.col("role"), F.lit("\n")
+        F.lit("1\n00:00:01,000 --> 00:00:02,000\n"), F.col("conv_id").cast("string"), F.lit("/"), F.col("turn").cast("string"),
+        F.lit("/<i>"), F.md5("text"), F.lit("</i>\n"), F.col("role"), F.lit("\n"),
     )
-    files = c.groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", cue.alias("c")))), lambda x: x["c"]), "\n").alias("value"))
     path = scratch_path(s, "srt")
-    files.write.partitionBy("conv_id").text(path)
-    cues = readers.read_srt(s, f"{path}/*/*.txt").withColumn("episode", F.regexp_extract("path", r"conv_id=(\d+)", 1).cast("bigint"))
-    got = episodes.episode_text(cues, "episode", [F.col("pos")], "content", "|", "cues")
-    return got.select("episode", "cues")
+    c.select(cue.alias("value")).write.option("maxRecordsPerFile", 10_000).text(path)
+    part = F.split("content", "/", 3)
+    cues = readers.read_srt(s, f"{path}/*.txt").select(
+        F.get(part, F.lit(0)).cast("bigint").alias("episode"), F.get(part, F.lit(1)).cast("int").alias("pos"), F.get(part, F.lit(2)).alias("content")
+    )
+    return episodes.episode_text(cues, "episode", [F.col("pos")], "content", "|", "cues").select("episode", "cues")
 
 
 @query("xml_rows", "SELECT o_orderkey::VARCHAR AS Id, o_orderpriority AS Title, CASE WHEN o_orderkey % 3 <> 0 THEN '<' || o_orderstatus || '>' END AS Tags FROM orders WHERE o_orderkey % 10 <> 0")

@@ -91,8 +91,8 @@ WITH t AS (SELECT unnest(string_split(p_type || '|' || replace(p_name, ' ', '|')
 SELECT value, count(*) AS n FROM t GROUP BY 1 ORDER BY n DESC, value LIMIT 30""")
 def tag_explode_counts(s, d):
     tags = F.concat(F.lit("|"), F.col("p_type"), F.lit("|"), F.replace("p_name", F.lit(" "), F.lit("|")), F.lit("|"))
-    t = table(s, d, "part").select(F.explode_outer(text.split_tags(tags)).alias("tag"))
-    return aggregates.value_counts(t, "tag", 30)
+    t = table(s, d, "part").select(text.split_tags(tags).alias("tags"))
+    return aggregates.value_counts(aggregates.explode_tags(t, "tags"), "tag", 30)
 
 
 @query("tag_like_filter", """

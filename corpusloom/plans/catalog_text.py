@@ -109,7 +109,6 @@ c AS (SELECT * FROM b WHERE len(list_filter({_sql_list(DENY)}, lambda p: contain
 SELECT 0 AS pos, 'read' AS step, count(*) AS n FROM a UNION ALL SELECT 1, 'floor', count(*) FROM b
 UNION ALL SELECT 2, 'deny', count(*) FROM c UNION ALL SELECT 3, 'distinct', count(DISTINCT text) FROM c""")
 def funnel_counts(s, d):
-    # One scan: each row carries its last step, the steps are counted as conditions.
     a = docs(s, d)
     b = filters.filter_min_tokens(a, "text", 50)
     c = filters.filter_denylist(b, "text", DENY)

@@ -33,6 +33,8 @@ def test_small_text_functions(spark):
     assert _one(spark, "a\n\n\nb", text.collapse_newlines) == "a\nb"
     assert _one(spark, "x###y#z", text.hashes_to_space) == "x y z"
     assert _one(spark, "<p>a &lt;b&gt; &amp;lt;</p><!-- n --><script>q()</script>", text.html_to_text) == "a <b> &lt;"
+    coded = "&eacute;&#233;&#xE9;&#x1F600; &amp;lt; &#38;lt; &bogus; a&b; &nbsp;|&apos; &#0; &#xD800; &&amp;"
+    assert _one(spark, coded, text.unescape) == "ééé\U0001f600 &lt; &lt; &bogus; a&b; \u00a0|' &#0; &#xD800; &&"
     assert _one(spark, "1 < 2 and 3 > 2", text.html_to_text) == "1 < 2 and 3 > 2"
     assert _one(spark, "|a-b|c|", text.split_tags) == ["a-b", "c"]
     assert _one(spark, "<a-b><c>", text.split_tags) == ["a-b", "c"]

@@ -25,7 +25,7 @@ from corpusloom.operators import skew
 from corpusloom.session import stable
 
 # Rounds on band buckets before the open remainder moves to the exact shared-shingle filter.
-BAND_ROUNDS = 8
+BAND_ROUNDS = 4
 
 _U = np.uint64
 

@@ -11,7 +11,7 @@ from corpusloom.plans.catalog import docs, query, spread, table
 
 WORDS = "list_filter(string_split_regex({}, '\\s+'), lambda x: x <> '')"
 NW = "len(" + WORDS + ")"
-KEYWORDS = ("the", "und", "les", "license", "que", "apache", "rock lee")
+KEYWORDS = ("the", "und", "les", "license", "que", "apache", "red moon")
 DENY = ("apache license", "mit license", "general public license", "the, anea", "Licensed under")
 UHASH = "('0x' || substr(md5({}), 1, 8))::BIGINT"
 

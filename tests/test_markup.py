@@ -81,10 +81,10 @@ def test_leaf_sections(spark):
 
 def test_infobox_predicates_and_text(spark):
     df = spark.createDataFrame(
-        [(1, {"character": {"Appears in Boruto": "Yes, indeed", "kanji": "k"}}), (2, {"videogame x": {"boruto": "no", "teams": "t", "other": "o"}, "b": {"users": "u"}}), (3, {})],
+        [(1, {"character": {"Appears in Sequel": "Yes, indeed", "kanji": "k"}}), (2, {"videogame x": {"sequel": "no", "teams": "t", "other": "o"}, "b": {"users": "u"}}), (3, {})],
         "id int, infobox map<string,map<string,string>>",
     )
-    assert [r.id for r in filters.filter_map_flag(df, "infobox", "boruto").orderBy("id").collect()] == [2, 3]
+    assert [r.id for r in filters.filter_map_flag(df, "infobox", "sequel").orderBy("id").collect()] == [2, 3]
     assert [r.id for r in df.where(filters.has_map_key_like("infobox", "VideoGame")).collect()] == [2]
     assert [r.t for r in df.orderBy("id").select(chunking.infobox_text("infobox").alias("t")).collect()] == [" kanji: k", " teams: t; users: u", ""]
 

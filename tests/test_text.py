@@ -47,13 +47,13 @@ def test_small_text_functions(spark):
 
 
 def test_filters(spark):
-    df = spark.createDataFrame([(1, "Who is Rock Lee"), (2, "Is naruto?"), (3, "NARUTO wins"), (4, None)], "id int, q string")
+    df = spark.createDataFrame([(1, "Who is Red Moon"), (2, "Is saturn?"), (3, "SATURN wins"), (4, None)], "id int, q string")
     ids = lambda d: sorted(r.id for r in d.collect())
-    words = ["naruto", "rock lee"]
+    words = ["saturn", "red moon"]
     assert ids(filters.filter_keywords(df, "q", words)) == [3]
     hits = {r.id: r.hits for r in filters.matched_keywords(df, "q", words, "substring").collect()}
-    assert hits == {1: ["rock lee"], 2: ["naruto"], 3: ["naruto"], 4: []}
-    assert ids(filters.filter_denylist(df, "q", ["IS NARUTO?", "a.c", "x\\Ey"])) == [1, 3, 4]
+    assert hits == {1: ["red moon"], 2: ["saturn"], 3: ["saturn"], 4: []}
+    assert ids(filters.filter_denylist(df, "q", ["IS SATURN?", "a.c", "x\\Ey"])) == [1, 3, 4]
     t = spark.createDataFrame([(1, "[deleted]"), (2, "x"), (3, None)], "id int, selftext string")
     assert ids(filters.drop_tombstones(t, "selftext")) == [2]
     g = spark.createDataFrame([(1, ["a", "bc"]), (2, None), (3, [])], "id int, tags array<string>")

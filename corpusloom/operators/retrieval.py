@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as tx
-from corpusloom.operators import gazetteer, sampling, skew
+from corpusloom.operators import sampling, skew
 from corpusloom.session import stable
 
 K1 = 1.2
@@ -75,12 +75,22 @@ def search_by_title(
     docs: DataFrame, queries: DataFrame, k: int = 10, doc_id: str = "doc_id", title: str = "title",
     query_id: str = "query_id", query_text: str = "text",
 ) -> DataFrame:
-    """Pages whose title the query names: (query_id, doc_id, title, pos), longest title first."""
-    d = docs.select(F.col(title).alias("title"), F.lit("title").alias("entity_type")).distinct()
-    named = gazetteer.annotation_rows(
-        gazetteer.annotate_gazetteer(queries.select(query_id, query_text), d, query_id, query_text), query_id
-    ).select(F.col(query_id).alias("query_id"), "title")
-    hits = named.join(docs.select(F.col(doc_id).alias("doc_id"), F.col(title).alias("title")), "title")
+    """Pages whose title stands in the query: (query_id, doc_id, title, pos), longest title first.
+
+    Queries are short, titles are many: each query gives its pieces up to the longest title's
+    length, and pieces meet titles in an equi join. No title list is collected or sent around.
+    """
+    d = docs.select(F.col(doc_id).alias("doc_id"), F.col(title).alias("title")).where("title <> ''")
+    longest = d.agg(F.max(F.length("title"))).scalar()
+    q = queries.select(F.col(query_id).alias("query_id"), F.col(query_text).alias("_q")).where("_q <> ''")
+    starts = q.select("query_id", "_q", F.explode(F.sequence(F.lit(1), F.length("_q"))).alias("_at"))
+    room = F.least(longest, F.length("_q") - F.col("_at") + 1)
+    lengths = F.explode(F.sequence(F.lit(1), F.greatest(room, F.lit(1)))).alias("_n")
+    pieces = (
+        starts.select("query_id", "_q", "_at", lengths)
+        .select("query_id", F.substring("_q", F.col("_at"), F.col("_n")).alias("title")).distinct()
+    )
+    hits = pieces.join(d, "title").select("query_id", "doc_id", "title")
     return sampling.top_k(hits, ["query_id"], [F.desc(F.length("title")), F.asc("doc_id")], k)
 
 

@@ -56,3 +56,23 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpusloom.llm import neardup_forest
 
     return neardup_forest.near_duplicates(table(spark, sf_dir, "documents"), width=2)
+
+
+@query("op2_containment", f"""WITH words AS (SELECT doc_id, {_WORDS} AS w FROM documents), iwords AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+grams AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) ELSE [array_to_string(w, ' ')] END) AS g FROM words WHERE len(w) > 0),
+igrams AS (SELECT DISTINCT item_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) ELSE [array_to_string(w, ' ')] END) AS g FROM iwords WHERE len(w) > 0),
+sizes AS (SELECT item_id, CAST(count(*) AS INT) AS n_item FROM igrams GROUP BY item_id)
+SELECT doc_id, item_id, n_item, CAST(count(*) AS INT) AS n_shared, count(*) / n_item AS containment
+FROM grams JOIN igrams USING (g) JOIN sizes USING (item_id) GROUP BY doc_id, item_id, n_item HAVING 100 * count(*) >= 80 * n_item""")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusloom.llm import contamination
+
+    return contamination.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), width=5, percent=80)
+
+
+@query("op3_pseudonyms")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusloom.llm import pseudonyms
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pseudonyms.pseudonymise(docs, key="registered-query")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from corpusloom.session import ship
 
@@ -76,3 +77,19 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return pseudonyms.pseudonymise(docs, key="registered-query")
+
+
+@query("op4_language")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusloom.llm import language
+
+    fold = F.crc32(F.col("doc_id").cast("string")) % 4
+    got = language.identify(table(spark, sf_dir, "documents"), fold != 2)
+    return got.select("doc_id", F.coalesce(fold == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+@query("op8_co_training")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusloom.llm import quality
+
+    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

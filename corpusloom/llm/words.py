@@ -46,11 +46,13 @@ def _power(base: int, n: int, name: str) -> np.ndarray:
     return have[:n]
 
 
-def _piece(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words in a buffer that begins and ends between words, and where they start."""
+def _piece(buf: np.ndarray, prefix: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words (or their prefixes) in a buffer that begins and ends between words, and where they start."""
     sp = _SPACE[buf]
     edge = np.flatnonzero(np.diff(np.concatenate(([True], sp, [True])).astype(np.int8)))
     start, end = edge[0::2], edge[1::2]
+    if prefix:
+        end = np.minimum(end, start + prefix)
     n = len(buf) + 1
     acc = np.zeros(n, _U)
     np.cumsum(_BYTE[buf] * _power(_BASE, n, "up")[:-1], out=acc[1:])
@@ -77,14 +79,18 @@ def _cuts(buf: np.ndarray) -> Iterator[tuple[int, int]]:
     yield at, len(buf)
 
 
-def word_hashes(texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes of all words of all texts one after another, offsets: text i has offsets[i]:offsets[i+1])."""
+def word_hashes(texts: Sequence[str | None], table: bytes | None = None, prefix: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of all words of all texts one after another, offsets: text i has offsets[i]:offsets[i+1]).
+
+    `table` (256 bytes) replaces bytes first, e.g. punctuation by spaces; `prefix` hashes that many bytes of a word.
+    """
     raw = [b"" if t is None else t.encode("utf-8", "surrogatepass") for t in texts]
-    buf = np.frombuffer(b"\n".join(raw), np.uint8) if raw else np.zeros(0, np.uint8)
+    whole = b"\n".join(raw)
+    buf = np.frombuffer(whole.translate(table) if table else whole, np.uint8)
     begin = np.cumsum([0] + [len(r) + 1 for r in raw])
     parts, starts = [], []
     for lo, hi in _cuts(buf):
-        h, s = _piece(buf[lo:hi])
+        h, s = _piece(buf[lo:hi], prefix)
         parts.append(h)
         starts.append(s + lo)
     where = np.concatenate(starts) if starts else np.zeros(0, np.int64)

@@ -93,3 +93,10 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpusloom.llm import quality
 
     return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op5_pivotal_mix")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusloom.llm import mixing
+
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")

@@ -100,3 +100,10 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpusloom.llm import mixing
 
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
+
+
+@query("op7_mincut_text")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusloom.llm import maintext
+
+    return maintext.extract(table(spark, sf_dir, "pages"))

@@ -107,3 +107,16 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpusloom.llm import maintext
 
     return maintext.extract(table(spark, sf_dir, "pages"))
+
+
+@query("op6_nn_descent", """WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+    WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.9),
+reach AS (SELECT vec_id, vec_id AS r FROM embeddings UNION SELECT reach.vec_id, links.b FROM reach JOIN links ON links.a = reach.r),
+comp AS (SELECT vec_id, min(r) AS component_id FROM reach GROUP BY vec_id),
+n AS (SELECT a AS vec_id, count(*) AS n_links FROM links GROUP BY a)
+SELECT comp.vec_id, coalesce(n_links, 0) AS n_links, component_id, comp.vec_id = component_id AS kept FROM comp LEFT JOIN n ON n.vec_id = comp.vec_id""")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusloom.llm import nndescent
+
+    return nndescent.near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.9)

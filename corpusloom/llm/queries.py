@@ -120,3 +120,10 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpusloom.llm import nndescent
 
     return nndescent.near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
+@query("op9_collinear_chains")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusloom.llm import passages
+
+    return passages.repeated_passages(table(spark, sf_dir, "documents"), min_words=50, identity=0.8)

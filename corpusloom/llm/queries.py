@@ -127,3 +127,10 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpusloom.llm import passages
 
     return passages.repeated_passages(table(spark, sf_dir, "documents"), min_words=50, identity=0.8)
+
+
+@query("op10_license_compression")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusloom.llm import licenses
+
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))

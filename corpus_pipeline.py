@@ -5,27 +5,74 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from corpusloom.llm import neardup_forest
+from corpusloom.llm import contamination, mixing, neardup_forest, pseudonyms, quality
 from corpusloom.llm.store import written
+from corpusloom.operators.skew import small
 from corpusloom.session import ship
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+# Ids that may be sent to every task; more of them go through a shuffled join.
+BROADCAST_IDS = 1_000_000
+# Secret of the pseudonyms; a real run passes its own.
+KEY = "corpus-pipeline"
+
+
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the co-trained classifier accepts, in quality and toxicity; `labels` says what is good.
+
+    Whole rows go through the classifier and come out again, so repeated ids and NULL ids need no join.
+    """
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality.accepted(docs.select(*COLUMNS), labels).select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: the one with the smallest id.
+    """One document of each group of near-duplicates (five words, similarity 0.8): the one with the smallest id.
 
-    Of rows that repeat this id with one text, one stays; rows without id or words are all kept.
+    Of rows that repeat an id and its text one stays; rows without an id are all kept.
     """
-    found = neardup_forest.near_duplicates(docs, width=5, percent=80)
+    docs = docs.select(*COLUMNS)
+    found = written(neardup_forest.near_duplicates(docs, width=5, percent=80), "found")
     gone = found.where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    left = docs.join(small(gone, BROADCAST_IDS), "doc_id", "left_anti")
+    twice = found.where("kept and doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
+    if not twice.isEmpty():
+        twice = small(written(twice, "twice"), BROADCAST_IDS)
+        once = left.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+        left = left.join(twice, "doc_id", "left_anti").unionByName(once)
+    return left.select(*COLUMNS)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item (five words, four fifths of its shingles)."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    docs = docs.select(*COLUMNS)
+    held = written(contamination.contained_items(docs, items, width=5, percent=80).select("doc_id").distinct(), "held")
+    held = small(held.withColumnRenamed("doc_id", "held"), BROADCAST_IDS)
+    return docs.join(held, F.col("doc_id").eqNullSafe(F.col("held")), "left_anti").select(*COLUMNS)
+
+
+def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with personal data replaced by pseudonyms; n_chars follows the new text."""
+    hidden = pseudonyms.pseudonymise(docs.select(*COLUMNS), key=KEY, counts=None)
+    return hidden.withColumn("n_chars", F.char_length("text").cast("bigint")).select(*COLUMNS)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """How often, and with how many words, the mix takes each document: (doc_id, source, size, source_size, target, copies, taken)."""
+    return mixing.mix(docs)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality", quality_filter),
     ("near_dedup", near_dedup),
+    ("decontaminate", decontaminate),
+    ("pii", hide_personal_data),
+    ("mix", mix_sources),
 ]
+# A trained classifier and random rounding have no SQL equal; the tests hold every stage against brute force.
 ORACLE_SQL: str | None = None
 
 

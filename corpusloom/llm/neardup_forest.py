@@ -4,7 +4,7 @@ Every text gets ORDERS * STEP MinHash values over its distinct word shingles. Tr
 from number STEP * t on, DEPTH of them; the values that a text shares with its neighbours in that order, up to the
 first difference, are their longest common prefix.
 
-1. Neighbours in any order with a common prefix of LEAST values or more are candidates. They are confirmed on the
+1. Neighbours in the first FIRST orders with a common prefix of LEAST values or more are candidates. They are confirmed on the
    full sets and joined to components. Nothing is paired within a group: a text has one neighbour on each side.
 2. The orders are cut into regions with a common prefix. A region of more than REGION texts goes one value deeper,
    until it is small enough or the order is used up, so the depth follows the density of the region. Texts of one
@@ -14,8 +14,9 @@ first difference, are their longest common prefix.
 Equal sets are one entry from the start, so groups of copies cost one entry each.
 
 Chance of missing a pair of similarity s in a sparse region: (1 - s**LEAST)**ORDERS, 3e-8 for s = 0.8.
-The sketch comparison in front of the confirmation (2 bits of each value) drops a pair of similarity 0.8 with
-a chance below 1e-7. Confirmed links are exact.
+In a dense region a pair needs a longer prefix in common, but there its texts have many partners. The sketch
+comparison in front of the confirmation (2 bits of each value, 5 standard deviations below the threshold) drops a pair of
+similarity 0.8 with a chance below 1e-6. Confirmed links are exact.
 """
 
 from __future__ import annotations
@@ -33,7 +34,11 @@ from corpusloom.llm import words as W
 from corpusloom.llm.store import components, partitions_for, written
 from corpusloom.operators.skew import small
 
-ORDERS, STEP, DEPTH, LEAST, REGION = 24, 4, 16, 3, 64
+ORDERS, STEP, DEPTH, LEAST, REGION = 24, 4, 16, 3, 256
+# Orders whose neighbours make the first links.
+FIRST = 8
+# Entries of a block of the confirmation, and the least number of blocks.
+BLOCK, BLOCKS = 2000, 8
 VALUES = ORDERS * STEP
 # Rows of the sorted orders that one task holds, about 30 MB.
 ROWS = 200_000
@@ -100,7 +105,8 @@ def _pairs_in(keys: np.ndarray, sizes: np.ndarray, sk: np.ndarray, group: np.nda
     if n < 2:
         return np.zeros((0, 2), np.int64)
     same = np.cumprod(keys[1:] == keys[:-1], axis=1).sum(1) - 1  # the first column is the order's number
-    need = VALUES * (percent / 100 + (1 - percent / 100) / 4) - 5.5 * np.sqrt(VALUES * 0.16)
+    p = percent / 100 + (1 - percent / 100) / 4  # chance of equal sketch values at the threshold
+    need = VALUES * p - 5 * np.sqrt(VALUES * p * (1 - p))
 
     def close(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         lo, hi = np.minimum(sizes[a], sizes[b]), np.maximum(sizes[a], sizes[b])
@@ -168,15 +174,15 @@ def _candidates(percent: int, grouped: bool, edge: bool):
     return across if edge else whole
 
 
-def _sorted_pairs(entries: DataFrame, count: int, percent: int, grouped: bool) -> DataFrame:
-    """Candidate pairs (a, b) of digests from all orders."""
-    t = F.explode(F.sequence(F.lit(0), F.lit(ORDERS - 1)))
+def _sorted_pairs(entries: DataFrame, count: int, percent: int, grouped: bool, orders: int) -> DataFrame:
+    """Candidate pairs (a, b) of digests from the first `orders` orders."""
+    t = F.explode(F.sequence(F.lit(0), F.lit(orders - 1)))
     rows = entries.withColumn("t", t).select(
         F.concat(F.unhex(F.lpad(F.hex("t"), 2, "0")), F.substring(F.concat("vals", "vals"), F.col("t") * STEP + 1, F.lit(DEPTH))).alias("key"),
         "digest", "n", "sketch", "grp",
     )
     # The digest makes the sort key unique, so equal prefixes of any number spread over tasks.
-    spread = rows.repartitionByRange(partitions_for(entries, count * ORDERS, ROWS), "key", "digest").sortWithinPartitions("key", "digest")
+    spread = rows.repartitionByRange(partitions_for(entries, count * orders, ROWS), "key", "digest").sortWithinPartitions("key", "digest")
     shape = "a binary, b binary, key binary, digest binary, n long, sketch binary, grp long, cut int"
     got = written(spread.mapInPandas(_candidates(percent, grouped, False), shape), "forest")
     # At most 2 * REGION rows for each cut between tasks.
@@ -186,32 +192,40 @@ def _sorted_pairs(entries: DataFrame, count: int, percent: int, grouped: bool) -
 
 
 def _confirm(percent: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            keep = []
-            for x, y in zip(b["ma"], b["mb"], strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield b.loc[keep, ["a", "b"]]
+    def run(pairs: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
+        sets = {d: np.frombuffer(m, np.uint64) for d, m in zip(members["digest"], members["members"], strict=True)}
+        keep = []
+        for a, b in zip(pairs["a"], pairs["b"], strict=True):
+            x, y = sets[a], sets[b]
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            keep.append(100 * both >= percent * (len(x) + len(y) - both))
+        return pairs.loc[keep, ["a", "b"]]
 
     return run
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, owners: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links (a, b) of entry ids: the pairs whose full shingle sets reach the threshold."""
+    """Links (a, b) of entry ids: the pairs whose full shingle sets reach the threshold.
+
+    Entries are hashed to blocks; a cell is a pair of blocks and confirms the pairs between them. A set is sent once
+    to every cell that has a pair with it, not once for every pair.
+    """
     pairs = written(pairs, "pairs")
-    sides = pairs.select(F.col("a").alias("digest")).unionByName(pairs.select(F.col("b").alias("digest"))).distinct()
-    need = written(owners.join(sides, "digest", "left_semi").select("digest", "id"), "need")
+    sides = pairs.select(F.explode(F.array("a", "b")).alias("digest")).distinct()
+    need = written(owners.join(sides, "digest"), "need")
+    count = need.count()
     texts = docs.join(small(need.select(F.col("id").alias("doc_id")).distinct(), BROADCAST_IDS), "doc_id", "left_semi")
     sets = texts.select("text").mapInPandas(_describe(width, True), "digest binary, members binary")
     # A doc_id that repeats with another text brings sets nobody asked for; a text that repeats comes once.
-    sets = written(sets.join(small(need.select("digest"), BROADCAST_IDS), "digest", "left_semi").dropDuplicates(["digest"]).join(need, "digest"), "sets")
-    left = sets.select(F.col("digest").alias("a"), F.col("members").alias("ma"))
-    right = sets.select(F.col("digest").alias("b"), F.col("members").alias("mb"))
-    links = pairs.join(left, "a").join(right, "b").mapInPandas(_confirm(percent), "a binary, b binary")
-    ids = need.select("digest", "id")
-    links = links.join(ids.toDF("a", "ia"), "a").join(ids.toDF("b", "ib"), "b")
+    sets = written(sets.join(small(need.select("digest"), BROADCAST_IDS), "digest", "left_semi").dropDuplicates(["digest"]), "sets")
+    blocks = max(BLOCKS, -(-count // BLOCK))
+    of = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks))
+    cells = pairs.withColumn("cell", F.least(of("a"), of("b")) * blocks + F.greatest(of("a"), of("b")))
+    sent = cells.select("cell", F.explode(F.array("a", "b")).alias("digest")).distinct().join(sets, "digest")
+    sent = sent.select(F.col("cell").alias("to_cell"), F.col("digest").alias("digest"), "members")
+    links = cells.groupBy("cell").cogroup(sent.groupBy("to_cell")).applyInPandas(_confirm(percent), "a binary, b binary")
+    ids = small(need.select("digest", "id"), BROADCAST_IDS)
+    links = links.join(ids.withColumnsRenamed({"digest": "a", "id": "ia"}), "a").join(ids.withColumnsRenamed({"digest": "b", "id": "ib"}), "b")
     return links.select(F.col("ia").alias("a"), F.col("ib").alias("b"))
 
 
@@ -230,14 +244,19 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     entries = with_id.groupBy("digest").agg(F.min("doc_id").alias("id"), F.max("n").alias("n"), F.max("vals").alias("vals"), F.max("sketch").alias("sketch"))
     entries = written(entries, "entries")
     count, owners = entries.count(), entries.select("digest", "id")
-    first = _sorted_pairs(entries.withColumn("grp", F.lit(None).cast("bigint")), count, percent, False)
+    first = _sorted_pairs(entries.withColumn("grp", F.lit(None).cast("bigint")), count, percent, False, FIRST)
     links = written(_confirmed(first, docs, owners, width, percent), "links")
     named = components(links)
-    grouped = entries.join(named.withColumnRenamed("component", "grp"), "id", "left").withColumn("grp", F.coalesce("grp", "id"))
-    second = _sorted_pairs(grouped, count, percent, True)
+    grouped = written(entries.join(named.withColumnRenamed("component", "grp"), "id", "left").withColumn("grp", F.coalesce("grp", "id")), "grouped")
+    # Second, all orders, between the components so far.
+    second = _sorted_pairs(grouped, count, percent, True, ORDERS)
     more = _confirmed(second, docs, owners, width, percent)
-    named = components(links.unionByName(more))
-    of = owners.join(named, "id", "left").select("digest", F.coalesce("component", "id").alias("component_id"))
+    # Only links between the components so far are left to follow.
+    own = lambda c: more.join(named.select(F.col("id").alias(c), F.col("component").alias(f"c{c}")), c, "left")
+    more = own("a").withColumn("a", F.coalesce("ca", "a"))
+    more = own("b").select("a", F.coalesce("cb", "b").alias("b"))
+    merged = components(more)
+    of = grouped.select("digest", F.col("grp").alias("id")).join(merged, "id", "left").select("digest", F.coalesce("component", "id").alias("component_id"))
     out = seen.join(of, "digest", "left")
     own = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

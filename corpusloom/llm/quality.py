@@ -30,6 +30,8 @@ TEXT, PAGE = 1 << 17, 1 << 12
 HEADS = ("quality", "toxic")
 # Bytes of a word that stand for its stem, and the least evidence (G statistic) for a feature to be used.
 STEM, EVIDENCE = 4, 25.0
+# Below the first and from the second on a document is rejected: rather a bad document kept than a good one lost.
+LEAST_QUALITY, MOST_TOXIC = 0.3, 0.6
 _U = np.uint64
 # Letters and digits stay, other ASCII characters end a word.
 _BARE = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
@@ -206,7 +208,20 @@ def train(docs: DataFrame, labels: DataFrame) -> dict[str, dict | None]:
     return heads
 
 
-def score(docs: DataFrame, labels: DataFrame, least_quality: float = 0.3, most_toxic: float = 0.6) -> DataFrame:
+def _model(docs: DataFrame, labels: DataFrame) -> dict[str, dict | None]:
+    """Train on the columns that training reads, cast to their types."""
+    labels = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), *[F.col(h).cast("int").alias(h) for h in HEADS])
+    return train(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), *[F.col(c).cast("string").alias(c) for c in ("text", "source", "lang")]), labels)
+
+
+def _judge(heads: dict, b: pd.DataFrame, least_quality: float, most_toxic: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    t, p = views(b["text"].tolist(), b["source"].tolist(), b["lang"].tolist())
+    t, p = Sparse(t), Sparse(p)
+    good, bad = probability(heads["quality"], t, p, 1.0), probability(heads["toxic"], t, p, 0.0)
+    return good, bad, (good >= least_quality) & (bad < most_toxic)
+
+
+def score(docs: DataFrame, labels: DataFrame, least_quality: float = LEAST_QUALITY, most_toxic: float = MOST_TOXIC) -> DataFrame:
     """(doc_id, quality, toxic, keep), one row per row of `docs` (doc_id, text, source, lang).
 
     `quality` and `toxic` are probabilities; `keep` = quality >= least_quality and toxic < most_toxic.
@@ -214,16 +229,23 @@ def score(docs: DataFrame, labels: DataFrame, least_quality: float = 0.3, most_t
     NULL and empty texts are scored like others, by what is there. Repeated rows are scored alike; rows with a NULL id
     are scored but never trained on. Other columns are ignored, whatever their names. An empty table gives an empty result.
     """
-    text = F.col("text").cast("string").alias("text")
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text, F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"))
-    labels = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), *[F.col(h).cast("int").alias(h) for h in HEADS])
-    heads = train(docs, labels)
+    heads = _model(docs, labels)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            t, p = views(b["text"].tolist(), b["source"].tolist(), b["lang"].tolist())
-            t, p = Sparse(t), Sparse(p)
-            good, bad = probability(heads["quality"], t, p, 1.0), probability(heads["toxic"], t, p, 0.0)
-            yield pd.DataFrame({"doc_id": b["doc_id"].to_numpy(), "quality": good, "toxic": bad, "keep": (good >= least_quality) & (bad < most_toxic)})
+            good, bad, keep = _judge(heads, b, least_quality, most_toxic)
+            yield pd.DataFrame({"doc_id": b["doc_id"].to_numpy(), "quality": good, "toxic": bad, "keep": keep})
+
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), *[F.col(c).cast("string").alias(c) for c in ("text", "source", "lang")])
+    return rows.mapInPandas(run, "doc_id long, quality double, toxic double, keep boolean")
+
+
+def accepted(docs: DataFrame, labels: DataFrame, least_quality: float = LEAST_QUALITY, most_toxic: float = MOST_TOXIC) -> DataFrame:
+    """The rows of `docs` that `score` keeps, with all their columns (doc_id, text, source and lang among them)."""
+    heads = _model(docs, labels)
+
+    @F.pandas_udf("boolean")
+    def keep(text: pd.Series, source: pd.Series, lang: pd.Series) -> pd.Series:
+        return pd.Series(_judge(heads, pd.DataFrame({"text": text, "source": source, "lang": lang}), least_quality, most_toxic)[2])
 
-    return docs.mapInPandas(run, "doc_id long, quality double, toxic double, keep boolean")
+    return docs.where(keep(*[F.col(c).cast("string") for c in ("text", "source", "lang")]))

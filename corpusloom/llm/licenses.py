@@ -57,12 +57,13 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     "all-rights-reserved": ("All rights reserved.", "Copyright, all rights reserved."),
 }
 # Every template has one of these, and so has every block that is looked at.
-CUES = ("licen", "copyright", "permission", "free software", "creative commons", "public domain", "rights reserved", "products derived")
+CUES = ("licen", "copyright", "permission", "free software", "creative commons", "public domain", "rights reserved", "products derived", "gnu gpl")
 # Words that may differ without changing the license.
 PLAIN = frozenset("a an the this that these is are was be under of in to for by and or with as at on it its our your here all work works file files text document documents software program project code "
                   "content material article page site released licensed license licence distributed published provided available terms conditions see".split())
 WINNERS = 5
-_SENTENCE = re.compile(r"[^\n]*?(?:[.!?;]+(?=\s)|(?=\n)|\Z)\n?")
+# A sentence ends at . ! ? and white space, but not after a single letter ("v. 2.0"), or with its line.
+_SENTENCE = re.compile(r"[^\n]*?(?:(?<![\s(][A-Za-z])[.!?]+(?=\s)|(?=\n)|\Z)\n?")
 _WORD = re.compile(r"[^\W_]+(?:\.[0-9]+)*")
 
 

@@ -26,21 +26,28 @@ def preference_order(
 
 def preference_pairs(
     df: DataFrame, question: str = "question_id", answer: str = "answer_id", text_col: str = "answer",
-    score: str = "pm_score", max_pairs: int = 1000, limit: int = skew.GROUP_LIMIT,
+    score: str = "pm_score", max_pairs: int | None = None, limit: int = skew.GROUP_LIMIT,
 ) -> DataFrame:
     """(question, answer_j, response_j, answer_k, response_k), j better than k.
 
-    A question with at most `max_pairs` pairs gives all of them. A larger one gives
-    `max_pairs` different pairs, spread evenly by hash over its numbered pairs; the
-    pairs themselves are never enumerated, and `preference_order` holds them all.
+    Without `max_pairs` every pair is given, which is quadratic in a question's answers by
+    meaning; `preference_order` holds the same in linear size. With `max_pairs`, a question that
+    has more gives that many different pairs, spread evenly by hash over its numbered pairs;
+    the pairs themselves are never enumerated.
 
     Pairs of a question are numbered 0 .. total-1 along its ordered answers, an answer
     owning the `n_worse` numbers from `before` on. Total pairs are cut into `m` strata,
     each stratum takes one number, and an answer emits the numbers it owns.
     """
-    if max_pairs <= 0:
-        raise ValueError("max_pairs must be positive; preference_order gives every pair in linear size")
     order = preference_order(df.select(question, answer, text_col, score), question, answer, score, limit)
+    if max_pairs is None:
+        better = order.where("n_worse > 0").select(
+            question, F.col(answer).alias("answer_j"), F.col(text_col).alias("response_j"), F.explode(F.sequence(F.col("tie_end") + 1, F.col("n"))).alias("rn")
+        )
+        worse = order.select(question, "rn", F.col(answer).alias("answer_k"), F.col(text_col).alias("response_k"))
+        return better.join(worse, [question, "rn"]).drop("rn")
+    if max_pairs <= 0:
+        raise ValueError("max_pairs must be positive")
     _, hot = skew.split_hot(df.select(question), [question], limit)
     if hot is None:
         by = Window.partitionBy(question)

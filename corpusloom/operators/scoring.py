@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
@@ -39,15 +40,17 @@ def apply_groups(df: DataFrame, keys: Sequence[str], fn: Callable[[pd.DataFrame]
 
 
 def score_prompts(
-    df: DataFrame, fn: Callable[[str], str], prompt: str = "prompt", samples: int = 1, retries: int = 3, tasks: int | None = None
+    df: DataFrame, fn: Callable[[str], str], prompt: str = "prompt", samples: int = 1, retries: int = 3, tasks: int | None = None,
+    wait: float = 0.5,
 ) -> DataFrame:
     """Each row with `sample_no`, `output` and `error`, one row per sample.
 
-    Equal prompts are sent once. A call that raises is tried up to `retries` times; then the
-    row carries the error and no output. Results are checkpointed, so every reader of them
+    Equal prompts are sent once. A call that raises is tried up to `retries` times, after waits of
+    `wait`, 2 * `wait`, ... seconds; then the row carries the error and no output. A NULL prompt is
+    not sent; its rows say so in `error`. Results are checkpointed, so every reader of them
     sees the same replies even if a task has to run again later.
     """
-    asked = df.select(F.col(prompt).alias("_p")).where(F.col("_p").isNotNull()).distinct()
+    asked = df.select(F.col(prompt).alias("_p")).distinct()
     if tasks:
         asked = asked.repartition(tasks)
 
@@ -56,8 +59,9 @@ def score_prompts(
             rows = []
             for p in pdf["_p"]:
                 for s in range(samples):
-                    output, error = None, None
-                    for _ in range(retries):
+                    output, error = None, "no prompt" if p is None else None
+                    for k in range(0 if p is None else retries):
+                        time.sleep(wait * k)
                         try:
                             output, error = fn(p), None
                             break
@@ -67,7 +71,7 @@ def score_prompts(
             yield pd.DataFrame(rows, columns=["_p", "sample_no", "output", "error"])
 
     replies = stable(asked.mapInPandas(run, schema="_p string, sample_no int, output string, error string"))
-    return df.join(replies, df[prompt] == replies["_p"]).drop("_p")
+    return df.join(replies, df[prompt].eqNullSafe(replies["_p"])).drop("_p")
 
 
 def chain(df: DataFrame, steps: Sequence[Callable[[DataFrame], DataFrame]], content: str = "content", output: str = "output") -> DataFrame:

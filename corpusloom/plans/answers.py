@@ -6,7 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from corpusloom.functions import fixed, text
 from corpusloom.operators import filters, joins, preference, sets, windows
@@ -24,8 +23,8 @@ def question_answers(answers: DataFrame, questions: DataFrame) -> DataFrame:
     return joins.join_suffixed(a, questions, "question_id", "Id", ("_answer", "_question"))
 
 
-def qa_preferences(answers: DataFrame, max_pairs: int = 1000) -> DataFrame:
-    """(question_id, question, response_j, response_k): better answer first, HTML removed."""
+def qa_preferences(answers: DataFrame, max_pairs: int | None = None) -> DataFrame:
+    """(question_id, question, response_j, response_k): better answer first, HTML removed; all pairs unless capped."""
     scored = preference.with_preference_score(answers).withColumn("answer", text.html_to_text("body"))
     pairs = preference.preference_pairs(scored, max_pairs=max_pairs)
     titles = answers.groupBy("question_id").agg(F.min("title").alias("question"))
@@ -45,7 +44,3 @@ def qa_to_instructions(
         F.lit(instruction).alias("instruction"), F.concat(F.col(question), F.lit(suffix)).alias("input"),
         F.col(answer).alias("response"),
     )
-
-
-def is_list(df: DataFrame, col: str) -> bool:
-    return isinstance(df.schema[col].dataType, T.ArrayType)

@@ -265,9 +265,14 @@ def random_label(s, d):
     return sampling.pick(table(s, d, "documents").select("doc_id"), ["a", "b", "c"], "doc_id", 9)
 
 
-@query("shuffled_rows", "SELECT doc_id, lang FROM documents")
+def _places(ordered):
+    """Rows with the place they have in a sorted result: ids that rise with it, made dense."""
+    return skew.dense_ids(ordered.withColumn("_at", F.monotonically_increasing_id()), ["_at"], "place").drop("_at")
+
+
+@query("shuffled_rows", "SELECT doc_id, lang, row_number() OVER (ORDER BY md5(doc_id || chr(1) || '3407'), doc_id) - 1 AS place FROM documents")
 def shuffled_rows(s, d):
-    return sampling.shuffle(table(s, d, "documents").select("doc_id", "lang"), 3407, "doc_id")
+    return _places(sampling.shuffle(table(s, d, "documents").select("doc_id", "lang"), 3407, "doc_id"))
 
 
 @query("top_rows", """
@@ -277,12 +282,14 @@ def top_rows(s, d):
     return sampling.head(o, 20, [F.desc("o_totalprice"), F.col("o_orderkey")])
 
 
-@query("sorted_answers", "SELECT l_orderkey AS question_id, l_quantity AS score, l_returnflag = 'R' AS is_accepted FROM lineitem")
+@query("sorted_answers", """
+SELECT l_orderkey AS question_id, l_quantity AS score, l_returnflag = 'R' AS is_accepted,
+  row_number() OVER (ORDER BY l_orderkey DESC, l_quantity DESC, l_returnflag = 'R' DESC) - 1 AS place FROM lineitem""")
 def sorted_answers(s, d):
     l = table(s, d, "lineitem").select(
         F.col("l_orderkey").alias("question_id"), F.col("l_quantity").alias("score"), (F.col("l_returnflag") == "R").alias("is_accepted")
     )
-    return sampling.sort_answers(l)
+    return _places(sampling.sort_answers(l))
 
 
 @query("dedup_keep_one", "SELECT md5(text) AS h, min(doc_id) AS doc_id FROM documents GROUP BY 1")
@@ -339,6 +346,19 @@ def preference_order(s, d):
     return preference.preference_order(l).select("question_id", "answer_id", "rank", "n_worse")
 
 
+@query("preference_pairs_full", """
+WITH a AS (SELECT c_nationkey AS q, c_custkey AS a, c_acctbal AS sc FROM customer)
+SELECT x.q AS question_id, count(*) AS pairs, sum(hash_of(x.a, y.a)) AS h FROM a x JOIN a y ON x.q = y.q AND x.sc > y.sc GROUP BY x.q""".replace("hash_of(x.a, y.a)", "(x.a * 31 + y.a * 17) % 1009"))
+def preference_pairs_full(s, d):
+    """All pairs of questions with thousands of pairs, folded to one row each."""
+    c = table(s, d, "customer").select(
+        F.col("c_nationkey").alias("question_id"), F.col("c_custkey").alias("answer_id"), F.col("c_acctbal").alias("pm_score"), F.col("c_name").alias("answer"),
+    )
+    got = preference.preference_pairs(c)
+    h = (F.col("answer_j") * 31 + F.col("answer_k") * 17) % 1009
+    return got.groupBy("question_id").agg(F.count(F.lit(1)).alias("pairs"), F.sum(h).alias("h"))
+
+
 @query("preference_pairs_capped", f"""
 WITH a AS (SELECT l_orderkey AS q, l_partkey * 100000000 + l_suppkey * 1000 + l_linenumber AS a, l_quantity AS sc FROM lineitem),
 p AS (SELECT q, a, sc, row_number() OVER (PARTITION BY q ORDER BY sc DESC, a) AS rn FROM a),

@@ -426,9 +426,9 @@ def flat_yaml(s, d):
 
 
 @query("scored_prompts", """
-WITH p AS (SELECT conv_id, turn, text FROM conversations)
+WITH p AS (SELECT conv_id, turn, CASE WHEN turn % 5 <> 4 THEN text END AS text FROM conversations)
 SELECT conv_id, turn, s::INT AS sample_no, CASE WHEN length(text) % 7 <> 0 THEN md5(text) END AS output,
-  CASE WHEN length(text) % 7 = 0 THEN 'ValueError: refused' END AS error FROM p, range(2) t(s)""")
+  CASE WHEN text IS NULL THEN 'no prompt' WHEN length(text) % 7 = 0 THEN 'ValueError: refused' END AS error FROM p, range(2) t(s)""")
 def scored_prompts(s, d):
     from hashlib import md5
 
@@ -437,8 +437,9 @@ def scored_prompts(s, d):
             raise ValueError("refused")
         return md5(prompt.encode()).hexdigest()
 
-    c = table(s, d, "conversations").select("conv_id", "turn", F.col("text").alias("prompt"))
-    return scoring.score_prompts(c, reply, samples=2).drop("prompt")
+    prompt = F.when(F.col("turn") % 5 != 4, F.col("text")).alias("prompt")
+    c = table(s, d, "conversations").select("conv_id", "turn", prompt)
+    return scoring.score_prompts(c, reply, samples=2, wait=0.0).drop("prompt")
 
 
 @query("chained_steps", "SELECT conv_id, turn, md5(md5(text) || '!') AS output FROM conversations")

@@ -62,19 +62,28 @@ def to_index_docs(sections: DataFrame) -> DataFrame:
 
 
 def upsert_parquet(df: DataFrame, path: str, key: str, order: Sequence[Column], buckets: int = 64) -> None:
-    """Insert or replace rows by key. Rows lie in folders by hash of the key, and only folders
-    that receive rows are rewritten, by one committed dynamic overwrite. Running the same batch
-    twice leaves the same table."""
+    """Insert or replace rows by key: of all rows a key has had, in this batch and in the table, the first by `order`
+    stays, so a late older row changes nothing; of rows equal in `order` the new one stays.
+
+    Rows lie in folders by hash of the key, and only folders that receive rows are rewritten, by one committed dynamic
+    overwrite. Running the same batch twice leaves the same table. The number of folders belongs to the table: it is
+    written beside it, and another number is refused.
+    """
     spark = df.sparkSession
     b = F.pmod(F.xxhash64(F.col(key)), F.lit(buckets)).cast("int")
     new = windows.keep_one(df, [key], order).withColumn("bucket", b)
     if _exists(spark, path):
+        made = spark.read.json(f"{path}/_layout").first()["buckets"]
+        if made != buckets:
+            raise ValueError(f"{path} has {made} buckets, not {buckets}")
         new = stable(new)
-        old = spark.read.parquet(path)
         touched = [r["bucket"] for r in new.select("bucket").distinct().collect()]  # at most `buckets` numbers
-        rest = old.where(F.col("bucket").isin(touched)).join(new.select(key), key, "left_anti")
+        old = spark.read.parquet(path).where(F.col("bucket").isin(touched)).select(*new.columns).withColumn("_late", F.lit(1))
+        both = old.unionByName(new.withColumn("_late", F.lit(0)))
         # Read in full before its own folders are replaced.
-        new = stable(rest.select(*new.columns).unionByName(new))
+        new = stable(windows.keep_one(both, [key], [*order, F.asc("_late")]).drop("_late"))
+    else:
+        spark.createDataFrame([(buckets,)], "buckets int").coalesce(1).write.mode("overwrite").json(f"{path}/_layout")
     new.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
 
 

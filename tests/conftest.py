@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 import pytest
 
@@ -12,7 +13,7 @@ from corpusloom.session import build_session  # noqa: E402
 def spark():
     s = build_session("tests", "local[8]", **{
         "spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g",
-        "spark.default.parallelism": "8",
+        "spark.default.parallelism": "8", "spark.checkpoint.dir": tempfile.mkdtemp(prefix="tests-"),
     })
     s.sparkContext.setLogLevel("ERROR")
     yield s

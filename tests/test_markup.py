@@ -1,5 +1,8 @@
 """Golden pages for HTML and wikitext."""
 
+import time
+
+import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.operators import chunking, filters, markup
@@ -132,3 +135,24 @@ def test_sweep_grows_overlap(spark):
     got = rows.collect()
     assert overlap >= 10 and {r.page_id for r in got} == {0, 1, 2}
     assert max(len((r.input + r.instruction + r.response).split()) * 1.2 for r in got) <= 50
+
+
+@pytest.mark.parametrize("mark", ["{{", "[[", "{|", "<ref>", "[http://x ", "''", "<!--", "{{a|", "[[a|"])
+def test_unclosed_marks_take_linear_time(mark):
+    t0 = time.time()
+    w = markup._Wikitext(mark * 100_000)
+    w.tokens()
+    assert time.time() - t0 < 3
+
+
+def test_deep_nesting_does_not_recurse():
+    n = 5_000
+    for opening, closing in (("<div>", "</div>"), ("[[a|", "]]"), ("{{a|", "}}"), ("<b><i>", "</i></b>")):
+        got = markup._plain(opening * n + "x" + closing * n)
+        assert got in ("x", "")
+
+
+def test_nested_tags_of_one_name():
+    assert markup._plain("<div><div>x</div>y</div>z") == "xyz"
+    kinds = [(k, n, t) for k, n, t, _ in markup._Wikitext("a {{Infobox [[b|c]]|k=[[d|e]]|f}} [[File:g|h]] <gallery>i</gallery>").tokens()]
+    assert kinds[1][:2] == ("template", "Infobox [[b|c]]") and ("link", "File:g", "") in kinds

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Sequence
 
 import pandas as pd
@@ -52,50 +53,29 @@ def rouge_tokens(c: Column | str) -> Column:
     return F.array_remove(F.split(F.lower(s), "[^a-z0-9]+"), "")
 
 
-def _grams(words: Column, n: int) -> Column:
-    """Word n-grams as strings; fewer words than n give none."""
-    starts = F.sequence(F.lit(1), F.size(words) - (n - 1))
-    got = F.transform(starts, lambda i: F.array_join(F.slice(words, i, F.lit(n)), " "))
-    return F.when(F.size(words) >= n, got).otherwise(F.array().cast("array<string>"))
+def _clips(orders: Sequence[int], hyp: Column, ref: Column) -> Column:
+    """n-gram matches of each order, a hypothesis gram counted at most as often as in the reference.
+    Both texts are in one row, so the grams are counted there and only the sums leave it."""
 
+    @pandas_udf(T.ArrayType(T.IntegerType()))
+    def run(h: pd.Series, f: pd.Series) -> pd.Series:
+        def grams(words: list[str], n: int) -> Counter:
+            return Counter(zip(*(words[i:] for i in range(n))))
 
-def _tagged(n: int, side: int):
-    return lambda g: F.struct(F.lit(n).alias("n"), g.alias("g"), F.lit(side).alias("r"))
+        return pd.Series([[sum((grams(x, n) & grams(y, n)).values()) for n in orders] for x, y in zip((list(v) for v in h), (list(v) for v in f))])
 
-
-def _clipped(rows: DataFrame, orders: Sequence[int]) -> DataFrame:
-    """(id, n, clip): n-gram matches per row, a hypothesis gram counted at most as often as in the
-    reference. Both sides go through one count keyed by (row, n, gram)."""
-    side = lambda col, sign: F.concat(
-        *[
-            F.transform(_grams(F.col(col), n), _tagged(n, sign))
-            for n in orders
-        ]
-    )
-    # An inner `inline` would infer a filter on the array's size, and build all grams twice.
-    long = rows.select("id", F.inline_outer(F.concat(side("h", 0), side("f", 1)))).where("g IS NOT NULL")
-    return (
-        long.groupBy("id", "n", "g")
-        .agg(F.sum(1 - F.col("r")).alias("ch"), F.sum("r").alias("cr"))
-        .where("ch > 0 AND cr > 0")
-        .groupBy("id", "n").agg(F.sum(F.least("ch", "cr")).alias("clip"))
-    )
+    return run(F.coalesce(hyp, F.array().cast("array<string>")), F.coalesce(ref, F.array().cast("array<string>")))
 
 
 def bleu_counts(df: DataFrame, id_col: str, ref: str, hyp: str, n: int = 4) -> DataFrame:
     """(n, matches, total, hyp_len, ref_len) over the corpus, one row per order."""
-    rows = df.select(F.col(id_col).alias("id"), bleu_tokens(hyp).alias("h"), bleu_tokens(ref).alias("f"))
+    rows = df.select(bleu_tokens(hyp).alias("h"), bleu_tokens(ref).alias("f"))
     orders = list(range(1, n + 1))
-    lens = rows.select(
-        F.size("h").alias("lh"), F.size("f").alias("lf"), F.explode(F.array(*[F.lit(o) for o in orders])).alias("n")
-    ).groupBy("n").agg(
-        F.sum(F.greatest(F.col("lh") - F.col("n") + 1, F.lit(0))).alias("total"),
+    each = rows.select(F.size("h").alias("lh"), F.size("f").alias("lf"), F.posexplode_outer(_clips(orders, F.col("h"), F.col("f"))).alias("pos", "clip"))
+    return each.groupBy((F.col("pos") + 1).alias("n")).agg(
+        F.coalesce(F.sum("clip"), F.lit(0)).alias("matches"), F.sum(F.greatest(F.col("lh") - F.col("pos"), F.lit(0))).alias("total"),
         F.sum("lh").alias("hyp_len"), F.sum("lf").alias("ref_len"),
     )
-    hit = _clipped(rows, orders).groupBy("n").agg(F.sum("clip").alias("matches"))
-    return lens.join(hit, "n", "left").select(
-        "n", F.coalesce("matches", F.lit(0)).alias("matches"), "total", "hyp_len", "ref_len"
-    )
 
 
 def corpus_bleu(df: DataFrame, id_col: str, ref: str, hyp: str, n: int = 4) -> DataFrame:
@@ -140,18 +120,13 @@ def _f1(hits: Column, nh: Column, nr: Column) -> Column:
 
 def rouge(df: DataFrame, id_col: str, ref: str, hyp: str, with_lcs: bool = True) -> DataFrame:
     """Mean F1 over rows: rouge1, rouge2 and, with `with_lcs`, rougeL."""
-    rows = df.select(F.col(id_col).alias("id"), rouge_tokens(hyp).alias("h"), rouge_tokens(ref).alias("f"))
-    hits = _clipped(rows, [1, 2]).groupBy("id").agg(
-        F.sum(F.when(F.col("n") == 1, F.col("clip"))).alias("c1"), F.sum(F.when(F.col("n") == 2, F.col("clip"))).alias("c2")
-    )
-    base = rows.select("id", F.size("h").alias("lh"), F.size("f").alias("lf"), *(["h", "f"] if with_lcs else []))
-    j = base.join(hits, "id", "left")
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    rows = df.select(rouge_tokens(hyp).alias("h"), rouge_tokens(ref).alias("f"))
+    j = rows.select("h", "f", F.size("h").alias("lh"), F.size("f").alias("lf"), _clips((1, 2), F.col("h"), F.col("f")).alias("c"))
     over = lambda c: F.greatest(F.col(c) - 1, F.lit(0))
     aggs = [
         F.count(F.lit(1)).alias("n"),
-        F.avg(_f1(zero("c1"), F.col("lh"), F.col("lf"))).alias("rouge1"),
-        F.avg(_f1(zero("c2"), over("lh"), over("lf"))).alias("rouge2"),
+        F.avg(_f1(F.get("c", 0), F.col("lh"), F.col("lf"))).alias("rouge1"),
+        F.avg(_f1(F.get("c", 1), over("lh"), over("lf"))).alias("rouge2"),
     ]
     if with_lcs:
         j = j.withColumn("cl", _lcs("h", "f"))

@@ -34,8 +34,8 @@ def bm25(
     """(query_id, doc_id, score, pos): the best `k` documents per query.
 
     The text is cut into terms once: only query terms leave that pass, with one row per
-    document under the empty term that carries its length. Term counts are combined map-side,
-    and the top-k filter keeps k rows per query and task before the last shuffle.
+    document under the empty term that carries its length. Term counts are combined map-side, scores are
+    summed where a document's counts are, and k rows per query and task go into the last shuffle.
     """
     q = (
         queries.select(F.col(query_id).alias("query_id"), F.explode(terms(query_text)).alias("term"))
@@ -65,7 +65,8 @@ def bm25(
         / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / avgdl))
     )
     scored = (
-        hits.join(mark(weights), "term")
+        # By document, so that scores are summed where they are and only the best k of a task and query move on.
+        hits.repartition("doc_id").join(mark(weights), "term")
         .groupBy("query_id", "doc_id").agg(F.round(F.sum(score), 6).alias("score"))
     )
     return sampling.top_k(scored, ["query_id"], [F.desc("score"), F.asc("doc_id")], k)

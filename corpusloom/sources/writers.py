@@ -12,9 +12,9 @@ from corpusloom.operators import skew, windows
 from corpusloom.session import stable
 
 
-def write_partitioned(df: DataFrame, path: str, by: str, n: int = 10) -> None:
-    """Overwrite Parquet partitioned by a column, at a set parallelism."""
-    df.repartition(n).write.partitionBy(by).mode("overwrite").parquet(path)
+def write_partitioned(df: DataFrame, path: str, by: str, n: int | None = None) -> None:
+    """Overwrite Parquet partitioned by a column: as the rows lie, or at a parallelism set by the caller."""
+    (df.repartition(n) if n else df).write.partitionBy(by).mode("overwrite").parquet(path)
 
 
 def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -40,11 +40,22 @@ def rotated_arrays(df: DataFrame, order: Sequence[Column | str], rotate: int = 1
     )
 
 
-def write_rotating_json(df: DataFrame, path: str, order: Sequence[Column | str], rotate: int = 1000) -> None:
+def write_rotating_json(df: DataFrame, path: str, order: Sequence[Column | str], rotate: int = 1000, flat: bool = False) -> None:
     """One valid JSON array per file, a new file after every `rotate` records, in order.
-    File i lies in folder file_idx=i."""
+    File i lies in folder file_idx=i; with `flat` it is renamed to file_i.json in `path`, one
+    rename on the file system for each file."""
     arrays = rotated_arrays(df, order, rotate).select("file_idx", "value")
     arrays.write.mode("overwrite").option("maxRecordsPerFile", 1).partitionBy("file_idx").text(path)
+    if flat:
+        spark = df.sparkSession
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path
+        fs = hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
+        for folder in fs.listStatus(hadoop(path)):
+            name = folder.getPath().getName()
+            if name.startswith("file_idx="):
+                part = next(f.getPath() for f in fs.listStatus(folder.getPath()) if f.getPath().getName().startswith("part-"))
+                fs.rename(part, hadoop(path, f"file_{name.removeprefix('file_idx=')}.json"))
+                fs.delete(folder.getPath(), True)
 
 
 def write_rotating(df: DataFrame, path: str, rotate: int = 1000) -> None:

@@ -175,3 +175,27 @@ def test_denorm_job(spark, tmp_path):
     got = {r.post_id: r.comments for r in spark.read.parquet(str(tmp_path / "o")).collect()}
     assert got["t3_c"] is None and [c["rank"] for c in got["t3_a"]] == [1, 1, 3]
     assert sorted(glob.glob(str(tmp_path / "o" / "subreddit=*")))[0].endswith("subreddit=s1")
+
+
+@pytest.mark.parametrize("n, want", [(5, [2, 2, 1]), (2, [2]), (0, [])])
+def test_rotation_with_flat_names(spark, tmp_path, n, want):
+    """file_0.json, file_1.json, ... each one JSON array of at most two records."""
+    import json
+
+    df = spark.createDataFrame([(chr(97 + i), i + 1) for i in range(n)], "k string, v int")
+    out = tmp_path / "flat"
+    writers.write_rotating_json(df, str(out), ["k"], 2, flat=True)
+    files = sorted(p for p in out.glob("*.json") if not p.name.startswith("."))
+    assert [p.name for p in files] == [f"file_{i}.json" for i in range(len(want))]
+    assert [len(json.loads(p.read_text())) for p in files] == want
+
+
+def test_upsert_keeps_the_first_by_order(spark, tmp_path):
+    path = str(tmp_path / "table")
+    at = lambda rows: writers.upsert_parquet(spark.createDataFrame(rows, "k int, v int"), path, "k", [F.desc("v")], 4)
+    at([(1, 10), (2, 1)])
+    at([(1, 5), (3, 7), (2, 9)])
+    at([(1, 5), (3, 7), (2, 9)])
+    assert sorted((r.k, r.v) for r in spark.read.parquet(path).collect()) == [(1, 10), (2, 9), (3, 7)]
+    with pytest.raises(ValueError):
+        writers.upsert_parquet(spark.createDataFrame([(1, 1)], "k int, v int"), path, "k", [F.desc("v")], 8)

@@ -45,6 +45,11 @@ CONTENT = frozenset("article main".split())
 CONTENT_NAMES = frozenset("article content main post entry story body text maintext articlebody prose".split())
 
 
+# Longer names that begin like this, and the few names that count for an article or main element itself.
+_NEVER_STARTS = ("comment", "advert", "sponsor", "newsletter", "cookie", "sidebar", "navbar", "breadcrumb", "subscri", "footer", "related")
+_NEVER_ARTICLE = ("comment", "reply", "advert", "sponsor", "related", "sidebar", "promo")
+
+
 class _Element:
     __slots__ = ("tag", "up", "depth", "never", "hint")
 
@@ -60,7 +65,10 @@ class _Element:
                 elif key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
                     hidden = True
         # The innermost element that says something decides, but some things stay what they are whatever is inside.
-        never = hidden or tag in NEVER or bool(names & _NEVER_NAMES)
+        if tag in CONTENT:
+            never = hidden or any(n.startswith(_NEVER_ARTICLE) for n in names)
+        else:
+            never = hidden or tag in NEVER or bool(names & _NEVER_NAMES) or any(n.startswith(_NEVER_STARTS) for n in names)
         self.never = never or bool(up and up.never)
         if never:
             self.hint = -1

@@ -99,6 +99,18 @@ def test_main_text():
     assert maintext.main_text(PAGE) == want
 
 
+@pytest.mark.parametrize("part", [
+    '<ol class="commentlist"><li><p>Nice page, I liked to read it a lot.</p></li></ol>', '<div class="newsletter-box"><p>Give us your mail and we will write to you.</p></div>',
+    '<div id="gdpr"><p>This site stores small files on your disk.</p></div>', '<div hidden><p>Nobody sees this text of the page.</p></div>',
+    '<section class="related-posts"><article><p>Another story that you may want to read.</p></article></section>', '<aside><p>By the way, this is not the text.</p></aside>',
+])
+def test_parts_that_are_no_article(part):
+    body = "".join(f"<p>Paragraph {i} of the text, with a few words.</p>" for i in range(4))
+    want = "\n".join(f"Paragraph {i} of the text, with a few words." for i in range(4))
+    for article in (f'<article class="post-1 post tag-share category-x">{body}{part}</article>', f'<div class="post-content">{body}{part}</div>', f'<main>{body}</main>{part}', f"{part}<div>{body}</div>"):
+        assert maintext.main_text(f"<html><body>{article}</body></html>") == want
+
+
 @pytest.mark.parametrize("page", ["", None, "<", "<p", "plain text only, no tags at all.", "<p>a", "&amp", "<script>x", "<!--", "<a \"", "</div></p>", "<p class='x>y</p>"])
 def test_broken_pages_do_not_raise(page):
     assert isinstance(maintext.main_text(page), str)

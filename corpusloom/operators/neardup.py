@@ -4,10 +4,11 @@ Meaning (both forms): rows are read in id order; a row is dropped when an earlie
 *kept* row is a candidate and their shingle sets have Jaccard >= threshold. So in a
 chain A~B~C with A and C apart, C stays: only kept rows drop others.
 
-That greedy reading is computed in rounds. In each bucket only the smallest open id
-can lead; an id that leads all its buckets is kept for good, and the other members of
-those buckets are checked against that one leader. Work per round is linear in the
-bucket table however large a bucket is: members are never paired with each other.
+That greedy reading is computed in rounds. In each bucket the smallest open ids lead: one
+in the first round, then 4, 16, 64 and LEADERS. All members are checked against the leaders of their buckets.
+An id that leads in all its buckets and has no smaller open id like it is kept for good, and whatever is like it
+is dropped. Work per round is linear in the bucket table however large a bucket is; the first
+rounds drop copies of few leaders, the later ones settle rows that only share keys.
 """
 
 from __future__ import annotations
@@ -24,8 +25,8 @@ from corpusloom.functions import text as tx
 from corpusloom.operators import skew
 from corpusloom.session import stable
 
-# Rounds on band buckets before the open remainder moves to the exact shared-shingle filter.
-BAND_ROUNDS = 4
+# Most rows of a bucket that lead it in one round; the first rounds have fewer, while many rows are open.
+LEADERS = 256
 
 _U = np.uint64
 
@@ -148,37 +149,43 @@ def _by_size(keys: DataFrame, threshold: float) -> DataFrame:
     )
 
 
-def _greedy(sets: DataFrame, keys: DataFrame, threshold: float, max_rounds: int | None) -> tuple[list[DataFrame], DataFrame | None]:
-    """Run rounds; returns the dropped (id, kept_id, similarity) of each and the open rest."""
+def _greedy(sets: DataFrame, keys: DataFrame, threshold: float) -> list[DataFrame]:
+    """Run rounds until nothing is open; returns the dropped (id, kept_id, similarity) of each."""
     gone_all: list[DataFrame] = []
+    left = stable(_shared(keys))
     # A key of one row leads to no comparison, and most rows have no other kind.
-    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    left = stable(keys.join(shared.select("key"), "key", "left_semi"))
     sets = stable(sets.join(left.select("id").distinct(), "id", "left_semi"))
-    rounds = 0
+    leaders = 1
     while not left.isEmpty():
-        if max_rounds is not None and rounds >= max_rounds:
-            return gone_all, left
-        rounds += 1
-        lead = left.groupBy("key").agg(F.min("id").alias("lead"), F.count(F.lit(1)).alias("c")).where("c > 1")
-        met = left.join(lead.drop("c"), "key")
-        kept = met.groupBy("id").agg(F.min(F.col("id") == F.col("lead")).alias("first")).where("first").select("id")
-        pairs = (
-            met.where("id <> lead").select("id", "lead").distinct()
-            .join(kept.withColumnRenamed("id", "lead"), "lead", "left_semi")
-        )
+        # The filter on row_number reaches the window as a group limit: a task passes on `leaders` rows of a key.
+        place = F.row_number().over(Window.partitionBy("key").orderBy("id"))
+        block = stable(left.withColumn("_rn", place).where(F.col("_rn") <= leaders).select("key", F.col("id").alias("lead")))
+        pairs = left.join(block, "key").where("lead < id").select("id", "lead").distinct()
         both = pairs.join(sets, "id").join(sets.select(F.col("id").alias("lead"), F.col("s").alias("t")), "lead")
         shared = F.size(F.array_intersect("s", "t"))
         scored = both.select("id", "lead", (shared / (F.size("s") + F.size("t") - shared)).alias("sim"))
+        links = stable(scored.where(F.col("sim") >= threshold))
+        # An id among the leaders of all its keys has met every smaller open id.
+        keyed = left.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+        led = block.groupBy(F.col("lead").alias("id")).agg(F.count(F.lit(1)).alias("m"))
+        ready = keyed.join(led, "id").where("n = m").select("id")
+        kept = stable(ready.join(links.select("id").distinct(), "id", "left_anti"))
         gone = stable(
-            scored.where(F.col("sim") >= threshold).groupBy("id")
+            links.join(kept.withColumnRenamed("id", "lead"), "lead", "left_semi").groupBy("id")
             .agg(F.min(F.struct(F.col("lead").alias("kept_id"), F.col("sim").alias("similarity"))).alias("v"))
             .select("id", "v.kept_id", "v.similarity")
         )
         gone_all.append(gone)
         decided = kept.unionByName(gone.select("id"))
-        left = stable(met.select("id", "key").join(decided, "id", "left_anti"))
-    return gone_all, None
+        left = stable(_shared(left.join(decided, "id", "left_anti")))
+        leaders = min(4 * leaders, LEADERS)
+    return gone_all
+
+
+def _shared(keys: DataFrame) -> DataFrame:
+    """Rows of keys that more than one row has."""
+    many = keys.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    return keys.join(many.select("key"), "key", "left_semi").select("id", "key")
 
 
 def _dropped(
@@ -191,14 +198,10 @@ def _dropped(
     heads = keyed.join(firsts.select("id"), "id", "left_semi")
     sets = stable(shingle_sets(heads, "id", "text", ngrams))
     if num_perm is None:
-        parts, _ = _greedy(sets, _by_size(_prefix_keys(sets, threshold), threshold), threshold, None)
+        keys = _prefix_keys(sets, threshold)
     else:
-        table = _band_table(sets, threshold, num_perm).select("id", "n", F.xxhash64("band", "bucket").alias("key"))
-        parts, rest = _greedy(sets, _by_size(table, threshold), threshold, BAND_ROUNDS)
-        if rest is not None:
-            open_sets = sets.join(rest.select("id").distinct(), "id", "left_semi")
-            more, _ = _greedy(sets, _by_size(_prefix_keys(open_sets, threshold), threshold), threshold, None)
-            parts += more
+        keys = _band_table(sets, threshold, num_perm).select("id", "n", F.xxhash64("band", "bucket").alias("key"))
+    parts = _greedy(sets, _by_size(keys, threshold), threshold)
     copies = (
         hashed.join(firsts.where("c > 1").select("h", F.col("id").alias("kept_id")), "h")
         .where("id <> kept_id")

@@ -88,14 +88,26 @@ def test_bands_keep_precision_and_recall(df, rows):
     assert len(missed) <= 0.2 * (len(rows) - len(exact))
 
 
-def test_remainder_after_band_rounds(df, rows, monkeypatch):
-    monkeypatch.setattr(neardup, "BAND_ROUNDS", 0)
-    got = {r.id for r in neardup.dedup_near(df, "id", "text", num_perm=64).collect()}
-    # With no band round every band candidate goes through the exact filter.
-    bands = {r.id for r in neardup.minhash_bands(df, "id", "text", num_perm=64).groupBy("band", "bucket").agg(F.collect_set("id").alias("l")).where(F.size("l") > 1).select(F.explode("l").alias("id")).collect()}
-    exact = _brute(rows, 10, 0.7)
-    assert exact <= got
-    assert bands or got
+def test_number_of_leaders_changes_no_result(df, rows, monkeypatch):
+    for num_perm in (64, None):
+        want = {r.id for r in neardup.dedup_near(df, "id", "text", num_perm=num_perm).collect()}
+        monkeypatch.setattr(neardup, "LEADERS", 2)
+        got = {r.id for r in neardup.dedup_near(df, "id", "text", num_perm=num_perm).collect()}
+        monkeypatch.undo()
+        assert got == want
+        assert _brute(rows, 10, 0.7) <= got
+
+
+def test_rows_that_only_share_keys_settle_in_few_rounds(spark, monkeypatch):
+    """600 texts of three quarters common words: all stay, in far fewer rounds than there are rows."""
+    r = random.Random(9)
+    common = ["c%d" % i for i in range(9)]
+    texts = [" ".join(r.sample(common + ["u%d_%d" % (i, k) for k in range(3)], 12)) for i in range(600)]
+    rounds, greedy = [], neardup._greedy
+    monkeypatch.setattr(neardup, "_greedy", lambda *a: rounds.append(greedy(*a)) or rounds[-1])
+    d = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    assert neardup.dedup_near(d, "id", "text", 1, 0.7, None).count() == 600
+    assert len(rounds[0]) < 10
 
 
 def test_result_ignores_row_order_and_partitions(spark, rows):

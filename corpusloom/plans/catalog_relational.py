@@ -112,7 +112,18 @@ SELECT o_custkey AS key, 0 AS piece, string_agg(o_orderpriority, ',' ORDER BY o_
 FROM orders GROUP BY 1""")
 def group_list(s, d):
     g = aggregates.group_list(table(s, d, "orders").withColumnRenamed("o_custkey", "key"), "key", "o_orderpriority")
-    return aggregates.with_count(g, "items").select("key", "piece", F.array_join("items", ",").alias("items"), "total")
+    return aggregates.with_count(g, "items", keys=["key"]).select("key", "piece", F.array_join("items", ",").alias("items"), "total")
+
+
+@query("group_list_hot", """
+WITH r AS (SELECT o_custkey AS key, o_orderpriority AS v, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority) - 1 AS rn,
+  count(*) OVER (PARTITION BY o_custkey) AS total FROM orders)
+SELECT key, rn // 3 AS piece, string_agg(v, ',' ORDER BY rn) AS items, min(total) AS total FROM r GROUP BY key, rn // 3""")
+def group_list_hot(s, d):
+    """The same with a limit of three rows a piece, so that most groups are split."""
+    o = table(s, d, "orders").withColumnRenamed("o_custkey", "key")
+    g = aggregates.group_list(o, "key", "o_orderpriority", list_limit=3)
+    return aggregates.with_count(g, "items", keys=["key"]).select("key", "piece", F.array_join("items", ",").alias("items"), "total")
 
 
 @query("group_structs", """

@@ -11,11 +11,11 @@ from corpusloom.operators import sampling, windows
 from corpusloom.plans.denorm import denorm
 
 SF = "/root/testdata/sf0.001"
-# Queries whose meaning needs the caller's Python function or a markup scanner.
+# Queries whose meaning needs the caller's Python function, a markup scanner or n-gram counts inside a row.
 PYTHON = {
     "fold_series", "scored_prompts", "batched_rows", "per_group", "link_harvest", "page_extract", "wiki_sections",
     "wiki_leaf_sections", "wiki_chunks", "wiki_plain_text", "gazetteer_annotate", "gazetteer_passages", "entity_prompts",
-    "search_by_title", "rouge_all", "minhash_index",
+    "search_by_title", "rouge_all", "rouge_12", "corpus_bleu", "corpus_bleu_counts", "minhash_index",
 }
 
 
@@ -23,7 +23,7 @@ def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(entry.catalog.QUERIES))
 def test_no_product_no_global_window_no_stray_python(spark, name):
     p = plan(entry.queries()[name](spark, SF))
     assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p

@@ -138,6 +138,12 @@ def test_queries_with_sql(spark, name):
     assert got["ok"], got["why"]
 
 
+@pytest.mark.parametrize("name", ["op2_containment", "op3_pseudonyms"])
+def test_native_queries_have_no_python(spark, name):
+    plan = entry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert not any(word in plan for word in ("Python", "Pandas", "ArrowEval", "CartesianProduct", "BroadcastNestedLoopJoin"))
+
+
 def test_every_operator_is_registered_once():
     names = [n for n in entry.queries() if n.startswith("op") and n[2].isdigit()]
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11)) and "pipeline" in entry.queries()

@@ -37,11 +37,11 @@ from corpusloom.operators.skew import small
 ORDERS, STEP, DEPTH, LEAST, REGION = 24, 4, 16, 3, 256
 # Orders whose neighbours make the first links.
 FIRST = 8
-# Entries of a block of the confirmation, and the least number of blocks.
-BLOCK, BLOCKS = 2000, 8
+# Entries of a block of the confirmation (few of them have candidates), and the least number of blocks.
+BLOCK, BLOCKS = 20_000, 8
 VALUES = ORDERS * STEP
-# Rows of the sorted orders that one task holds, about 30 MB.
-ROWS = 200_000
+# Rows of the sorted orders that one task holds, about 20 MB.
+ROWS = 100_000
 # Ids a broadcast may hold (16 bytes each); beyond that a shuffled join is used.
 BROADCAST_IDS = 1_000_000
 _MULTIPLY, _ADD = W.stream(5, VALUES) | np.uint64(1), W.stream(6, VALUES)
@@ -144,7 +144,21 @@ def _pairs_in(keys: np.ndarray, sizes: np.ndarray, sk: np.ndarray, group: np.nda
     return found[group[found[:, 0]] != group[found[:, 1]]]
 
 
-def _candidates(percent: int, grouped: bool, edge: bool):
+def _by_cell(d: np.ndarray, p: np.ndarray, blocks: int) -> pd.DataFrame:
+    """Pairs (row, row) as one row for each cell, a pair of blocks: the pairs' digests end to end, and all of them once."""
+    block = np.array([int.from_bytes(x[:8], "little") % blocks for x in d], np.int64)
+    pairs = {(d[i], d[j]) if d[i] < d[j] else (d[j], d[i]): (block[i], block[j]) for i, j in p.tolist()}
+    cells: dict[int, list[tuple[bytes, bytes]]] = {}
+    for pair, (i, j) in pairs.items():
+        cells.setdefault(int(min(i, j) * blocks + max(i, j)), []).append(pair)
+    rows = [(c, b"".join(x for pair in v for x in pair), sorted({x for pair in v for x in pair})) for c, v in cells.items()]
+    return pd.DataFrame(rows, columns=["cell", "pairs", "members"])
+
+
+_CELL = "cell long, pairs binary, members array<binary>"
+
+
+def _candidates(percent: int, grouped: bool, edge: bool, blocks: int):
     """Pairs of a sorted partition; its first and last rows go out too, to be compared across the cut."""
 
     def frame(b: pd.DataFrame, part) -> pd.DataFrame:
@@ -152,11 +166,7 @@ def _candidates(percent: int, grouped: bool, edge: bool):
         sk = np.frombuffer(b"".join(b["sketch"]), np.uint64).reshape(len(b), VALUES // 16)
         group = b["grp"].to_numpy() if grouped else None
         p = _pairs_in(keys, b["n"].to_numpy(), sk, group, percent)
-        d = b["digest"].to_numpy(object)
-        got = pd.DataFrame({"a": d[p[:, 0]], "b": d[p[:, 1]]})
-        swap = got["a"] > got["b"]
-        got.loc[swap, ["a", "b"]] = got.loc[swap, ["b", "a"]].to_numpy()
-        got = got.drop_duplicates()
+        got = _by_cell(b["digest"].to_numpy(object), p, blocks)
         if edge:
             return got
         # Only rows with the prefix of the partition's first or last row can have partners beyond the cut.
@@ -165,7 +175,8 @@ def _candidates(percent: int, grouped: bool, edge: bool):
         head[reach:] = False
         tail[:-reach] = False
         ends = [b[rows].assign(cut=cut) for cut, rows in ((part, head), (part + 1, tail))]
-        return pd.concat([got, *ends], ignore_index=True).reindex(columns=["a", "b", "key", "digest", "n", "sketch", "grp", "cut"])
+        out = pd.concat([got, *ends], ignore_index=True).reindex(columns=["cell", "pairs", "members", "key", "digest", "n", "sketch", "grp", "cut"])
+        return out.assign(members=out["members"].astype(object).where(out["members"].notna(), None))
 
     def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parts = [b for b in batches if len(b)]
@@ -179,55 +190,53 @@ def _candidates(percent: int, grouped: bool, edge: bool):
 
 
 def _sorted_pairs(entries: DataFrame, count: int, percent: int, grouped: bool, orders: int) -> DataFrame:
-    """Candidate pairs (a, b) of digests from the first `orders` orders."""
+    """Candidate pairs of digests from the first `orders` orders, by cell."""
     t = F.explode(F.sequence(F.lit(0), F.lit(orders - 1)))
     rows = entries.withColumn("t", t).select(
         F.concat(F.unhex(F.lpad(F.hex("t"), 2, "0")), F.substring(F.concat("vals", "vals"), F.col("t") * STEP + 1, F.lit(DEPTH))).alias("key"),
         "digest", "n", "sketch", "grp",
     )
+    blocks = max(BLOCKS, -(-count // BLOCK))
     # The digest makes the sort key unique, so equal prefixes of any number spread over tasks.
     spread = rows.repartitionByRange(partitions_for(entries, count * orders, ROWS), "key", "digest").sortWithinPartitions("key", "digest")
-    shape = "a binary, b binary, key binary, digest binary, n long, sketch binary, grp long, cut int"
-    got = written(spread.mapInPandas(_candidates(percent, grouped, False), shape), "forest")
+    shape = _CELL + ", key binary, digest binary, n long, sketch binary, grp long, cut int"
+    got = written(spread.mapInPandas(_candidates(percent, grouped, False, blocks), shape), "forest")
     # At most 2 * REGION rows for each cut between tasks.
-    ends = got.where("cut is not null").drop("a", "b")
-    seams = ends.groupBy("cut").applyInPandas(_candidates(percent, grouped, True), "a binary, b binary")
-    return got.where("cut is null").select("a", "b").unionByName(seams).distinct()
+    ends = got.where("cut is not null").drop("cell", "pairs", "members")
+    seams = ends.groupBy("cut").applyInPandas(_candidates(percent, grouped, True, blocks), _CELL)
+    return got.where("cut is null").select("cell", "pairs", "members").unionByName(seams)
 
 
 def _confirm(percent: int):
-    def run(pairs: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
+    def run(cells: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
         sets = {d: np.frombuffer(m, np.uint64) for d, m in zip(members["digest"], members["members"], strict=True)}
+        pairs = {(raw[i : i + 16], raw[i + 16 : i + 32]) for raw in map(bytes, cells["pairs"]) for i in range(0, len(raw), 32)}
         keep = []
-        for a, b in zip(pairs["a"], pairs["b"], strict=True):
+        for a, b in pairs:
             x, y = sets[a], sets[b]
             both = len(np.intersect1d(x, y, assume_unique=True))
-            keep.append(100 * both >= percent * (len(x) + len(y) - both))
-        return pairs.loc[keep, ["a", "b"]]
+            if 100 * both >= percent * (len(x) + len(y) - both):
+                keep.append((a, b))
+        return pd.DataFrame(keep, columns=["a", "b"])
 
     return run
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, owners: DataFrame, width: int, percent: int) -> DataFrame:
+def _confirmed(cells: DataFrame, docs: DataFrame, owners: DataFrame, width: int, percent: int) -> DataFrame:
     """Links (a, b) of entry ids: the pairs whose full shingle sets reach the threshold.
 
     Entries are hashed to blocks; a cell is a pair of blocks and confirms the pairs between them. A set is sent once
     to every cell that has a pair with it, not once for every pair.
     """
-    pairs = written(pairs, "pairs")
-    sides = pairs.select(F.col("a").alias("digest")).unionByName(pairs.select(F.col("b").alias("digest"))).distinct()
-    need = written(owners.join(sides, "digest"), "need")
-    count = need.count()
+    cells = written(cells, "cells")
+    wants = cells.select("cell", F.explode("members").alias("digest")).distinct()
+    need = written(owners.join(wants.select("digest").distinct(), "digest"), "need")
     texts = docs.join(small(need.select(F.col("id").alias("doc_id")).distinct(), BROADCAST_IDS), "doc_id", "left_semi")
     sets = texts.select("text").mapInPandas(_describe(width, True), "digest binary, members binary")
     # A doc_id that repeats with another text brings sets nobody asked for; a text that repeats comes once.
     sets = written(sets.join(small(need.select("digest"), BROADCAST_IDS), "digest", "left_semi").dropDuplicates(["digest"]), "sets")
-    blocks = max(BLOCKS, -(-count // BLOCK))
-    of = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks))
-    cells = pairs.withColumn("cell", F.least(of("a"), of("b")) * blocks + F.greatest(of("a"), of("b")))
-    sent = cells.select("cell", F.col("a").alias("digest")).unionByName(cells.select("cell", F.col("b").alias("digest"))).distinct().join(sets, "digest")
-    sent = sent.select(F.col("cell").alias("to_cell"), F.col("digest").alias("digest"), "members")
-    links = cells.groupBy("cell").cogroup(sent.groupBy("to_cell")).applyInPandas(_confirm(percent), "a binary, b binary")
+    sent = wants.join(sets, "digest").select(F.col("cell").alias("to_cell"), "digest", "members")
+    links = cells.select("cell", "pairs").groupBy("cell").cogroup(sent.groupBy("to_cell")).applyInPandas(_confirm(percent), "a binary, b binary")
     ids = small(need.select("digest", "id"), BROADCAST_IDS)
     links = links.join(ids.withColumnsRenamed({"digest": "a", "id": "ia"}), "a").join(ids.withColumnsRenamed({"digest": "b", "id": "ib"}), "b")
     return links.select(F.col("ia").alias("a"), F.col("ib").alias("b"))

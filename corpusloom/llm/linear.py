@@ -31,23 +31,36 @@ def svm(x: np.ndarray, y: np.ndarray, c: float = 10.0, rounds: int = 30) -> np.n
     return w
 
 
+def newton(x: np.ndarray, target: np.ndarray, start: np.ndarray, ridge: float) -> np.ndarray:
+    """Logistic regression on a few columns, drawn towards `start`. Steps are halved until the loss falls, so it cannot diverge."""
+
+    def loss(c: np.ndarray) -> float:
+        z = x @ c
+        return float((np.logaddexp(0, z) - target * z).sum() + 0.5 * ridge * ((c - start) ** 2).sum())
+
+    c, now = start.copy(), loss(start)
+    for _ in range(60):
+        p = sigmoid(x @ c)
+        g = x.T @ (p - target) + ridge * (c - start)
+        h = (x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(c))
+        step = np.linalg.solve(h, g)
+        while loss(c - step) > now and np.abs(step).max() > 1e-9:
+            step = step / 2
+        c, before, now = c - step, now, loss(c - step)
+        if before - now < 1e-9 * (1 + abs(now)):
+            break
+    return c
+
+
 def platt(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     """(slope, shift) of the logistic curve that turns margins into probabilities of y (0 or 1)."""
     pos, neg = float(y.sum()), float(len(y) - y.sum())
     if not pos or not neg:
         return 0.0, 8.0 if pos else -8.0
     target = np.where(y > 0, (pos + 1) / (pos + 2), 1 / (neg + 2))  # smoothed, so that the slope stays finite
-    a, b = 1.0, 0.0
-    for _ in range(50):
-        p = sigmoid(a * margin + b)
-        g = np.array([((p - target) * margin).sum(), (p - target).sum()])
-        v = p * (1 - p) + 1e-9
-        h = np.array([[(v * margin * margin).sum(), (v * margin).sum()], [(v * margin).sum(), v.sum()]]) + 1e-6 * np.eye(2)
-        step = np.linalg.solve(h, g)
-        a, b = a - step[0], b - step[1]
-        if np.abs(step).max() < 1e-6:
-            break
-    return float(a), float(b)
+    scale = max(float(np.std(margin)), 1e-9)
+    c = newton(np.column_stack([margin / scale, np.ones(len(margin))]), target, np.array([1.0, 0.0]), 0.01)
+    return float(c[0] / scale), float(c[1])
 
 
 class Sparse:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm import words as W
-from corpusloom.llm.linear import Sparse, logistic, platt, sigmoid
+from corpusloom.llm.linear import Sparse, logistic, newton, platt, sigmoid
 
 LABELLED, POOL, ROUNDS = 1500, 3000, 3
 # Presence features: hashed words and text marks, hashed metadata and layout marks.
@@ -176,15 +176,7 @@ def co_train(y: np.ndarray, known: list[tuple[np.ndarray, np.ndarray]], pool: li
     target = y[check].astype(float)
     share = min(max(float(target.mean()), 1e-3), 1 - 1e-3)
     start = np.array([1.0, 1.0, -np.log(share / (1 - share))])
-    c, zz = start.copy(), np.column_stack([z, np.ones(len(z))])
-    for _ in range(30):
-        q = sigmoid(zz @ c)
-        g = zz.T @ (q - target) + 0.5 * (c - start)
-        h = (zz * (q * (1 - q))[:, None]).T @ zz + 0.5 * np.eye(3)
-        step = np.linalg.solve(h, g)
-        c = c - step
-        if np.abs(step).max() < 1e-6:
-            break
+    c = newton(np.column_stack([z, np.ones(len(z))]), target, start, 0.5)
     c[:2] = np.maximum(c[:2], 0.0)
     return {"w": w, "curves": curves, "mix": c}
 

@@ -200,6 +200,15 @@ def test_machine_and_curve():
     assert a > 0 and ((sigmoid(a * m + b) > 0.5) == (y > 0)).mean() > 0.97
 
 
+def test_curve_of_separable_margins_stays_finite():
+    """Plain Newton steps run off here; the curve has to rise, moderately, and put both classes right."""
+    for gap in (0.5, 5.0, 40.0):
+        m = np.concatenate([np.linspace(-gap - 3, -gap, 300), np.linspace(gap, gap + 6, 900)])
+        y = (m > 0).astype(float)
+        a, b = platt(m, y)
+        assert 0 < a < 100 and abs(b) < 50 and ((sigmoid(a * m + b) > 0.5) == (y > 0)).all()
+
+
 @pytest.mark.parametrize("block", [7, 4096])
 def test_mix_takes_the_targets(spark, monkeypatch, block):
     """Targets by plain water filling; words taken by source within one word; also through several levels of the tree."""

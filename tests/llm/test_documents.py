@@ -301,6 +301,12 @@ def test_chain_finds_the_best_score():
         assert score == pytest.approx(_brute_chain(pos, lpos))
 
 
+def test_far_matches_hide_no_near_ones():
+    pos = np.concatenate([np.arange(0, 500, 4), np.arange(600, 660, 4), np.arange(760, 820, 4)])
+    ways = passages.chain(pos, pos + 7)
+    assert sorted((int(pos[w[0]]), int(pos[w[-1]])) for w in ways) == [(0, 496), (600, 656), (760, 816)]
+
+
 def test_edit_distance_of_words():
     def plain(x, y):
         row = list(range(len(y) + 1))
@@ -339,6 +345,16 @@ def test_repeated_passages_are_found(spark):
         assert x.of_doc_id < x.doc_id and x.identity >= 0.9
 
 
+def test_further_passages_of_a_pair_are_found(spark):
+    """Two passages 100 words apart, and near copies with a replaced paragraph of 30 and 90 words."""
+    one, two, rest = common.prose(61, 200), common.prose(62, 60), common.prose(63, 55)
+    other = [common.prose(70 + i, n) for i, n in enumerate([100, 100, 30, 30, 90, 90])]
+    rows = [(1, f"{one} {other[0]} {two}"), (2, f"{one} {other[1]} {two}"), (11, f"{rest} {other[2]} {common.prose(64, 60)}"), (12, f"{rest} {other[3]} {common.prose(64, 60)}")]
+    rows += [(21, f"{common.prose(65, 80)} {other[4]} {common.prose(66, 80)}"), (22, f"{common.prose(65, 80)} {other[5]} {common.prose(66, 80)}")]
+    got = {(x.doc_id, x.passage_start, x.passage_end) for x in passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(2, 0, 200), (2, 300, 360), (12, 0, 55), (12, 85, 145), (22, 0, 80), (22, 170, 250)}
+
+
 def test_repeated_passages_of_odd_rows(spark):
     df, _ = common.odd_documents(spark)
     got = {(x.doc_id, x.of_doc_id) for x in passages.repeated_passages(df).collect()}

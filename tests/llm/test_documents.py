@@ -355,6 +355,17 @@ def test_further_passages_of_a_pair_are_found(spark):
     assert got == {(2, 0, 200), (2, 300, 360), (12, 0, 55), (12, 85, 145), (22, 0, 80), (22, 170, 250)}
 
 
+def test_passages_of_lines_that_stand_alone_in_earlier_documents(spark):
+    """The lines of a shared passage have other first holders, each under the shortest chain."""
+    lines = [common.prose(80 + i, 20) for i in range(4)]
+    rows = [(i, f"{common.prose(90 + i, 60)} {line} {common.prose(100 + i, 60)}") for i, line in enumerate(lines)]
+    rows += [(10 + i, f"{common.prose(110 + i, 60)} {' '.join(lines)} {common.prose(120 + i, 60)}") for i in range(2)]
+    # A document before them has the ends of neighbouring lines alone, so short seeds over the ends lead elsewhere, too.
+    rows += [(5 + i, f"{common.prose(130 + i, 60)} {' '.join(lines[i].split()[-11:] + lines[i + 1].split()[:11])} {common.prose(140 + i, 60)}") for i in range(3)]
+    got = {(x.doc_id, x.of_doc_id, x.passage_start, x.passage_end) for x in passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(11, 10, 60, 140)}
+
+
 def test_repeated_passages_of_odd_rows(spark):
     df, _ = common.odd_documents(spark)
     got = {(x.doc_id, x.of_doc_id) for x in passages.repeated_passages(df).collect()}

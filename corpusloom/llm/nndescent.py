@@ -9,14 +9,16 @@ Edges at the threshold are confirmed in double precision and joined to component
 A list of K that holds threshold edges only is saturated: its entry has more links than places. Its list is enlarged to
 the whole component, compared in blocks of BLOCK, of which a task sees two. So links are counted in full.
 
-Recall is audited: AUDIT entries, drawn by a hash, are compared with all entries. If fewer than RECALL of
-their links stay inside their components, lists are doubled, other projections added, and the rounds go on.
+Recall is audited entry by entry: entries drawn by a hash, AUDIT at a time, are compared with all entries, until ENOUGH
+of them had links, but K at most, or DRAWS times AUDIT are drawn. If of an entry's links less than RECALL stay inside its component, in the mean
+over all entries with links or over those with K at most, lists are doubled, other projections added, and the rounds go on.
 
 The search compares 8-bit roundings of the unit vectors; every link that counts is computed in double precision.
 """
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,9 +32,10 @@ from corpusloom.llm.store import components, partitions_for, written
 K, ORDERS, BITS, WINDOW = 12, 6, 32, 4
 SETTLED, ROUNDS = 0.05, 8
 BLOCK = 256
-AUDIT, RECALL = 256, 0.999
+AUDIT, ENOUGH, DRAWS, RECALL = 256, 64, 64, 0.999
 SLACK = 0.03  # more than the rounding can change a cosine
 ROWS = 100_000
+_log = logging.getLogger(__name__)
 
 
 def _clean(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -174,29 +177,40 @@ def _exact_edges(graph: DataFrame, entries: DataFrame, threshold: float) -> Data
     return written(near.join(x, "a").join(y, "b").mapInPandas(_confirm(threshold), "a long, b long"), "edges")
 
 
-def _recall(entries: DataFrame, named: DataFrame, threshold: float) -> float:
-    """Share of the true links of AUDIT entries that stay inside their components."""
-    drawn = entries.orderBy(F.xxhash64("id", F.lit(41))).limit(AUDIT).join(named, "id", "left").select("id", "unit", F.coalesce("component", "id").alias("c")).toPandas()
-    units: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-    for n, g in drawn.groupby(drawn["unit"].map(len)):
-        units[n] = (g["id"].to_numpy(), g["c"].to_numpy(), np.frombuffer(b"".join(g["unit"])).reshape(len(g), -1))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            true = found = 0
-            for n, g in b.groupby(b["unit"].map(len)):
-                if n not in units:
-                    continue
-                i, c, m = units[n]
-                s = m @ np.frombuffer(b"".join(g["unit"])).reshape(len(g), -1).T
-                link = (s >= threshold) & (i[:, None] != g["id"].to_numpy()[None])
-                true += int(link.sum())
-                found += int((link & (c[:, None] == g["c"].to_numpy()[None])).sum())
-            yield pd.DataFrame({"t": [true], "f": [found]})
-
+def _recall(entries: DataFrame, named: DataFrame, threshold: float, count: int) -> tuple[float, float, int]:
+    """The mean share of an audited entry's true links that stay inside its component, over the entries with links
+    and over those with K links at most, and how many of the latter were seen. A share of no entries is 1."""
     rows = entries.select("id", "unit").join(named, "id", "left").select("id", "unit", F.coalesce("component", "id").alias("c"))
-    got = rows.mapInPandas(run, "t long, f long").agg(F.sum("t"), F.sum("f")).first()  # two numbers
-    return 1.0 if not got[0] else got[1] / got[0]
+    buckets = max(1, count // AUDIT)
+    bucket = F.pmod(F.xxhash64("id", F.lit(41)), F.lit(buckets))
+    last, at, step = min(buckets, DRAWS), 0, 1
+    n_all = n_few = 0
+    all_ = few = 0.0
+    while at < last and n_few < ENOUGH:
+        to = min(at + step, last)
+        drawn = rows.where((bucket >= at) & (bucket < to)).toPandas()  # about AUDIT rows for each bucket
+        units = [(g["id"].to_numpy(), g["c"].to_numpy(), np.frombuffer(b"".join(g["unit"])).reshape(len(g), -1)) for _, g in drawn.groupby(drawn["unit"].map(len))]
+
+        def run(batches: Iterator[pd.DataFrame], units: list = units) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                for _, g in b.groupby(b["unit"].map(len)):
+                    ids, names = g["id"].to_numpy(), g["c"].to_numpy()
+                    m = np.frombuffer(b"".join(g["unit"])).reshape(len(g), -1)
+                    for i, c, x in units:
+                        if x.shape[1] != m.shape[1]:
+                            continue
+                        for lo in range(0, len(i), AUDIT):
+                            part = slice(lo, lo + AUDIT)
+                            link = (x[part] @ m.T >= threshold) & (i[part, None] != ids[None])
+                            true, found = link.sum(1), (link & (c[part, None] == names[None])).sum(1)
+                            yield pd.DataFrame({"id": i[part], "t": true, "f": found})[true > 0]
+
+        each = rows.mapInPandas(run, "id long, t long, f long").groupBy("id").agg(F.sum("t").alias("t"), F.sum("f").alias("f"))
+        share, small_ = F.col("f") / F.col("t"), F.col("t") <= K
+        got = each.agg(F.count(F.lit(1)), F.sum(share), F.count(F.when(small_, 1)), F.sum(F.when(small_, share))).first()  # four numbers
+        n_all, all_, n_few, few = n_all + got[0], all_ + (got[1] or 0.0), n_few + got[2], few + (got[3] or 0.0)
+        at, step = to, min(2 * step, 8)
+    return (all_ / n_all if n_all else 1.0), (few / n_few if n_few else 1.0), n_few
 
 
 def _count_links(threshold: float):
@@ -260,7 +274,11 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_
             if graph.where(F.col("came") == now).count() <= SETTLED * k * max(count, 1):
                 break
         named = components(_exact_edges(graph, entries, threshold))
-        if count <= 2 * k or _recall(entries, named, threshold) >= RECALL:
+        if count <= 2 * k:
+            break
+        share, few, seen = _recall(entries, named, threshold, count)
+        _log.info("lists of %d: mean recall %.4f, %.4f over %d entries with %d links at most", k, share, few, seen, K)
+        if min(share, few) >= RECALL:
             break
         k, now = 2 * k, now + 1
     links = _links(entries, named, threshold)

@@ -50,6 +50,25 @@ def test_vectors_against_brute_force(spark, monkeypatch):
     assert got == _brute_vectors(rows)
 
 
+def test_audit_sees_lost_pairs_beside_a_large_cluster(spark, monkeypatch):
+    """All links of 400 alike entries are found, those of 30 pairs are not."""
+    monkeypatch.setattr(nndescent, "AUDIT", 64)
+    r = np.random.default_rng(5)
+
+    def near(centre):
+        v = centre + 0.02 * r.normal(size=24)
+        return (v / np.linalg.norm(v)).tobytes()
+
+    hot = r.normal(size=24)
+    units = [near(hot) for _ in range(400)] + [near(c) for c in r.normal(size=(30, 24)) for _ in range(2)]
+    entries = spark.createDataFrame([(i, bytearray(u)) for i, u in enumerate(units)], "id long, unit binary").repartition(3)
+    cluster = [(i, 0) for i in range(400)]
+    pairs = [(i, i - i % 2) for i in range(400, 460)]
+    share, few, seen = nndescent._recall(entries, spark.createDataFrame(cluster, "id long, component long"), 0.9, 460)
+    assert 0.8 < share < 0.95 and few == 0.0 and seen == 60
+    assert nndescent._recall(entries, spark.createDataFrame(cluster + pairs, "id long, component long"), 0.9, 460) == (1.0, 1.0, 60)
+
+
 def test_odd_vectors(spark):
     rows = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [0.0, 0.0]), (4, None), (5, []), (6, [None, 1.0]), (7, [float("nan"), 1.0]), (8, [1.0, 0.0, 0.0]), (9, [1.0, 0.0]), (10, [-1.0, 0.0]), (11, [float("inf"), 1.0])]
     df = spark.createDataFrame([(*x, "a", 1.0) for x in [*rows, (None, [1.0, 0.0])]], "vec_id long, embedding array<double>, id string, s double")

@@ -13,6 +13,11 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def lower_ascii(text: Column) -> Column:
+    """A-Z lower-cased, other letters as they are."""
+    return F.translate(text, _UPPER, _LOWER)
+
+
 def words(text: Column) -> Column:
     """Runs of characters other than space and \\x09-\\x0D, A-Z lower-cased; none for NULL."""
     cut = F.split(F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER), "[ \\t-\\r]+")

@@ -2,21 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions import fixed
-
-try:
-    import ahocorasick
-except ImportError:  # the plain search below finds the same places
-    ahocorasick = None
-
-# Titles one broadcast dictionary may hold; a longer one is cut into shards of this size.
-SHARD_TITLES = 100_000
+from corpusloom.operators import skew, substrings
+from corpusloom.session import stable
 
 _HITS = "array<struct<title:string,start_word:int,end_word:int,entity_type:string>>"
 
@@ -29,67 +20,32 @@ def tag_dictionary(pages: DataFrame, title: str = "title", tag: str = "tag") ->
     )
 
 
-def _scan(docs: DataFrame, text_col: str, pairs: list[tuple[str, str]], out: str) -> DataFrame:
-    """`out`: first place of every title found, one pass over each text whatever the dictionary's size."""
-    types: dict[str, list[str]] = {}
-    for title, kind in sorted(pairs):
-        types.setdefault(title, []).append(kind)
-    shared = docs.sparkSession.sparkContext.broadcast(types)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = shared.value
-        machine = None
-        if ahocorasick is not None and known:
-            machine = ahocorasick.Automaton()
-            for t in known:
-                machine.add_word(t, t)
-            machine.make_automaton()
-
-        def places(s: str | None) -> list[dict]:
-            first: dict[str, int] = {}
-            if s:
-                if machine is not None:
-                    for end, t in machine.iter(s):
-                        first.setdefault(t, end - len(t) + 1)
-                else:
-                    first = {t: s.find(t) for t in known if t in s}
-            return [
-                {"title": t, "start_word": at, "end_word": at + len(t), "entity_type": k}
-                for t, at in sorted(first.items()) for k in known[t]
-            ]
-
-        for pdf in batches:
-            yield pdf.assign(**{out: pdf[text_col].map(places)})
-
-    return docs.mapInPandas(run, schema=f"{fields}, `{out}` {_HITS}")
-
-
-def annotate_gazetteer(
-    docs: DataFrame, dictionary: DataFrame, id_col: str, text_col: str, out: str = "annotations",
-    shard_titles: int = SHARD_TITLES,
-) -> DataFrame:
-    """Adds an array of (title, start_word, end_word, entity_type): the first case-sensitive
-    occurrence of each title, 0-based character offsets, wherever it starts.
-
-    A dictionary is sent to the executors in shards of checked size. One shard needs no
-    shuffle; with several, the shards' arrays are joined by id.
+def _typed_places(docs: DataFrame, dictionary: DataFrame, text_col: str, hot: int) -> DataFrame:
+    """(_t, title, start_word, end_word, entity_type): a row for each different text, title and type."""
+    d = dictionary.select(F.col("title").cast("string").alias("title"), F.col("entity_type").cast("string").alias("entity_type")).where("title <> ''").distinct()
+    typed = substrings.first_places(docs, stable(d), text_col, "title", hot)
+    return typed.select("_t", "title", F.col("at").alias("start_word"), (F.col("at") + F.length("title")).alias("end_word"), "entity_type")
+
+
+def gazetteer_rows(docs: DataFrame, dictionary: DataFrame, id_col: str, text_col: str, hot: int = skew.GROUP_LIMIT) -> DataFrame:
+    """(id, title, start_word, end_word, entity_type): the first case-sensitive occurrence of each title in each row's text,
+    0-based character offsets, wherever it starts; one row for each type of the title.
+
+    Dictionaries and texts of any size are joined as tables, and texts are never moved. Rows with a NULL or repeated id have their own
+    texts' titles; rows without text have none.
     """
-    d = dictionary.select("title", "entity_type").where("title <> ''").distinct()
-    shards = max(1, -(-d.count() // shard_titles))
-    got = None
-    for i in range(shards):
-        part = d.where(F.pmod(F.xxhash64("title"), F.lit(shards)) == i)
-        pairs = [(r["title"], r["entity_type"]) for r in part.collect()]
-        if shards == 1:
-            return _scan(docs, text_col, pairs, out)
-        hits = _scan(docs.select(id_col, text_col), text_col, pairs, out).select(id_col, F.inline(out))
-        got = hits if got is None else got.unionByName(hits)
-    merged = got.groupBy(id_col).agg(
-        F.sort_array(F.collect_list(F.struct("title", "start_word", "end_word", "entity_type"))).alias(out)
-    )
-    empty = F.array().cast(_HITS)
-    return docs.join(merged, id_col, "left").withColumn(out, F.coalesce(out, empty))
+    places = _typed_places(docs, dictionary, text_col, hot)
+    rows = docs.select(F.col(id_col), substrings.text_key(F.col(text_col)).alias("_t"))
+    return rows.join(places, "_t").drop("_t")
+
+
+def annotate_gazetteer(docs: DataFrame, dictionary: DataFrame, id_col: str, text_col: str, out: str = "annotations", hot: int = skew.GROUP_LIMIT) -> DataFrame:
+    """`docs` with an array of the (title, start_word, end_word, entity_type) that `gazetteer_rows` gives, by title, then type."""
+    places = _typed_places(docs, dictionary, text_col, hot)
+    # At most as many as a text has different pieces.
+    lists = places.groupBy("_t").agg(F.sort_array(F.collect_list(F.struct("title", "start_word", "end_word", "entity_type"))).alias(out))
+    joined = docs.withColumn("_t", substrings.text_key(F.col(text_col))).join(lists, "_t", "left")
+    return joined.select(*docs.columns, F.coalesce(out, F.array().cast(_HITS)).alias(out))
 
 
 def annotation_rows(annotated: DataFrame, id_col: str, col: str = "annotations") -> DataFrame:
@@ -99,12 +55,10 @@ def annotation_rows(annotated: DataFrame, id_col: str, col: str = "annotations")
 def entity_prompts(annotated: DataFrame, text_col: str, col: str = "annotations") -> DataFrame:
     """Instruction rows whose response is the JSON map title -> place and type. A title of two
     types keeps the last in name order."""
-    kept = F.filter(
-        col,
-        lambda x, i: ~F.exists(F.slice(F.col(col), i + 2, F.size(col)), lambda y: y["title"] == x["title"]),
-    )
+    # Equal titles follow each other.
+    last = F.filter(col, lambda x, i: F.coalesce(F.get(F.col(col), i + 1)["title"] != x["title"], F.lit(True)))
     entries = F.transform(
-        kept, lambda x: F.struct(x["title"], F.struct(x["start_word"].alias("start_word"), x["end_word"].alias("end_word"), x["entity_type"].alias("entity_type")))
+        last, lambda x: F.struct(x["title"], F.struct(x["start_word"].alias("start_word"), x["end_word"].alias("end_word"), x["entity_type"].alias("entity_type")))
     )
     return annotated.select(
         F.lit(fixed.ENTITY_INSTRUCTION).alias("instruction"), F.col(text_col).alias("input"),

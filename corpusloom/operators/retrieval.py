@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as tx
-from corpusloom.operators import sampling, skew
+from corpusloom.operators import sampling, skew, substrings
 from corpusloom.session import stable
 
 K1 = 1.2
@@ -78,20 +78,16 @@ def search_by_title(
 ) -> DataFrame:
     """Pages whose title stands in the query: (query_id, doc_id, title, pos), longest title first.
 
-    Queries are short, titles are many: each query gives its pieces up to the longest title's
-    length, and pieces meet titles in an equi join. No title list is collected or sent around.
+    Titles meet the queries' pieces of lengths that titles have, in equi joins. Of the pages that share a title only the first `k`
+    by id can be among a query's best, so a title of any number of pages is a short group. Rows with a NULL or repeated query id share their hits.
     """
     d = docs.select(F.col(doc_id).alias("doc_id"), F.col(title).alias("title")).where("title <> ''")
-    longest = d.agg(F.max(F.length("title"))).scalar()
+    # Cut to `k` pages for each title in the tasks that read them.
+    best = stable(sampling.top_k(d, ["title"], [F.asc("doc_id")], k, "_n").drop("_n"))
     q = queries.select(F.col(query_id).alias("query_id"), F.col(query_text).alias("_q")).where("_q <> ''")
-    starts = q.select("query_id", "_q", F.explode(F.sequence(F.lit(1), F.length("_q"))).alias("_at"))
-    room = F.least(longest, F.length("_q") - F.col("_at") + 1)
-    lengths = F.explode(F.sequence(F.lit(1), F.greatest(room, F.lit(1)))).alias("_n")
-    pieces = (
-        starts.select("query_id", "_q", "_at", lengths)
-        .select("query_id", F.substring("_q", F.col("_at"), F.col("_n")).alias("title")).distinct()
-    )
-    hits = pieces.join(d, "title").select("query_id", "doc_id", "title")
+    found = substrings.first_places(q, best.select("title").distinct(), "_q", "title")
+    rows = q.select("query_id", substrings.text_key(F.col("_q")).alias("_t")).distinct()
+    hits = rows.join(found, "_t").join(best, "title").select("query_id", "doc_id", "title")
     return sampling.top_k(hits, ["query_id"], [F.desc(F.length("title")), F.asc("doc_id")], k)
 
 

@@ -43,6 +43,24 @@ def join_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str =
     return left.join(r, _same(left, r, keys), how).drop(*[f"_k_{k}" for k in keys])
 
 
+def join_few(left: DataFrame, right: DataFrame, keys: Sequence[str], limit: int = GROUP_LIMIT, salts: int = 64) -> DataFrame:
+    """Inner equi join with a right side that has few rows for each key, NULL keys left out.
+
+    Keys with more than `limit` rows on the left are dealt over `salts` tasks each, and the right rows of these keys, few by
+    meaning, go to all of them. `left` is read twice, so it should be a table or a checkpoint.
+    """
+    many = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit).drop("_n")
+    if many.isEmpty():
+        return left.join(right, list(keys))
+    many = small(stable(many)).withColumn("_hot", F.lit(True))
+    salted = left.join(many, list(keys), "left").withColumn(
+        "_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(*left.columns), F.lit(salts))).otherwise(F.lit(0).cast("bigint"))
+    )
+    copies = F.when(F.col("_hot"), F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))).otherwise(F.array(F.lit(0).cast("bigint")))
+    dealt = right.join(many, list(keys), "left").withColumn("_salt", F.explode(copies))
+    return salted.drop("_hot").join(dealt.drop("_hot"), [*keys, "_salt"]).drop("_salt")
+
+
 def split_hot(
     df: DataFrame, keys: Sequence[str], limit: int = GROUP_LIMIT
 ) -> tuple[DataFrame, DataFrame | None]:

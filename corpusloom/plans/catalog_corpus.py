@@ -112,14 +112,14 @@ SELECT doc_id, title, entity_type, (instr(text, title) - 1)::INT AS start_word,
 FROM documents JOIN dict ON contains(text, title)""")
 def gazetteer_annotate(s, d):
     dictionary = gazetteer.tag_dictionary(_titles(s, d))
-    return gazetteer.annotation_rows(gazetteer.annotate_gazetteer(docs(s, d), dictionary, "doc_id", "text"), "doc_id")
+    return gazetteer.gazetteer_rows(docs(s, d), dictionary, "doc_id", "text")
 
 
 @query("gazetteer_passages", """
 SELECT doc_id, item_id, (instr(d.text, b.text) - 1)::INT AS start_word FROM documents d JOIN benchmark b ON contains(d.text, b.text)""")
 def gazetteer_passages(s, d):
     b = table(s, d, "benchmark").select(F.col("text").alias("title"), F.col("item_id").cast("string").alias("entity_type"))
-    rows = gazetteer.annotation_rows(gazetteer.annotate_gazetteer(docs(s, d), b, "doc_id", "text"), "doc_id")
+    rows = gazetteer.gazetteer_rows(docs(s, d), b, "doc_id", "text")
     return rows.select("doc_id", F.col("entity_type").cast("bigint").alias("item_id"), "start_word")
 
 

@@ -7,7 +7,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.operators import evaluation, gazetteer, retrieval, scoring
+from corpusloom.operators import evaluation, gazetteer, retrieval, scoring, substrings
 from corpusloom.plans import packaging
 
 
@@ -99,20 +99,57 @@ def test_bm25(spark):
     assert [r.score for r in got] == pytest.approx([-s for s, _ in want[:3]], abs=1e-6)
 
 
-@pytest.mark.parametrize("shard", [100, 2])
-@pytest.mark.parametrize("machine", [True, False])
-def test_gazetteer(spark, monkeypatch, shard, machine):
-    if not machine:
-        monkeypatch.setattr(gazetteer, "ahocorasick", None)
+@pytest.mark.parametrize("hot", [1_000_000, 0])
+def test_gazetteer(spark, hot):
     pages = spark.createDataFrame([("Fire", "jutsu"), ("Fire", "clan"), ("Fire Ball", "jutsu"), ("", "x"), ("none", None), ("ß日", "clan")], "title string, tag string")
     d = gazetteer.tag_dictionary(pages)
-    docs = spark.createDataFrame([(1, "Campfire Fire Ball Fire"), (2, "fire"), (3, None), (4, "aaß日本")], "id int, text string")
-    got = gazetteer.annotate_gazetteer(docs, d, "id", "text", shard_titles=shard)
-    rows = sorted((r.id, r.title, r.entity_type, r.start_word, r.end_word) for r in gazetteer.annotation_rows(got, "id").collect())
-    assert rows == [(1, "Fire", "clan", 9, 13), (1, "Fire", "jutsu", 9, 13), (1, "Fire Ball", "jutsu", 9, 18), (4, "ß日", "clan", 2, 4)]
+    docs = spark.createDataFrame([(1, "Campfire Fire Ball Fire"), (2, "fire"), (3, None), (4, "aaß日本"), (None, "aFire"), (None, "Fire"), (1, "Fire"), (1, "Fire")], "id int, text string")
+    got = gazetteer.annotate_gazetteer(docs, d, "id", "text", hot=hot)
+    want = [
+        (1, "Fire", "clan", 0, 4), (1, "Fire", "clan", 0, 4), (1, "Fire", "clan", 9, 13), (1, "Fire", "jutsu", 0, 4), (1, "Fire", "jutsu", 0, 4), (1, "Fire", "jutsu", 9, 13),
+        (1, "Fire Ball", "jutsu", 9, 18), (4, "ß日", "clan", 2, 4),
+        (None, "Fire", "clan", 0, 4), (None, "Fire", "clan", 1, 5), (None, "Fire", "jutsu", 0, 4), (None, "Fire", "jutsu", 1, 5),
+    ]
+    for rows in (gazetteer.annotation_rows(got, "id"), gazetteer.gazetteer_rows(docs, d, "id", "text", hot)):
+        assert sorted(map(repr, want)) == sorted(repr((r.id, r.title, r.entity_type, r.start_word, r.end_word)) for r in rows.collect())
+    assert got.count() == 8
     p = {r.input: r.response for r in gazetteer.entity_prompts(got, "text").collect()}
     assert p["Campfire Fire Ball Fire"] == '{"Fire":{"start_word":9,"end_word":13,"entity_type":"jutsu"},"Fire Ball":{"start_word":9,"end_word":18,"entity_type":"jutsu"}}'
     assert p["fire"] == "{}"
+    assert gazetteer.gazetteer_rows(docs, d.limit(0), "id", "text").count() == 0
+    assert gazetteer.gazetteer_rows(docs.limit(0), d, "id", "text").count() == 0
+
+
+@pytest.mark.parametrize("part", [1 << 19, 40])
+def test_titles_of_all_lengths(spark, monkeypatch, part):
+    """Random titles of 1 to 90 characters that overlap, against str.find; texts longer than a part, and a filter too small to help."""
+    monkeypatch.setattr(substrings, "PART", part)
+    monkeypatch.setattr(substrings, "LEAST_BITS", 1 << 15)
+    r = random.Random(part)
+    texts = ["".join(r.choice("ab é𝒳\n") for _ in range(r.choice([0, 1, 5, 60, 300]))) for _ in range(40)] + [None]
+    titles = set()
+    for t in texts:
+        for _ in range(8 if t else 0):
+            i = r.randrange(len(t))
+            titles |= {t[i : i + r.choice([1, 2, 3, 7, 8, 9, 31, 90])]}
+    titles |= {t[:-1] + "q" for t in titles} | {"zz", ""}
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string").repartition(3)
+    d = spark.createDataFrame([(t,) for t in sorted(titles)] + [(None,)], "title string")
+    got = gazetteer.gazetteer_rows(docs, d.withColumn("entity_type", F.lit("x")), "id", "text")
+    want = sorted((i, t, x.find(t)) for i, x in enumerate(texts) if x for t in titles if t and t in x)
+    assert sorted((x.id, x.title, x.start_word) for x in got.collect()) == want
+
+
+def test_dictionary_of_200_000_titles(spark):
+    """Titles that share their beginnings, joined without being collected."""
+    titles = spark.range(200_000).select(F.concat(F.lit("List of things numbered "), F.col("id").cast("string")).alias("title"), F.lit("list").alias("entity_type"))
+    docs = spark.range(3000).select("id", F.concat(F.lit("see List of things numbered "), (F.col("id") * 61).cast("string"), F.lit(" and List of things numbered 7.")).alias("text"))
+    got = gazetteer.gazetteer_rows(docs, titles, "id", "text").groupBy("id").agg(F.collect_set("title").alias("t"))
+    rows = {x.id: x.t for x in got.collect()}
+    assert len(rows) == 3000
+    for i in (0, 1, 17, 2999):
+        said = str(i * 61)
+        assert set(rows[i]) == {f"List of things numbered {said[:k]}" for k in range(1, len(said) + 1)} | {"List of things numbered 7"}
 
 
 def test_suggest_and_title_search(spark):

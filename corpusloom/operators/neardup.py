@@ -86,8 +86,8 @@ def shingle_sets(df: DataFrame, id_col: str, text_col: str, ngrams: int = 10) ->
     return df.select(F.col(id_col).alias("id"), run(_word_hashes(text_col)).alias("s"))
 
 
-def _band_table(sets: DataFrame, threshold: float, num_perm: int, seed: int = 1) -> DataFrame:
-    bands, rows = band_shape(num_perm, threshold)
+def band_table(sets: DataFrame, bands: int, rows: int, num_perm: int, seed: int = 1) -> DataFrame:
+    """(id, n, band, bucket): the buckets of every set in `bands` bands of `rows` minima."""
     rng = np.random.RandomState(seed)
     a = rng.randint(0, 2**63, num_perm, dtype=np.int64).view(np.uint64) * _U(2) + _U(1)
     b = rng.randint(0, 2**63, num_perm, dtype=np.int64).view(np.uint64)
@@ -99,19 +99,6 @@ def _band_table(sets: DataFrame, threshold: float, num_perm: int, seed: int = 1)
     return sets.select("id", F.size("s").alias("n"), F.posexplode(run("s")).alias("band", "bucket"))
 
 
-def minhash_bands(
-    df: DataFrame, id_col: str, text_col: str, ngrams: int = 10, threshold: float = 0.7, num_perm: int = 256
-) -> DataFrame:
-    """The band table (band, bucket, id); write it as Parquet to match later batches."""
-    return _band_table(shingle_sets(df, id_col, text_col, ngrams), threshold, num_perm).select("band", "bucket", "id")
-
-
-def match_index(bands: DataFrame, index: DataFrame) -> DataFrame:
-    """Rows of a new batch that meet an indexed row in some band: (id, seen_id), the smallest."""
-    old = index.groupBy("band", "bucket").agg(F.min("id").alias("seen_id"))
-    return bands.join(old, ["band", "bucket"]).groupBy("id").agg(F.min("seen_id").alias("seen_id"))
-
-
 def _prefix_keys(sets: DataFrame, threshold: float) -> DataFrame:
     """(id, key): the rarest shingles of each set, as many as any pair at the threshold must share one of.
 
@@ -200,7 +187,7 @@ def _dropped(
     if num_perm is None:
         keys = _prefix_keys(sets, threshold)
     else:
-        keys = _band_table(sets, threshold, num_perm).select("id", "n", F.xxhash64("band", "bucket").alias("key"))
+        keys = band_table(sets, *band_shape(num_perm, threshold), num_perm).select("id", "n", F.xxhash64("band", "bucket").alias("key"))
     parts = _greedy(sets, _by_size(keys, threshold), threshold)
     copies = (
         hashed.join(firsts.where("c > 1").select("h", F.col("id").alias("kept_id")), "h")

@@ -6,14 +6,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import fixed, text
-from corpusloom.operators import evaluation, gazetteer, markup, neardup, prompts, retrieval, scoring
+from corpusloom.operators import evaluation, gazetteer, markup, neardup, nearindex, prompts, retrieval, scoring
 from corpusloom.plans import packaging
 from corpusloom.plans.catalog import docs, query, spread, table
+from corpusloom.session import scratch_path
 
 WORDS = "list_filter(string_split_regex({}, '\\s+'), lambda x: x <> '')"
 TERMS = "list_filter(string_split_regex(lower({}), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
 
 
+def _shingles_sql(source: str, ngrams: int) -> str:
+    """CTEs sh (id, s) and sz (id, n): distinct shingles of `source` (id, text), and their number."""
+    return f"""src AS ({source}), wd AS (SELECT id, {WORDS.format('text')} AS w FROM src),
+sh AS (SELECT DISTINCT id, s FROM (SELECT id, unnest(CASE WHEN len(w) = 0 THEN []::VARCHAR[]
+  WHEN len(w) < {ngrams} THEN [array_to_string(w, ' ')]
+  ELSE list_transform(range(1, len(w) - {ngrams - 2}), lambda i: array_to_string(w[i : i + {ngrams - 1}], ' ')) END) AS s FROM wd)),
+sz AS (SELECT id, count(*) AS n FROM sh GROUP BY 1)"""
+
+
 def near_dup_sql(source: str, levels: int = 5, ngrams: int = 10, threshold: float = 0.7) -> str:
     """CTEs over `source` (id, text) that end in near_gone(id, kept_id, similarity): all pairs by
     shared shingle, exact Jaccard, rows read in id order, `levels` steps of the greedy reading."""
@@ -67,13 +77,21 @@ def near_dup_lsh(s, d):
     return neardup.dedup_near(docs(s, d), "doc_id", "text", num_perm=256).select("doc_id")
 
 
-@query("minhash_index")
+@query("minhash_index", f"""
+WITH {_shingles_sql("SELECT doc_id AS id, text FROM documents", 10)},
+cl AS (SELECT id, n, list(s ORDER BY s) AS cls FROM sh JOIN sz USING (id) GROUP BY id, n),
+seen AS (SELECT cls, min(id) AS seen_id, count(*) AS n_seen FROM cl WHERE id IN (SELECT doc_id FROM labels) GROUP BY cls),
+co AS (SELECT a.id, b.id AS seen_id, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s
+  WHERE b.id IN (SELECT seen_id FROM seen) AND a.id NOT IN (SELECT doc_id FROM labels) GROUP BY 1, 2)
+SELECT co.id, co.seen_id, round(c / (p.n + q.n - c)::DOUBLE, 6) AS similarity, n_seen
+FROM co JOIN sz p ON p.id = co.id JOIN sz q ON q.id = co.seen_id JOIN seen ON seen.seen_id = co.seen_id WHERE c / (p.n + q.n - c)::DOUBLE >= 0.7""")
 def minhash_index(s, d):
     # The index holds the labelled documents; the documents without labels come as a later batch.
     x, seen = docs(s, d), table(s, d, "labels").select("doc_id")
-    index = neardup.minhash_bands(x.join(seen, "doc_id", "left_semi"), "doc_id", "text", num_perm=64)
-    later = neardup.minhash_bands(x.join(seen, "doc_id", "left_anti"), "doc_id", "text", num_perm=64)
-    return neardup.match_index(later, index)
+    path = scratch_path(s, "near-index")
+    nearindex.build_index(x.join(seen, "doc_id", "left_semi"), path, "doc_id", "text")
+    later = x.join(seen, "doc_id", "left_anti")
+    return nearindex.match_index(later, path, "doc_id", "text").withColumn("similarity", F.round("similarity", 6))
 
 
 @query("quality_gate", "WITH " + near_dup_sql("SELECT conv_id * 100 + turn AS id, text FROM conversations") + f""",

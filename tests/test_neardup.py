@@ -3,9 +3,11 @@
 import random
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
-from corpusloom.operators import neardup
+from corpusloom.operators import neardup, nearindex
+from corpusloom.session import scratch_path
 
 
 def _shingles(text, n):
@@ -117,14 +119,75 @@ def test_result_ignores_row_order_and_partitions(spark, rows):
     assert got == {r.id for r in neardup.dedup_near(b, "id", "text", num_perm=128).collect()}
 
 
-def test_index_matches_later_batch(df, rows):
-    index = neardup.minhash_bands(df, "id", "text", num_perm=32)
-    later = neardup.minhash_bands(df.where("length(text) > 100").withColumn("id", F.col("id") + 1000), "id", "text", num_perm=32)
-    hits = {r.id: r.seen_id for r in neardup.match_index(later, index).collect()}
-    text = dict(rows)
-    for i, s in text.items():
-        if len(s) > 100:
-            assert hits[i + 1000] <= i
+def _index_batches():
+    """Base texts; copies, changed texts, texts without words and NULL ids in later batches."""
+    r = random.Random(8)
+    base = [" ".join(r.choice("abcdefghij") + r.choice("klmnop") for _ in range(r.choice([4, 12, 40, 120]))) for _ in range(60)]
+
+    def changed(t):
+        w = t.split()
+        for _ in range(r.choice([1, 1, 2])):
+            w[r.randrange(len(w))] = "zz"
+        return " ".join(w)
+
+    first = [(i, t) for i, t in enumerate(base)] + [(100 + i, base[i]) for i in range(0, 60, 3)] + [(190, None), (191, " ")]
+    second = [(300 + i, changed(t)) for i, t in enumerate(base)]
+    later = [(500 + i, changed(t)) for i, t in enumerate(base)] + [(600 + i, t) for i, t in enumerate(base[:9])] + [(None, base[0]), (700, ""), (701, None), (500, base[1])]
+    return first, second, later
+
+
+def _index_brute(index, later, n, t):
+    sets = {}
+    for i, x in index:
+        if s := _shingles(x or "", n):
+            sets.setdefault(s, set()).add(i)
+    out = []
+    for i, x in later:
+        s = _shingles(x or "", n)
+        out += [(i, min(ids), round(len(s & k) / len(s | k), 9), len(ids)) for k, ids in sets.items() if s and len(s & k) >= t * len(s | k)]
+    return sorted(map(repr, out))
+
+
+def test_index_against_all_pairs(spark):
+    first, second, later = _index_batches()
+    shape = "id long, text string"
+    path = scratch_path(spark, "index-test")
+    p = nearindex.Params(ngrams=3, threshold=0.6, num_perm=256)
+    nearindex.build_index(spark.createDataFrame(first, shape), path, "id", "text", p)
+    batch = spark.createDataFrame(later, shape).withColumnRenamed("id", "key").withColumn("cls", F.lit("clash"))
+    said = lambda df: sorted(repr((r.id, r.seen_id, round(r.similarity, 9), r.n_seen)) for r in df.collect())
+    want = _index_brute(first, later, 3, 0.6)
+    assert said(nearindex.match_index(batch, path, "key", "text", p)) == want and len(want) > 30
+    # A further batch, half of it known already; then once more, which changes nothing.
+    grown = second + first[:20]
+    for _ in range(2):
+        nearindex.add_to_index(spark.createDataFrame(grown, shape), path, "id", "text")
+        assert said(nearindex.match_index(batch, path, "key", "text")) == _index_brute(first + second, later, 3, 0.6)
+    assert nearindex.match_index(batch.limit(0), path, "key", "text").count() == 0
+
+
+def test_index_refuses_other_parameters(spark):
+    path = scratch_path(spark, "index-test")
+    df = spark.createDataFrame([(1, "a b c d e f g h i j k l")], "id long, text string")
+    with pytest.raises(ValueError, match="no index"):
+        nearindex.match_index(df, path, "id", "text")
+    nearindex.build_index(df, path, "id", "text")
+    for other in (nearindex.Params(ngrams=9), nearindex.Params(threshold=0.8), nearindex.Params(num_perm=128), nearindex.Params(seed=2)):
+        with pytest.raises(ValueError, match="has Params"):
+            nearindex.match_index(df, path, "id", "text", other)
+        with pytest.raises(ValueError, match="has Params"):
+            nearindex.add_to_index(df, path, "id", "text", other)
+    assert [tuple(r) for r in nearindex.match_index(df, path, "id", "text", nearindex.Params()).collect()] == [(1, 1, 1.0, 1)]
+    with pytest.raises(AnalysisException):
+        nearindex.build_index(df, path, "id", "text")
+    with pytest.raises(ValueError, match="cannot find"):
+        nearindex.Params(num_perm=4).shape
+
+
+def test_index_bands_find_pairs_at_the_threshold():
+    for t in (0.5, 0.7, 0.9):
+        b, r = nearindex.Params(threshold=t).shape
+        assert b * r <= 256 and (1 - t**r) ** b <= nearindex.MISS
 
 
 def test_band_shape():

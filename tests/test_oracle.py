@@ -25,7 +25,6 @@ def test_sql_names_are_query_names():
 
 # Queries without SQL: what any right result shows.
 SEEN = {
-    "minhash_index": lambda rows: rows,
     "rouge_all": lambda rows: len(rows) == 1 and 0 < rows[0].rougeL <= rows[0].rouge1 <= 1 and rows[0].rouge2 <= rows[0].rouge1,
     "wiki_leaf_sections": lambda rows: rows and len({(r.page_id, r.path) for r in rows}) == len(rows) and not any("References" in r.path for r in rows),
     "wiki_chunks": lambda rows: rows and all(r.response for r in rows),

@@ -38,13 +38,14 @@ def denorm_posts_comments(posts: DataFrame, comments: DataFrame, list_limit: int
 def join_suffixed(
     left: DataFrame, right: DataFrame, left_key: str, right_key: str, suffixes: tuple[str, str], how: str = "inner"
 ) -> DataFrame:
-    """Keys compared as strings; names on both sides get the side's suffix."""
-    clash = set(left.columns) & set(right.columns)
-    l = left.withColumnsRenamed({c: c + suffixes[0] for c in clash})
-    r = right.withColumnsRenamed({c: c + suffixes[1] for c in clash})
-    lk = left_key + suffixes[0] if left_key in clash else left_key
-    rk = right_key + suffixes[1] if right_key in clash else right_key
-    return l.join(r, l[lk].cast("string") == r[rk].cast("string"), how)
+    """Keys compared as strings; names on both sides, in any case, get the side's suffix."""
+    def renamed(df: DataFrame, other: DataFrame, suffix: str) -> dict[str, str]:
+        there = {c.lower() for c in other.columns}
+        return {c: c + suffix for c in df.columns if c.lower() in there}
+
+    ln, rn = renamed(left, right, suffixes[0]), renamed(right, left, suffixes[1])
+    l, r = left.withColumnsRenamed(ln), right.withColumnsRenamed(rn)
+    return l.join(r, l[ln.get(left_key, left_key)].cast("string") == r[rn.get(right_key, right_key)].cast("string"), how)
 
 
 def id_diff(a: DataFrame, b: DataFrame, a_key: str, b_key: str) -> DataFrame:

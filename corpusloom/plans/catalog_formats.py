@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text
 from corpusloom.operators import chunking, filters, markup, windows
-from corpusloom.plans import episodes
+from corpusloom.plans import answers, episodes
 from corpusloom.plans.catalog import docs, query, spread, table
+from corpusloom.plans.catalog_relational import UHASH
 from corpusloom.session import scratch_path
 from corpusloom.sources import readers, writers
 from corpusloom.streaming import incremental
@@ -170,6 +171,72 @@ def xml_rows(s, d):
     return readers.read_xml_rows(s, path, ["Id", "Title", "Tags"])
 
 
+@query("preference_set", f"""
+WITH q AS (SELECT doc_id FROM documents WHERE contains(lang, 'e')),
+a AS (SELECT o_custkey AS q, o_orderkey AS a, o_orderpriority || ' & ' || o_orderkey AS body,
+  log2(o_orderkey % 7 + 1) + CASE WHEN o_orderstatus = 'F' THEN 1 ELSE -1 END AS sc FROM orders JOIN q ON doc_id = o_custkey)
+SELECT x.q AS question_id, 'title ' || x.q AS question, x.a AS answer_j, x.body AS response_j, y.a AS answer_k, y.body AS response_k,
+  CASE WHEN {UHASH.format("x.q || chr(1) || '0'")}::DOUBLE / 4294967296 < 0.9 THEN 'train' ELSE 'test' END AS split
+FROM a x JOIN a y ON x.q = y.q AND x.sc > y.sc""")
+def preference_set(s, d):
+    """Documents written as two snapshots of a question dump, orders as their answers, some twice; then the whole job."""
+    x = table(s, d, "documents").select("doc_id", "lang")
+    tags = F.concat(F.lit("|"), "lang", F.lit("|misc|"))
+    row = lambda title, date: F.concat(
+        F.lit('<row Id="'), F.col("doc_id").cast("string"), F.lit('" PostTypeId="1" Title="'), F.lit(title), F.lit('" Body="&lt;p&gt;x&lt;/p&gt;" Tags="'),
+        tags, F.lit(f'" LastActivityDate="{date}" />'),
+    )
+    dumps = scratch_path(s, "dumps")
+    x.select(row("old", "2020-01-01T00:00:00.000").alias("value")).write.text(f"{dumps}/a")
+    x.where("doc_id % 3 = 0").select(row("new", "2021-01-01T00:00:00.000").alias("value")).write.text(f"{dumps}/b")
+    o = table(s, d, "orders")
+    given = o.select(
+        F.col("o_custkey").alias("question_id"), F.col("o_orderkey").alias("answer_id"), F.concat(F.lit("title "), F.col("o_custkey").cast("string")).alias("title"),
+        F.concat(F.lit("<p>"), "o_orderpriority", F.lit(" &amp; "), F.col("o_orderkey").cast("string"), F.lit("</p>")).alias("body"),
+        (F.col("o_orderkey") % 7).alias("up_vote_count"), (F.col("o_orderstatus") == "F").alias("is_accepted"), F.lit(1_600_000_000).alias("creation_date"),
+    )
+    replies = scratch_path(s, "replies")
+    writers.write_jsonl(given, replies)
+    writers.write_jsonl(given.where("answer_id % 5 = 0"), replies, "append")
+    got = answers.preference_set(s, f"{dumps}/*", replies, scratch_path(s, "preference-set"), "e")
+    return got.select("question_id", "question", "answer_j", "response_j", "answer_k", "response_k", F.col("split").cast("string").alias("split"))
+
+
+@query("gzip_rows", "SELECT event_id, event_type, value FROM events")
+def gzip_rows(s, d):
+    """Events written as gzip files of JSON lines and read back."""
+    path = scratch_path(s, "gzip")
+    table(s, d, "events").select("event_id", "event_type", "value").write.option("compression", "gzip").json(path)
+    return readers.read_jsonl(s, f"{path}/*.gz", "event_id bigint, event_type string, value double")
+
+
+@query("ass_lines", """
+SELECT conv_id AS episode, turn, 'Dialogue: 0' AS layer, role AS name, md5(text) || chr(10) || 'a,b' AS content FROM conversations""")
+def ass_lines(s, d):
+    """Turns as lines of advanced subtitle scripts, a section for each conversation, with comments and style tags."""
+    c = table(s, d, "conversations")
+    line = F.concat(
+        F.lit("Dialogue: 0,0:00:01.00,0:00:02.00,Default,"), "role", F.lit(",0,0,0,"), F.col("conv_id").cast("string"), F.lit("/"), F.col("turn").cast("string"),
+        F.lit(",<i>"), F.md5("text"), F.lit("</i>\\Na,b\nComment: 0,skipped"),
+    )
+    lines = F.concat_ws("\n", F.lit("[Script Info]\nTitle: x\n[Events]\nFormat: Layer"), F.array_sort(F.collect_list(line)))
+    path = scratch_path(s, "ass")
+    c.groupBy("conv_id").agg(lines.alias("value")).select("value").write.option("maxRecordsPerFile", 10_000).text(path)
+    got = readers.read_ass(s, f"{path}/*.txt")
+    place = F.split("Effect", "/")
+    return got.select(F.get(place, 0).cast("bigint").alias("episode"), F.get(place, 1).cast("int").alias("turn"), F.col("Layer").alias("layer"), F.col("Name").alias("name"), F.col("Text").alias("content"))
+
+
+@query("episode_numbers", """
+SELECT url, CASE WHEN place < 1000 THEN lpad(place::VARCHAR, 3, '0') ELSE place::VARCHAR END AS place, regexp_extract(string_split(url, '/')[-1], '([0-9]+)', 1) AS number
+FROM (SELECT url, dense_rank() OVER (ORDER BY url) AS place FROM pages)""")
+def episode_numbers(s, d):
+    """Pages as episode files: their place among the sorted paths, and the number in the name."""
+    p = table(s, d, "pages").select("url")
+    by_place = readers.with_episode_number(p, path="url", out="place")
+    return readers.with_episode_number(by_place, "([0-9]+)", "url", "number").select("url", "place", "number")
+
+
 @query("jsonl_roundtrip", "SELECT event_id, event_type, value FROM events")
 def jsonl_roundtrip(s, d):
     e = table(s, d, "events").select("event_id", "event_type", "value")

@@ -2,6 +2,7 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.functions import fixed, text
@@ -186,6 +187,52 @@ def test_preferences_end_to_end(spark):
     assert got == [("T", "best", "mid & low"), ("T", "best", "tie")]
 
 
+def _question_files(root):
+    row = '<row Id="{}" PostTypeId="1" Title="{}" Body="&lt;p&gt;q&lt;/p&gt;" Tags="{}" Score="1" LastActivityDate="{}" />\n'
+    for name, rows in {
+        "a": [(1, "old", "|satu|", "2020"), (2, "two", "|satu-x|", "2020"), (3, "other", "|mars|", "2020"), (4, "alone", "|satu|", "2020")],
+        "b": [(1, "new", "|satu|", "2021")],
+    }.items():
+        (root / name).mkdir(parents=True)
+        (root / name / "Posts.xml").write_text("<posts>\n" + "".join(row.format(*r) for r in rows) + "</posts>\n")
+    (root / "replies").mkdir()
+    reply = lambda q, a, body, up, ok: json.dumps({"question_id": q, "answer_id": a, "title": f"T{q}", "body": body, "up_vote_count": up, "is_accepted": ok, "creation_date": 1_600_000_000})
+    lines = [
+        reply(1, 10, "<p>best</p>", 7, True), reply(1, 11, "mid &amp; low", 3, False), reply(1, 12, "tie", 3, False), reply(2, 20, "<b>a</b>", 2, False), reply(2, 21, "b", 0, False),
+        reply(3, 30, "x", 1, True), reply(3, 31, "y", 0, False), reply(9, 90, "no question", 1, True), reply(1, 10, "<p>best</p>", 7, True),
+    ]
+    (root / "replies" / "1.jsonl").write_text("\n".join(lines))
+
+
+def test_preference_set_goes_on_where_it_stopped(spark, tmp_path, monkeypatch):
+    _question_files(tmp_path)
+    out = str(tmp_path / "out")
+    args = (spark, f"{tmp_path}/*/Posts.xml", f"{tmp_path}/replies", out, "satu")
+    # The run breaks in its third stage.
+    with monkeypatch.context() as m:
+        m.setattr(answers, "qa_preferences", lambda *a: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            answers.preference_set(*args, shares={"train": 0.5, "test": 0.5})
+    assert {p.name for p in (tmp_path / "out").iterdir()} == {"_params", "questions", "question_answers"}
+    # It goes on without reading the dumps again.
+    with monkeypatch.context() as m:
+        m.setattr(answers, "tagged_questions", lambda *a: 1 / 0)
+        got = answers.preference_set(*args, shares={"train": 0.5, "test": 0.5}).collect()
+    assert sorted((r.question_id, r.question, r.response_j, r.response_k) for r in got) == [
+        (1, "T1", "best", "mid & low"), (1, "T1", "best", "tie"), (2, "T2", "a", "b"),
+    ]
+    assert all(len({r.split for r in got if r.question_id == q}) == 1 for q in (1, 2))
+    kept = spark.read.parquet(f"{out}/question_answers")
+    assert {(r.title_answer, r.Title_question) for r in kept.select("title_answer", "Title_question").collect()} == {("T1", "new"), ("T2", "two")}
+    # Complete tables are not made again, and other arguments are refused.
+    with monkeypatch.context() as m:
+        m.setattr(answers, "qa_preferences", lambda *a: 1 / 0)
+        again = answers.preference_set(*args, shares={"train": 0.5, "test": 0.5}).collect()
+    assert sorted(map(repr, again)) == sorted(map(repr, got))
+    with pytest.raises(ValueError, match="was begun with"):
+        answers.preference_set(*args, shares={"train": 0.5, "test": 0.5}, max_pairs=1)
+
+
 def test_samples(spark):
     df = spark.range(100).withColumn("g", F.when(F.col("id") < 70, 0).otherwise(F.col("id")))
     assert sampling.sample_n(df, 7, 1, "id").count() == 7

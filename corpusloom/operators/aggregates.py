@@ -163,10 +163,24 @@ def distinct_values(df: DataFrame, col: Column | str) -> DataFrame:
     return df.select(c.alias("value")).where(F.col("value").isNotNull()).distinct()
 
 
-def funnel(steps: Mapping[str, DataFrame]) -> DataFrame:
-    """Rows left after each named step, in the order given."""
-    out = None
-    for i, (name, df) in enumerate(steps.items()):
-        row = df.agg(F.lit(i).alias("pos"), F.lit(name).alias("step"), F.count(F.lit(1)).alias("n"))
-        out = row if out is None else out.unionByName(row)
-    return out
+def funnel(df: DataFrame, steps: Mapping[str, Column], first: str = "read", distinct: tuple[str, Column] | None = None) -> DataFrame:
+    """(pos, step, n): rows left at first and after each named step, in the order given, in one scan.
+
+    A step is the condition its rows must meet; one that is NULL drops the row, and no row reaches a step after the one that dropped
+    it. `distinct` names a last step that keeps one row for each value of a column, NULL values left out. The counts are an aggregate, not
+    accumulators, so a task that runs again after a loss is counted once.
+    """
+    passed = F.lit(len(steps))
+    for i, keep in reversed(list(enumerate(steps.values()))):
+        passed = F.when(F.coalesce(keep, F.lit(False)), passed).otherwise(F.lit(i))
+    value = [F.when(F.col("passed") == len(steps), F.col("value")).alias("value")] if distinct else []
+    rows = df.select(passed.alias("passed"), *([distinct[1].alias("value")] if distinct else [])).select("passed", *value)
+    # Rows of one place and value are one row from here on.
+    rows = rows.groupBy("passed", *(["value"] if distinct else [])).agg(F.count(F.lit(1)).alias("c"))
+    names = [first, *steps]
+    n = [F.coalesce(F.sum(F.when(F.col("passed") >= i, F.col("c"))), F.lit(0)) for i in range(len(names))]
+    if distinct:
+        names.append(distinct[0])
+        n.append(F.count("value"))
+    out = F.array(*[F.struct(F.lit(i).alias("pos"), F.lit(name).alias("step"), c.alias("n")) for i, (name, c) in enumerate(zip(names, n, strict=True))])
+    return rows.agg(out.alias("s")).select(F.inline("s"))

@@ -20,9 +20,13 @@ def drop_tombstones(df: DataFrame, col: str, values: Sequence[str] = fixed.TOMBS
     return df.where(~F.col(col).isin(*values))
 
 
-def filter_min_tokens(df: DataFrame, col: str, floor: float) -> DataFrame:
+def min_tokens(col: str, floor: float) -> Column:
     enough = text.est_tokens(col) >= floor
-    return df.where(enough if floor > 0 else enough & (text.word_count(col) > 0))
+    return enough if floor > 0 else enough & (text.word_count(col) > 0)
+
+
+def filter_min_tokens(df: DataFrame, col: str, floor: float) -> DataFrame:
+    return df.where(min_tokens(col, floor))
 
 
 def count_by_length(df: DataFrame, col: str, cut: float) -> DataFrame:
@@ -51,12 +55,15 @@ def has_map_key_like(map_col: Column | str, sub: str) -> Column:
     return F.coalesce(hit, F.lit(False))
 
 
-def filter_denylist(df: DataFrame, col: str, phrases: Sequence[str]) -> DataFrame:
-    """Drop rows that hold any phrase, in any case. One alternation, one pass over the text."""
+def is_denied(col: str, phrases: Sequence[str]) -> Column:
+    """Whether the text holds any phrase, in any case. One alternation, one pass over the text."""
     quoted = "|".join("\\Q" + p.lower().replace("\\E", "\\E\\\\E\\Q") + "\\E" for p in phrases if p)
-    if not quoted:
-        return df
-    return df.where(~F.coalesce(F.lower(F.col(col)).rlike(quoted), F.lit(False)))
+    return F.coalesce(F.lower(F.col(col)).rlike(quoted), F.lit(False)) if quoted else F.lit(False)
+
+
+def filter_denylist(df: DataFrame, col: str, phrases: Sequence[str]) -> DataFrame:
+    """Drop rows that hold any phrase, in any case."""
+    return df.where(~is_denied(col, phrases))
 
 
 def filter_keywords(df: DataFrame, col: str, words: Sequence[str]) -> DataFrame:

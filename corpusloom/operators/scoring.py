@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterator, Sequence
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -31,12 +32,21 @@ def flat_map_batches(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame],
     return df.mapInPandas(run, schema=schema)
 
 
-def apply_groups(df: DataFrame, keys: Sequence[str], fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str, limit: int = 1_000_000) -> DataFrame:
-    """`fn` per group. A group must fit one task, so a larger one is refused by name."""
-    big = df.groupBy(*keys).count().where(F.col("count") > limit).limit(1).collect()
-    if big:
-        raise ValueError(f"group {big[0].asDict()} is too large for one task; use ordered_lists")
-    return df.groupBy(*keys).applyInPandas(fn, schema=schema)
+def apply_groups(
+    df: DataFrame, keys: Sequence[str], fn: Callable[[tuple, Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str, order: Sequence[Column] = (),
+) -> DataFrame:
+    """`fn(key, batches)` for each group: its rows come in batches, by `order` where one is given, and it yields batches of the result.
+
+    A group is read as a stream, so one of any size takes no more memory than its batches (`spark.sql.execution.arrow.maxRecordsPerBatch` rows) and what
+    `fn` itself keeps. NULL is a key like others. The rows of a group go through one task, as the function is theirs alone; a function
+    that can be split should be an aggregate.
+    """
+    def run(key: tuple[Any, ...], batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield from fn(key, batches)
+
+    # Grouping by the keys finds the rows dealt and sorted already.
+    rows = df.repartition(*keys).sortWithinPartitions(*keys, *order) if order else df
+    return rows.groupBy(*keys).applyInPandas(run, schema=schema)
 
 
 def score_prompts(

@@ -109,11 +109,8 @@ c AS (SELECT * FROM b WHERE len(list_filter({_sql_list(DENY)}, lambda p: contain
 SELECT 0 AS pos, 'read' AS step, count(*) AS n FROM a UNION ALL SELECT 1, 'floor', count(*) FROM b
 UNION ALL SELECT 2, 'deny', count(*) FROM c UNION ALL SELECT 3, 'distinct', count(DISTINCT text) FROM c""")
 def funnel_counts(s, d):
-    a = docs(s, d)
-    b = filters.filter_min_tokens(a, "text", 50)
-    c = filters.filter_denylist(b, "text", DENY)
-    e = c.select(F.md5("text").alias("h")).distinct()
-    return aggregates.funnel({"read": a, "floor": b, "deny": c, "distinct": e})
+    steps = {"floor": filters.min_tokens("text", 50), "deny": ~filters.is_denied("text", DENY)}
+    return aggregates.funnel(docs(s, d), steps, distinct=("distinct", F.md5("text")))
 
 
 def _sections(s, d):
@@ -463,16 +460,23 @@ def batched_rows(s, d):
     return scoring.flat_map_batches(c, lines, "conv_id bigint, line string")
 
 
-@query("per_group", "SELECT conv_id, count(*) AS turns, max(length(text)) AS longest FROM conversations GROUP BY 1")
+@query("per_group", """
+SELECT conv_id, count(*) AS turns, max(length(text)) AS longest, sum(CASE WHEN length(text) > before THEN 1 ELSE 0 END)::BIGINT AS rises
+FROM (SELECT *, lag(length(text)) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations) GROUP BY 1""")
 def per_group(s, d):
     import pandas as pd
 
-    c = table(s, d, "conversations").select("conv_id", F.length("text").cast("bigint").alias("n"))
+    c = table(s, d, "conversations").select("conv_id", "turn", F.length("text").cast("bigint").alias("n"))
 
-    def one(pdf):
-        return pd.DataFrame({"conv_id": [pdf["conv_id"].iloc[0]], "turns": [len(pdf)], "longest": [pdf["n"].max()]})
+    def one(key, batches):
+        turns, longest, rises, before = 0, 0, 0, None
+        for b in batches:
+            for n in b["n"].tolist():
+                turns, longest, rises = turns + 1, max(longest, n), rises + (before is not None and n > before)
+                before = n
+        yield pd.DataFrame({"conv_id": [key[0]], "turns": [turns], "longest": [longest], "rises": [rises]})
 
-    return scoring.apply_groups(c, ["conv_id"], one, "conv_id bigint, turns bigint, longest bigint")
+    return scoring.apply_groups(c, ["conv_id"], one, "conv_id bigint, turns bigint, longest bigint, rises bigint", [F.col("turn")])
 
 
 @query("filtered_rows", "SELECT conv_id, turn FROM conversations WHERE role = 'user' AND length(text) > 100")

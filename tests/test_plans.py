@@ -52,6 +52,11 @@ def test_denorm_reads_and_shuffles_little(spark, tmp_path):
     assert "Not(In(selftext" in p.replace("NOT", "Not") or "selftext" in p.split("PushedFilters")[1]
 
 
+def test_funnel_reads_once(spark):
+    p = plan(entry.queries()["funnel_counts"](spark, SF))
+    assert len(re.findall(r"FileScan parquet", p)) == 1
+
+
 def test_top_k_cuts_before_the_shuffle(spark):
     df = spark.range(100).withColumn("k", F.col("id") % 3)
     for got in (sampling.top_k(df, ["k"], [F.col("id")], 2), windows.keep_one(df, ["k"], [F.col("id")])):

@@ -2,9 +2,12 @@
 
 import math
 import random
+import re
 from collections import Counter
 
+import pandas as pd
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from corpusloom.operators import evaluation, gazetteer, retrieval, scoring, substrings
@@ -178,10 +181,35 @@ def test_scoring_retries_memo_and_errors(spark, tmp_path):
     assert calls == {"ok": 2, "bad": 6}
 
 
-def test_groups_too_large_are_refused(spark):
-    df = spark.range(10).withColumn("k", F.lit(1))
-    with pytest.raises(ValueError, match="too large"):
-        scoring.apply_groups(df, ["k"], lambda p: p, "id long, k int", limit=5)
+def test_groups_stream(spark):
+    df = spark.createDataFrame([(k, i) for i in range(300) for k in (None, "a", "b") if k != "b" or i < 3], "k string, i int").repartition(4)
+
+    def fn(key, batches):
+        rows = [i for b in batches for i in b["i"].tolist()]
+        yield pd.DataFrame({"k": [key[0]], "n": [len(rows)], "in_order": [rows == sorted(rows, reverse=True)]})
+        if key[0] == "b":
+            yield pd.DataFrame({"k": ["b, again"], "n": [0], "in_order": [True]})
+
+    got = scoring.apply_groups(df, ["k"], fn, "k string, n int, in_order boolean", [F.desc("i")])
+    assert len(re.findall(r"Exchange hashpartitioning", got._jdf.queryExecution().executedPlan().toString())) == 1
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, [Row(k=None, n=300, in_order=True), Row(k="a", n=300, in_order=True), Row(k="b", n=3, in_order=True), Row(k="b, again", n=0, in_order=True)]))
+    assert scoring.apply_groups(df.limit(0), ["k"], fn, "k string, n int, in_order boolean").count() == 0
+
+
+def test_a_group_of_two_million_rows_takes_little_memory(spark):
+    """A group whose rows are 1 GB together, in a worker that never holds more than some batches."""
+    df = spark.range(2_000_000).select(F.lit(1).alias("k"), "id", F.repeat(F.md5(F.col("id").cast("string")), 16).alias("t"))
+
+    def fn(key, batches):
+        import resource
+
+        n = size = 0
+        for b in batches:
+            n, size = n + len(b), size + int(b["t"].str.len().sum())
+        yield pd.DataFrame({"n": [n], "size": [size], "mb": [resource.getrusage(resource.RUSAGE_SELF).ru_maxrss / 1024]})
+
+    got = scoring.apply_groups(df, ["k"], fn, "n long, size long, mb double").first()
+    assert got.n == 2_000_000 and got.size == 512 * 2_000_000 and got.mb < 1024
 
 
 def test_judge_prompts_show_their_own_documents(spark):

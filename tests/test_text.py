@@ -233,6 +233,16 @@ def test_preference_set_goes_on_where_it_stopped(spark, tmp_path, monkeypatch):
         answers.preference_set(*args, shares={"train": 0.5, "test": 0.5}, max_pairs=1)
 
 
+def test_funnel(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "a"), (3, None), (None, "b"), (5, "b"), (6, "a")], "x int, v string")
+    steps = {"big": F.col("x") > 1, "odd or null": F.col("x") % 2 == 1}
+    said = lambda d: [tuple(r) for r in d.orderBy("pos").collect()]
+    assert said(aggregates.funnel(df, steps)) == [(0, "read", 6), (1, "big", 4), (2, "odd or null", 2)]
+    assert said(aggregates.funnel(df, {"big": F.col("x") > 1}, "all", ("values", F.col("v")))) == [(0, "all", 6), (1, "big", 4), (2, "values", 2)]
+    assert said(aggregates.funnel(df, {}, distinct=("values", F.col("v")))) == [(0, "read", 6), (1, "values", 2)]
+    assert said(aggregates.funnel(df.limit(0), steps, distinct=("values", F.col("v")))) == [(0, "read", 0), (1, "big", 0), (2, "odd or null", 0), (3, "values", 0)]
+
+
 def test_samples(spark):
     df = spark.range(100).withColumn("g", F.when(F.col("id") < 70, 0).otherwise(F.col("id")))
     assert sampling.sample_n(df, 7, 1, "id").count() == 7

@@ -306,9 +306,22 @@ def rouge_12(s, d):
     return got.withColumns({"rouge1": F.round("rouge1", 8), "rouge2": F.round("rouge2", 8)})
 
 
-@query("rouge_all")
+# Longest common subsequences row by row: of the table's row for one more word of the answer, each place is the greatest candidate up to it,
+# one more than the place before in the last row where the words agree, else the same place in the last row.
+@query("rouge_all", f"""
+WITH RECURSIVE {_PAIRS}, tk AS (SELECT id, list_filter(string_split_regex(lower(answer), '[^a-z0-9]+'), lambda x: x <> '') AS h,
+  list_filter(string_split_regex(lower(question), '[^a-z0-9]+'), lambda x: x <> '') AS f FROM pr), {_clip_sql((1, 2))},
+lcs AS (SELECT id, h, f, 0 AS i, list_transform(f, lambda x: 0) AS line FROM tk
+  UNION ALL SELECT id, h, f, i + 1, list_transform(range(1, len(f) + 1), lambda j: list_max(list_transform(range(1, j + 1),
+    lambda k: CASE WHEN h[i + 1] = f[k] THEN 1 + CASE WHEN k > 1 THEN line[k - 1] ELSE 0 END ELSE line[k] END))) FROM lcs WHERE i < len(h)),
+s AS (SELECT tk.id, len(h) AS lh, len(f) AS lf, coalesce((SELECT clip FROM cl WHERE cl.id = tk.id AND cl.n = 1), 0)::DOUBLE AS c1,
+  coalesce((SELECT clip FROM cl WHERE cl.id = tk.id AND cl.n = 2), 0)::DOUBLE AS c2, coalesce((SELECT line[-1] FROM lcs WHERE lcs.id = tk.id AND lcs.i = len(tk.h)), 0)::DOUBLE AS cl FROM tk)
+SELECT count(*) AS n, round(avg(CASE WHEN c1 = 0 THEN 0 ELSE 2 * (c1 / lh) * (c1 / lf) / (c1 / lh + c1 / lf) END), 8) AS rouge1,
+  round(avg(CASE WHEN c2 = 0 THEN 0 ELSE 2 * (c2 / (lh - 1)) * (c2 / (lf - 1)) / (c2 / (lh - 1) + c2 / (lf - 1)) END), 8) AS rouge2,
+  round(avg(CASE WHEN cl = 0 THEN 0 ELSE 2 * (cl / lh) * (cl / lf) / (cl / lh + cl / lf) END), 8) AS "rougeL" FROM s""")
 def rouge_all(s, d):
-    return evaluation.rouge(turn_pairs(s, d), "id", "question", "answer")
+    got = evaluation.rouge(turn_pairs(s, d), "id", "question", "answer")
+    return got.withColumns({c: F.round(c, 8) for c in ("rouge1", "rouge2", "rougeL")})
 
 
 @query("judge_prompts", f"""

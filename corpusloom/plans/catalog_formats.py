@@ -5,12 +5,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusloom.functions import text
+from corpusloom.functions import fixed, text
 from corpusloom.operators import chunking, filters, markup, windows
 from corpusloom.plans import answers, episodes
 from corpusloom.plans.catalog import docs, query, spread, table
+from corpusloom.plans.catalog_corpus import WORDS
 from corpusloom.plans.catalog_relational import UHASH
-from corpusloom.session import scratch_path
+from corpusloom.session import scratch_path, stable
 from corpusloom.sources import readers, writers
 from corpusloom.streaming import incremental
 
@@ -39,18 +40,24 @@ def page_extract(s, d):
     return good.select("page_id", "url", "title", F.md5("text").alias("text"))
 
 
+# Markup put before lines, and what a reader sees of it.
+_MARKED = "'''bold''' [[Page a#part|shown]] [[plain]] {{box|name=x|y={{inner}}}}<ref name=\"r\">gone</ref><!-- gone --> [https://x.example/y label] &amp; "
+_SEEN = "bold shown plain  label & "
+# Sections name a link's target, and show what references hold.
+_SEEN_IN_SECTIONS = " bold Page a#part plain  gone   "
+
+
 def _wikitext(s, d):
-    """Documents as wiki pages: every third line opens a section, its name from its place."""
+    """Documents as wiki pages: every third line opens a section, its name from its place, and every other line has markup."""
     x = docs(s, d, "source")
-    line = lambda l, i: F.when(
-        (i > 0) & (i % 3 == 0),
-        F.concat(
-            F.when(i % 6 == 0, F.lit("== ")).otherwise(F.lit("=== ")),
-            F.when(i % 12 == 0, F.lit("References")).otherwise(F.concat(F.lit("part "), i.cast("string"))),
-            F.when(i % 6 == 0, F.lit(" ==\n")).otherwise(F.lit(" ===\n")), l,
-        ),
-    ).otherwise(l)
-    # Marks of the grammar are taken out of the plain text.
+
+    def line(l, i):
+        name = F.when(i % 12 == 0, F.lit("References")).otherwise(F.concat(F.lit("part "), i.cast("string")))
+        bars = F.when(i % 6 == 0, F.lit("==")).otherwise(F.lit("==="))
+        head = F.when((i > 0) & (i % 3 == 0), F.concat(bars, F.lit(" "), name, F.lit(" "), bars, F.lit("\n"))).otherwise(F.lit(""))
+        return F.concat(head, F.when(i % 2 == 1, F.lit(_MARKED)).otherwise(F.lit("")), l)
+
+    # Marks of the grammar that the text holds by chance are taken out.
     plain = F.translate(F.col("text"), "[]{}<>'&=*#:;|", "")
     return x.select(
         F.col("doc_id").alias("page_id"), F.col("source").alias("title"),
@@ -58,40 +65,64 @@ def _wikitext(s, d):
     )
 
 
-_WIKI = """
+def _wiki_sql(step: int) -> str:
+    """Lines of the pages as `c`: their place, what is seen of them, and the place of the last heading at every `step` lines."""
+    return f"""
 WITH l AS (SELECT doc_id AS page_id, source AS title, generate_subscripts(string_split(t, chr(10)), 1) - 1 AS i, unnest(string_split(t, chr(10))) AS line
-  FROM (SELECT doc_id, source, translate(text, '[]{}<>''&=*#:;|', '') AS t FROM documents)),
-c AS (SELECT *, CASE WHEN i = 0 THEN 'Summary' WHEN i % 12 = 0 THEN 'References' ELSE 'part ' || i END AS name,
+  FROM (SELECT doc_id, source, translate(text, '[]{{}}<>''&=*#:;|', '') AS t FROM documents)),
+c AS (SELECT page_id, title, i, CASE WHEN i % 2 = 1 THEN '{_SEEN_IN_SECTIONS}' ELSE '' END || line AS line,
   max(CASE WHEN i = 0 OR i % {step} = 0 THEN i END) OVER (PARTITION BY page_id ORDER BY i) AS top,
-  lead(i) OVER (PARTITION BY page_id ORDER BY i) IS NULL AS final FROM l)"""
+  max(i) OVER (PARTITION BY page_id) AS last_line, lead(i) OVER (PARTITION BY page_id ORDER BY i) IS NULL AS final FROM l)"""
 
 
-@query("wiki_sections", _WIKI.format("{}", step=6).replace("{}<>", "{}<>") + """
-SELECT page_id, min(title) AS title, CASE WHEN top = 0 THEN 'Summary' ELSE 'part ' || top END AS heading,
-  md5(string_agg(CASE WHEN i > 0 AND i % 3 = 0 THEN chr(10) ELSE '' END || line || CASE WHEN final THEN '' ELSE chr(10) END, '' ORDER BY i)) AS content
+_WIKI_TEXT = "string_agg(CASE WHEN i > 0 AND i % 3 = 0 THEN chr(10) ELSE '' END || line || CASE WHEN final THEN '' ELSE chr(10) END, '' ORDER BY i)"
+
+
+@query("wiki_sections", _wiki_sql(6) + f"""
+SELECT page_id, min(title) AS title, CASE WHEN top = 0 THEN 'Summary' ELSE 'part ' || top END AS heading, md5({_WIKI_TEXT}) AS content
 FROM c WHERE top = 0 OR top % 12 <> 0 GROUP BY page_id, top""")
 def wiki_sections(s, d):
     got = markup.wiki_sections(_wikitext(s, d))
     return got.select("page_id", "title", "heading", F.md5("content").alias("content"))
 
 
-@query("wiki_leaf_sections")
+@query("wiki_leaf_sections", _wiki_sql(3) + f"""
+SELECT page_id, min(title) AS title, CASE WHEN top = 0 THEN 'Summary' ELSE 'part ' || top END AS heading,
+  CASE WHEN top = 0 THEN '' WHEN top = 3 OR top % 6 = 0 THEN 'part ' || top
+    WHEN (top - 3) % 12 = 0 THEN 'References/part ' || top ELSE 'part ' || (top - 3) || '/part ' || top END AS path, md5({_WIKI_TEXT}) AS content
+FROM c WHERE top % 6 <> 0 OR top = 0 OR (top % 12 <> 0 AND top + 3 > last_line) GROUP BY page_id, top HAVING {_WIKI_TEXT} <> ''""")
 def wiki_leaf_sections(s, d):
+    """A section that is left out takes no section below it along: leaves go by their own name."""
     got = markup.wiki_leaf_sections(_wikitext(s, d))
     return got.select("page_id", "title", "heading", F.array_join("path", "/").alias("path"), F.md5("content").alias("content"))
 
 
-@query("wiki_chunks")
+@query("wiki_chunks", _wiki_sql(6) + f""",
+sections AS (SELECT page_id, min(title) AS title, top // 3 AS pos, CASE WHEN top = 0 THEN 'Summary' ELSE 'part ' || top END AS heading, {_WIKI_TEXT} AS content
+  FROM c WHERE top = 0 OR top % 12 <> 0 GROUP BY page_id, top),
+s AS (SELECT page_id, title, CASE WHEN pos = 0 THEN 2147483647 ELSE pos END AS pos, heading, content FROM sections
+  UNION ALL SELECT page_id, min(title), 2147483646, 'Infobox', ' kanji: k' || page_id FROM sections GROUP BY page_id),
+w AS (SELECT *, {WORDS.format("content")} AS ws FROM s),
+k AS (SELECT page_id, title, pos, heading, no, array_to_string(ws[no * 200 + 1 : (no + 1) * 200], ' ') AS chunk, len(ws[no * 200 + 1 : (no + 1) * 200]) AS n
+  FROM w, LATERAL (SELECT unnest(range((len(ws) + 199) // 200)) AS no) WHERE len(ws) > 0)
+SELECT page_id, pos, no AS chunk_no,
+  CASE WHEN {UHASH.format("page_id || chr(1) || pos || chr(1) || no || chr(1) || '0'")} % 2 = 0 THEN heading || ' of ' || title ELSE title || '''s ' || heading END AS input,
+  {list(fixed.TOPIC_INSTRUCTIONS)}[({UHASH.format("page_id || chr(1) || pos || chr(1) || no || chr(1) || '1'")} % 4 + 1)::INT] AS instruction,
+  md5(regexp_replace(chunk, '#+', ' ', 'g')) AS response
+FROM k WHERE n * 1.2::DOUBLE >= 3""")
 def wiki_chunks(s, d):
-    sections = markup.wiki_sections(_wikitext(s, d))
+    """Pages with an infobox in the lead: sections, the box's text and the summary as chunks."""
+    box = F.concat(F.lit("{{box|kanji=k"), F.col("page_id").cast("string"), F.lit("|other=x}}"))
+    sections = stable(markup.wiki_sections(_wikitext(s, d).withColumn("wikitext", F.concat(box, "wikitext"))))
     pages = markup.wiki_pages(sections)
     body = sections.where("pos > 0").select("page_id", "title", "pos", "heading", "content")
-    return chunking.section_chunks(chunking.with_extra_sections(body, pages), 300, 100).withColumn("response", F.md5("response"))
+    return chunking.section_chunks(chunking.with_extra_sections(body, pages), 300, 100, 3).withColumn("response", F.md5("response"))
 
 
-@query("wiki_plain_text", "SELECT doc_id AS page_id, md5(trim(translate(text, '[]{}<>''&=*#:;|', ''), ' ' || chr(10))) AS content FROM documents")
+@query("wiki_plain_text", f"SELECT doc_id AS page_id, md5(trim('{_SEEN}' || translate(text, '[]{{}}<>''&=*#:;|', ''), ' ' || chr(10))) AS content FROM documents")
 def wiki_plain_text(s, d):
-    x = docs(s, d).select(F.col("doc_id").alias("page_id"), F.translate("text", "[]{}<>'&=*#:;|", "").alias("wikitext"))
+    plain = F.translate("text", "[]{}<>'&=*#:;|", "")
+    x = docs(s, d).select(F.col("doc_id").alias("page_id"), F.concat(F.lit(_MARKED), plain).alias("wikitext"))
     return markup.strip_wikitext(x).select("page_id", F.md5("content").alias("content"))
 
 

@@ -156,3 +156,12 @@ def test_nested_tags_of_one_name():
     assert markup._plain("<div><div>x</div>y</div>z") == "xyz"
     kinds = [(k, n, t) for k, n, t, _ in markup._Wikitext("a {{Infobox [[b|c]]|k=[[d|e]]|f}} [[File:g|h]] <gallery>i</gallery>").tokens()]
     assert kinds[1][:2] == ("template", "Infobox [[b|c]]") and ("link", "File:g", "") in kinds
+
+
+def test_plain_text_shows_entities_and_labels(spark):
+    cases = {
+        "a &amp; b&nbsp;c &#65;": "a & b\xa0c A", "see [https://x.example/y the ''label'' here] now": "see the label here now", "[https://x.example] end": "end",
+        "&unknown; &amp": "&unknown; &amp", "[not a link] x": "[not a link] x",
+    }
+    df = spark.createDataFrame([(k,) for k in cases], "wikitext string")
+    assert {r.wikitext: r.content for r in markup.strip_wikitext(df).collect()} == cases

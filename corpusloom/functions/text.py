@@ -120,9 +120,10 @@ def preference_score(up: Column | str, accepted: Column | str) -> Column:
     return F.log2(_c(up) + 1) + F.when(_c(accepted), F.lit(1.0)).otherwise(F.lit(-1.0))
 
 
-def numbered_list(arr: Column | str) -> Column:
+def numbered_list(arr: Column | str, first: Column | int = 1) -> Column:
+    """Lines "1. ..", "2. ..", numbered from `first`: the further pieces of a long list go on counting."""
     return F.array_join(
-        F.transform(_c(arr), lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), x)), "\n"
+        F.transform(_c(arr), lambda x, i: F.concat((i + first).cast("string"), F.lit(". "), x)), "\n"
     )
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions import fixed, text
@@ -15,6 +15,7 @@ def group_structs(
     df: DataFrame, keys: Sequence[str], cols: Sequence[Column | str], order: Sequence[Column], out: str = "items",
     list_limit: int = skew.GROUP_LIMIT,
 ) -> DataFrame:
+    """(keys, piece, first, total, `out`); `skew.ordered_rows` is the form with one row per row."""
     return skew.ordered_lists(df, keys, order, cols, out, list_limit)
 
 
@@ -24,11 +25,9 @@ def group_list(df: DataFrame, key: str, col: str, out: str = "items", list_limit
     return got.withColumn(out, F.transform(out, lambda x: x["v"]))
 
 
-def with_count(df: DataFrame, list_col: str, out: str = "total", keys: Sequence[str] = ()) -> DataFrame:
-    """Length of the list; with `keys`, of all pieces of the group's list together, in each piece."""
-    n = F.coalesce(F.size(list_col), F.lit(0))
-    # A group has as many rows here as pieces.
-    return df.withColumn(out, F.sum(n).over(Window.partitionBy(*keys)) if keys else n)
+def with_count(df: DataFrame, list_col: str, out: str = "total") -> DataFrame:
+    """Length of the list. Lists of this module come with their group's size as `total`, over all pieces."""
+    return df.withColumn(out, F.coalesce(F.size(list_col), F.lit(0)).cast("bigint"))
 
 
 def value_counts(df: DataFrame, col: Column | str, n: int = 30) -> DataFrame:

@@ -44,29 +44,23 @@ def with_extra_sections(sections: DataFrame, pages: DataFrame) -> DataFrame:
     )
 
 
-def _windows(words: Column, step: int, size: int) -> Column:
+def _windows(words: Column, step: Column | int, size: Column | int) -> Column:
     """Array of (no, chunk, words in it); NULL when there are no words."""
-    starts = F.sequence(F.lit(0), F.size(words) - 1, F.lit(step))
+    step, size = (F.lit(x) if isinstance(x, int) else x for x in (step, size))
+    starts = F.sequence(F.lit(0), F.size(words) - 1, step)
     cut = F.transform(starts, lambda at, i: F.struct(
-        i.alias("no"), F.array_join(F.slice(words, at + 1, F.lit(size)), " ").alias("chunk"),
-        F.least(F.lit(size), F.size(words) - at).alias("n"),
+        i.alias("no"), F.array_join(F.slice(words, at + 1, size), " ").alias("chunk"),
+        F.least(size, F.size(words) - at).alias("n"),
     ))
     return F.when(F.size(words) > 0, cut)
 
 
-def section_chunks(
-    df: DataFrame, max_len: int, overlap: int, floor: float = 30, seed: int = 0, true_overlap: bool = False
-) -> DataFrame:
-    """Sections (page_id, title, pos, heading, content) to rows with input, instruction, response.
-
-    As the name says in the source data's tradition, `overlap` shortens the window: step and
-    window are both max_len - overlap, so neighbours share nothing. `true_overlap` keeps the
-    window at max_len and only steps by the difference.
-    """
-    step = max(max_len - overlap, 1)
-    size = max_len if true_overlap else step
-    cut = df.withColumn("_w", text.tokens("content")).select(
-        "page_id", "title", "pos", "heading", F.inline_outer(_windows(F.col("_w"), step, size))
+def _cut_by_plans(df: DataFrame, plans: Sequence[tuple[int, int, int, int]], floor: float, seed: int) -> DataFrame:
+    """Rows of all `plans` (context length, overlap, step, window) from one pass over the sections; each text is cut into words once."""
+    each = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(("context_length", "overlap", "step", "size"), p, strict=True)]) for p in plans])
+    words = df.withColumn("_w", text.tokens("content")).select("page_id", "title", "pos", "heading", "_w", F.inline(each))
+    cut = words.select(
+        "context_length", "overlap", "page_id", "title", "pos", "heading", F.inline_outer(_windows(F.col("_w"), F.col("step"), F.col("size")))
     ).where("chunk IS NOT NULL")  # an inner `inline` would build the windows twice, to filter on their number
     cut = cut.where(F.col("n") * F.lit(fixed.TOKENS_PER_WORD) >= floor)
     topic = F.when(
@@ -74,12 +68,25 @@ def section_chunks(
         F.concat("heading", F.lit(" of "), "title"),
     ).otherwise(F.concat("title", F.lit("'s "), "heading"))
     return cut.select(
-        "page_id", "pos", F.col("no").alias("chunk_no"), topic.alias("input"),
+        "context_length", "overlap", "page_id", "pos", F.col("no").alias("chunk_no"), topic.alias("input"),
         text.choose(fixed.TOPIC_INSTRUCTIONS, "page_id", "pos", "no", F.lit(seed + 1)).alias("instruction"),
         text.hashes_to_space("chunk").alias("response"),
     )
 
 
+def section_chunks(
+    df: DataFrame, max_len: int, overlap: int, floor: float = 30, seed: int = 0, true_overlap: bool = False
+) -> DataFrame:
+    """Sections (page_id, title, pos, heading, content) to rows with input, instruction, response.
+
+    As the name says in the source data's tradition, `overlap` shortens the window: step and
+    window are both max_len - overlap, so neighbours share nothing. `true_overlap` keeps the
+    window at max_len and only steps by the difference.
+    """
+    step = max(max_len - overlap, 1)
+    return _cut_by_plans(df, [(max_len, overlap, step, max_len if true_overlap else step)], floor, seed).drop("context_length", "overlap")
+
+
 def packed_chunks(df: DataFrame, max_len: int, overlap: int, floor: float = 5, seed: int = 0) -> DataFrame:
     """Pages (page_id, title, summary, text, sections: array<struct<heading,content>>, infobox_text)
     to windows over packs of whole sections.
@@ -137,26 +144,35 @@ def chunk_sweep(
     sections: DataFrame, lengths: Sequence[int] = (512, 1024, 2048), min_tokens: int = 60,
     deny: Sequence[str] = (), first_overlap: int = 200, grow: int = 200, num_perm: int | None = 32, dedup: bool = True,
     seed: int = 0,
-) -> dict[int, tuple[int, DataFrame]]:
-    """Per context length: (overlap used, rows).
+) -> DataFrame:
+    """Section chunks for every context length: (context_length, overlap, over_length, page_id, pos, chunk_no, input, instruction, response).
 
-    The overlap grows until no row's estimate passes the length, then rows are filtered by
-    deny-list and floor, and near-duplicates by response are dropped. One counting job per try.
+    A length takes the first of the overlaps `first_overlap`, `first_overlap` + `grow`, ... at which no row's estimate passes it; where
+    none does, the last one, whose window is a single word, and rows still over the length are marked `over_length`. All overlaps of all lengths are judged
+    in one job over the sections, and the rows come from a second one. Rows are then filtered by deny-list and floor, and near-duplicates by response
+    within a length are dropped.
     """
-    out: dict[int, tuple[int, DataFrame]] = {}
+    tries: list[tuple[int, int, int, int]] = []
     for length in lengths:
         overlap = first_overlap
         while True:
-            rows = section_chunks(sections, length, overlap, min_tokens, seed)
-            size = text.est_tokens(F.concat("input", "instruction", "response"))
-            if max(length - overlap, 1) == 1 or rows.where(size > length).isEmpty():
+            step = max(length - overlap, 1)
+            tries.append((length, overlap, step, step))
+            if step == 1:
                 break
             overlap += grow
-        rows = filters.filter_denylist(rows, "input", deny).where(text.word_count("response") >= min_tokens)
-        if dedup:
-            rows = rows.withColumn(
-                "_id", F.concat_ws("-", "page_id", F.lpad(F.col("pos").cast("string"), 10, "0"), F.lpad(F.col("chunk_no").cast("string"), 10, "0"))
-            )
-            rows = neardup.dedup_near(rows, "_id", "response", 10, 0.7, num_perm).drop("_id")
-        out[length] = (overlap, rows)
-    return out
+    size = text.est_tokens(F.concat("input", "instruction", "response"))
+    over = size > F.col("context_length")
+    judged = _cut_by_plans(sections, tries, min_tokens, seed).groupBy("context_length", "overlap").agg(F.max(over).alias("over"))
+    bad = {(r["context_length"], r["overlap"]) for r in judged.collect() if r["over"]}  # at most a row for each try
+    chosen = [next((t for t in tries if t[0] == n and (n, t[1]) not in bad), [t for t in tries if t[0] == n][-1]) for n in dict.fromkeys(lengths)]
+    rows = _cut_by_plans(sections, chosen, min_tokens, seed).withColumn("over_length", over)
+    rows = filters.filter_denylist(rows, "input", deny).where(text.word_count("response") >= min_tokens)
+    if dedup:
+        # Marked by length, so that rows of different lengths share no shingle and one search serves all.
+        place = [F.lpad(F.col(c).cast("string"), 10, "0") for c in ("context_length", "pos", "chunk_no")]
+        mark = F.concat(F.col("context_length").cast("string"), F.lit(":"))
+        rows = rows.withColumn("_id", F.concat_ws("-", place[0], "page_id", *place[1:]))
+        rows = rows.withColumn("_r", F.array_join(F.transform(text.tokens("response"), lambda w: F.concat(mark, w)), " "))
+        rows = neardup.dedup_near(rows, "_id", "_r", 10, 0.7, num_perm).drop("_id", "_r")
+    return rows.select("context_length", "overlap", "over_length", "page_id", "pos", "chunk_no", "input", "instruction", "response")

@@ -9,30 +9,37 @@ from corpusloom.functions import fixed
 from corpusloom.operators import skew
 
 
+def ranked_comments(comments: DataFrame, limit: int = skew.GROUP_LIMIT) -> DataFrame:
+    """(parent_id, place, total, comment): comments on posts, best score first; `comment.rank` is shared by ties.
+
+    The long form of a post's list: one row per comment, however many a post has.
+    """
+    # Replies to comments carry another parent prefix; the prefix test reaches the scan and spares their shuffle.
+    kept = comments.where(F.startswith(F.col("parent_id"), F.lit(fixed.POST_PREFIX)))
+    placed = skew.place_within(kept, ["parent_id"], "score", [F.col("id")], limit)
+    value = F.struct("body", "ups", "score", "downs", F.col("rank").cast("int").alias("rank"))
+    return placed.select("parent_id", F.col("rn").alias("place"), F.col("n").alias("total"), value.alias("comment"))
+
+
+def post_comment_rows(posts: DataFrame, comments: DataFrame, limit: int = skew.GROUP_LIMIT) -> DataFrame:
+    """One row per post and comment, with `place` and `total`; a post without comments has one row with NULLs and a total of 0.
+
+    A post with a large share of all comments is dealt over several tasks.
+    """
+    rows = ranked_comments(comments, limit)
+    return posts.join(rows, posts.post_id == rows.parent_id, "left").withColumn("total", F.coalesce("total", F.lit(0)))
+
+
 def denorm_posts_comments(posts: DataFrame, comments: DataFrame, list_limit: int = skew.GROUP_LIMIT) -> DataFrame:
     """Posts with their comments as a ranked list; a post without comments keeps NULL.
 
-    Only comments on posts match: replies carry another parent prefix. A post whose
-    list exceeds `list_limit` continues in rows with `piece` 1, 2, ...
+    The list form of `post_comment_rows`. A post whose list exceeds `list_limit` continues in rows with `piece` 1, 2, ..., each with the
+    post's number of comments as `total` and the place its list begins at as `first`.
     """
-    # Replies to comments never match; the prefix test reaches the scan and spares their shuffle.
-    kept = comments.where(F.startswith(F.col("parent_id"), F.lit(fixed.POST_PREFIX)))
-    placed = skew.place_within(kept, ["parent_id"], "score", [F.col("id")], list_limit)
-    placed = placed.withColumn("piece", F.floor((F.col("rn") - 1) / list_limit).cast("int"))
-    lists = (
-        placed.groupBy("parent_id", "piece")
-        .agg(
-            F.sort_array(
-                F.collect_list(
-                    F.struct("rn", F.struct("body", "ups", "score", "downs", F.col("rank").cast("int").alias("rank")).alias("v"))
-                )
-            ).alias("l")
-        )
-        .select("parent_id", "piece", F.transform("l", lambda x: x["v"]).alias("comments"))
-    )
-    return posts.join(lists, posts.post_id == lists.parent_id, "left").withColumn(
-        "piece", F.coalesce(F.col("piece"), F.lit(0))
-    )
+    lists = skew.gather(ranked_comments(comments, list_limit), ["parent_id"], "comments", list_limit, "comment")
+    return posts.join(lists, posts.post_id == lists.parent_id, "left").withColumns({
+        "piece": F.coalesce("piece", F.lit(0)), "first": F.coalesce("first", F.lit(1)), "total": F.coalesce("total", F.lit(0)),
+    })
 
 
 def join_suffixed(

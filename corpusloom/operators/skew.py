@@ -199,6 +199,39 @@ def place_within(
     return done.unionByName(s.select(done.columns))
 
 
+def ordered_rows(
+    df: DataFrame, part: Sequence[str], order: Sequence[Column], cols: Sequence[Column | str], limit: int = GROUP_LIMIT, value: str = "value",
+) -> DataFrame:
+    """(part, place, total, value): one row per row, with its place 1, 2, ... in its group and the group's size.
+
+    The grain is that of `df` whatever the sizes of groups; `ordered_lists` gathers these rows.
+    """
+    picked = F.struct(*[F.col(c) if isinstance(c, str) else c for c in cols])
+    kept = df.withColumn("_v", picked)
+    by = Window.partitionBy(*part)
+    cold, hot = split_hot(kept, part, limit)
+    place, total = F.row_number().over(by.orderBy(*order)).cast("bigint"), F.count(F.lit(1)).over(by)
+    done = cold.select(*part, place.alias("place"), total.alias("total"), F.col("_v").alias(value))
+    if hot is None:
+        return done
+    n = number_within(hot, part, order, "place", limit=0)
+    totals = small(hot.groupBy(*part).agg(F.count(F.lit(1)).alias("total")))  # one row for each hot group
+    return done.unionByName(join_keys(n, totals, part).select(*part, "place", "total", F.col("_v").alias(value)))
+
+
+def gather(rows: DataFrame, part: Sequence[str], out: str, list_limit: int = GROUP_LIMIT, value: str = "value") -> DataFrame:
+    """The list form of `ordered_rows`: (part, piece, first, total, `out`).
+
+    `total` is the group's size in every row. A group longer than `list_limit` continues in further rows, `piece` = 1, 2, ..., whose
+    lists begin at place `first`; no task holds more than one piece.
+    """
+    cut = rows.withColumn("piece", F.floor((F.col("place") - 1) / list_limit).cast("int"))
+    got = cut.groupBy(*part, "piece").agg(
+        F.min("place").alias("first"), F.max("total").alias("total"), F.sort_array(F.collect_list(F.struct("place", F.col(value).alias("_v")))).alias("_l")
+    )
+    return got.select(*part, "piece", "first", "total", F.transform("_l", lambda x: x["_v"]).alias(out))
+
+
 def ordered_lists(
     df: DataFrame,
     part: Sequence[str],
@@ -207,15 +240,5 @@ def ordered_lists(
     out: str,
     list_limit: int = GROUP_LIMIT,
 ) -> DataFrame:
-    """One row per group with its rows as an ordered array of structs (`out`).
-
-    A group longer than `list_limit` continues in further rows, `piece` = 1, 2, ...;
-    every row is kept and no task holds more than one piece.
-    """
-    picked = [F.col(c) if isinstance(c, str) else c for c in cols]
-    n = number_within(df, part, order, "_rn", limit=list_limit)
-    n = n.withColumn("piece", F.floor((F.col("_rn") - 1) / list_limit).cast("int"))
-    got = n.groupBy(*part, "piece").agg(
-        F.sort_array(F.collect_list(F.struct(F.col("_rn"), F.struct(*picked).alias("_v")))).alias("_l")
-    )
-    return got.select(*part, "piece", F.transform("_l", lambda x: x["_v"]).alias(out))
+    """The rows of each group as an ordered array of structs (`out`), with `piece`, `first` and `total` as `gather` gives them."""
+    return gather(ordered_rows(df, part, order, cols, list_limit, "_value"), part, out, list_limit, "_value")

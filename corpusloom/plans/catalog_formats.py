@@ -296,7 +296,7 @@ def split_roundtrip(s, d):
 @query("partitioned_table", "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus = 'O'")
 def partitioned_table(s, d):
     path = scratch_path(s, "partitioned")
-    writers.write_partitioned(table(s, d, "orders").select("o_orderkey", "o_orderstatus"), path, "o_orderstatus", 4)
+    writers.write_partitioned(table(s, d, "orders").select("o_orderkey", "o_orderstatus"), path, "o_orderstatus")
     return readers.read_table(s, path).where("o_orderstatus = 'O'").select("o_orderkey", F.col("o_orderstatus").cast("string").alias("o_orderstatus"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text
@@ -29,18 +29,45 @@ g AS (SELECT parent_id, count(*) AS n, max(score) AS best,
 SELECT post_id, 0 AS piece, coalesce(n, 0) AS n_comments, best AS best_score, l AS ranked
 FROM p LEFT JOIN g ON g.parent_id = p.post_id""")
 def denorm_posts_comments(s, d):
-    c = table(s, d, "lineitem").select(
+    got = joins.denorm_posts_comments(_posts(s, d), _comments(s, d))
+    return got.select("post_id", "piece", F.col("total").alias("n_comments"), F.get("comments", F.lit(0))["score"].alias("best_score"), _ranked("comments").alias("ranked"))
+
+
+def _comments(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "lineitem").select(
         F.concat(F.lit("t3_"), F.col("l_orderkey").cast("string")).alias("parent_id"),
         F.concat_ws("-", "l_linenumber", "l_partkey", "l_suppkey").alias("id"),
         F.col("l_returnflag").alias("body"), F.col("l_linenumber").alias("ups"),
         cents("l_extendedprice").alias("score"), F.lit(0).alias("downs"),
     )
-    got = joins.denorm_posts_comments(_posts(s, d), c)
-    show = F.array_join(F.transform("comments", lambda x: F.concat(x["rank"].cast("string"), F.lit(":"), x["score"].cast("string"))), ",")
-    return got.select(
-        "post_id", "piece", F.coalesce(F.size("comments"), F.lit(0)).alias("n_comments"),
-        F.get("comments", F.lit(0))["score"].alias("best_score"), show.alias("ranked"),
-    )
+
+
+def _ranked(comments: str) -> Column:
+    return F.array_join(F.transform(comments, lambda x: F.concat(x["rank"].cast("string"), F.lit(":"), x["score"].cast("string"))), ",")
+
+
+_PLACED_SQL = """
+WITH p AS (SELECT 't3_' || o_orderkey AS post_id FROM orders WHERE o_orderstatus NOT IN ('F')),
+s AS (SELECT 't3_' || l_orderkey AS parent_id, CAST(floor(l_extendedprice * 100 + 0.5) AS BIGINT) AS score FROM lineitem),
+r AS (SELECT *, rank() OVER (PARTITION BY parent_id ORDER BY score DESC) AS rk, row_number() OVER (PARTITION BY parent_id ORDER BY score DESC) AS place,
+  count(*) OVER (PARTITION BY parent_id) AS total FROM s)"""
+
+
+@query("denorm_hot", _PLACED_SQL + """,
+g AS (SELECT parent_id, (place - 1) // 2 AS piece, min(place) AS first, min(total) AS total, string_agg(rk || ':' || score, ',' ORDER BY place) AS l FROM r GROUP BY 1, 2)
+SELECT post_id, coalesce(piece, 0) AS piece, coalesce(first, 1) AS first, coalesce(total, 0) AS total, l AS ranked FROM p LEFT JOIN g ON g.parent_id = p.post_id""")
+def denorm_hot(s, d):
+    """The list form with two comments a piece, so that most posts are hot."""
+    got = joins.denorm_posts_comments(_posts(s, d), _comments(s, d), list_limit=2)
+    return got.select("post_id", "piece", "first", "total", _ranked("comments").alias("ranked"))
+
+
+@query("denorm_rows", _PLACED_SQL + """
+SELECT post_id, place, coalesce(total, 0) AS total, rk AS rank, score FROM p LEFT JOIN r ON r.parent_id = p.post_id""")
+def denorm_rows(s, d):
+    """The long form: one row for each post and comment, whatever the posts' sizes; posts of more than three comments count as hot."""
+    got = joins.post_comment_rows(_posts(s, d), _comments(s, d), limit=3)
+    return got.select("post_id", "place", "total", F.col("comment.rank").cast("bigint").alias("rank"), "comment.score")
 
 
 @query("tombstone_filter", """
@@ -112,7 +139,7 @@ SELECT o_custkey AS key, 0 AS piece, string_agg(o_orderpriority, ',' ORDER BY o_
 FROM orders GROUP BY 1""")
 def group_list(s, d):
     g = aggregates.group_list(table(s, d, "orders").withColumnRenamed("o_custkey", "key"), "key", "o_orderpriority")
-    return aggregates.with_count(g, "items", keys=["key"]).select("key", "piece", F.array_join("items", ",").alias("items"), "total")
+    return aggregates.with_count(g, "items").select("key", "piece", F.array_join("items", ",").alias("items"), "total")
 
 
 @query("group_list_hot", """
@@ -123,7 +150,7 @@ def group_list_hot(s, d):
     """The same with a limit of three rows a piece, so that most groups are split."""
     o = table(s, d, "orders").withColumnRenamed("o_custkey", "key")
     g = aggregates.group_list(o, "key", "o_orderpriority", list_limit=3)
-    return aggregates.with_count(g, "items", keys=["key"]).select("key", "piece", F.array_join("items", ",").alias("items"), "total")
+    return g.select("key", "piece", F.array_join("items", ",").alias("items"), "total")
 
 
 @query("group_structs", """

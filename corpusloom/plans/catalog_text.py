@@ -8,6 +8,7 @@ from corpusloom.functions import fixed, text
 from corpusloom.operators import aggregates, chunking, filters, joins, prompts, scoring, windows
 from corpusloom.plans import answers, packaging
 from corpusloom.plans.catalog import docs, query, spread, table
+from corpusloom.plans.catalog_corpus import near_dup_sql
 
 WORDS = "list_filter(string_split_regex({}, '\\s+'), lambda x: x <> '')"
 NW = "len(" + WORDS + ")"
@@ -192,31 +193,36 @@ def packed_chunks(s, d):
     return chunking.packed_chunks(x, 300, 100, 5).select("page_id", "pack", "chunk_no", F.md5("input").alias("input"))
 
 
-def _sweep_sql(length: int) -> str:
-    parts = []
-    for overlap in (10, 20, 30, 40, 50):
-        step = max(length - overlap, 1)
-        parts.append(f"""SELECT {overlap} AS overlap, count(*) FILTER (tot > {length}) AS over_rows,
-  count(*) FILTER (n >= 12 AND len(list_filter({_sql_list(('line 7 of', "3's line 9"))}, lambda q: contains(lower(input), lower(q)))) = 0) AS n_rows
-FROM (SELECT n, input, {NW.format('input || instruction || response')} * 1.2::DOUBLE AS tot FROM (
-  SELECT n, CASE WHEN {UHASH.format("doc_id || chr(1) || pos || chr(1) || no || chr(1) || '0'")} % 2 = 0 THEN 'line ' || pos || ' of ' || source
+def _sweep_rows_sql(length: int, overlap: int) -> str:
+    return f"""SELECT {length} AS context_length, {overlap} AS overlap, doc_id, pos, no, n, input, instruction, response,
+  {NW.format('input || instruction || response')} * 1.2::DOUBLE > {length} AS over_length FROM (
+  SELECT doc_id, pos, no, n, CASE WHEN {UHASH.format("doc_id || chr(1) || pos || chr(1) || no || chr(1) || '0'")} % 2 = 0 THEN 'line ' || pos || ' of ' || source
     ELSE source || '''s line ' || pos END AS input,
   {_sql_list(fixed.TOPIC_INSTRUCTIONS)}[({UHASH.format("doc_id || chr(1) || pos || chr(1) || no || chr(1) || '1'")} % 4 + 1)::INT] AS instruction,
   regexp_replace(chunk, '#+', ' ', 'g') AS response
-  FROM ({_CHUNKS.format(step=step)} SELECT * FROM c WHERE n * 1.2::DOUBLE >= 12)))""")
-    return f"SELECT {length} AS context_length, overlap, n_rows AS n FROM ({' UNION ALL '.join(parts)}) WHERE over_rows = 0 ORDER BY overlap LIMIT 1"
+  FROM ({_CHUNKS.format(step=max(length - overlap, 1))} SELECT * FROM c WHERE n * 1.2::DOUBLE >= 12))"""
 
 
-@query("chunk_sweep", " UNION ALL ".join(f"(SELECT * FROM ({_sweep_sql(n)}))" for n in (40, 80)))
+_SWEEP = " UNION ALL ".join(_sweep_rows_sql(n, o) for n in (30, 80) for o in (10, 20, 30, 40, 50, 60, 70, 80) if o - 10 < n)
+# Rows of the overlap taken for each length: the first without a row over it, or the last there is.
+_SWEPT = f"""tried AS MATERIALIZED ({_SWEEP}),
+taken AS (SELECT context_length, coalesce(min(overlap) FILTER (NOT over), max(overlap)) AS overlap FROM (
+  SELECT t.context_length, t.overlap, coalesce(bool_or(over_length), FALSE) AS over FROM
+    (VALUES {", ".join(f"({n}, {o})" for n in (30, 80) for o in (10, 20, 30, 40, 50, 60, 70, 80) if o - 10 < n)}) t(context_length, overlap)
+    LEFT JOIN tried USING (context_length, overlap) GROUP BY 1, 2) GROUP BY 1),
+rows AS (SELECT tried.* FROM tried JOIN taken USING (context_length, overlap)
+  WHERE n >= 12 AND len(list_filter({_sql_list(('line 7 of', "3's line 9"))}, lambda q: contains(lower(input), lower(q)))) = 0)"""
+_SWEEP_ID = "lpad(context_length::VARCHAR, 10, '0') || '-' || doc_id || '-' || lpad(pos::VARCHAR, 10, '0') || '-' || lpad(no::VARCHAR, 10, '0')"
+
+
+@query("chunk_sweep", f"WITH {_SWEPT}, " + near_dup_sql(f"""SELECT {_SWEEP_ID} AS id,
+  array_to_string(list_transform({WORDS.format('response')}, lambda w: context_length || ':' || w), ' ') AS text FROM rows""") + f"""
+SELECT context_length, overlap, over_length, doc_id AS page_id, pos, no AS chunk_no, md5(response) AS response FROM rows
+WHERE {_SWEEP_ID} NOT IN (SELECT id FROM near_gone)""")
 def chunk_sweep(s, d):
-    got = chunking.chunk_sweep(
-        _sections(s, d), (40, 80), 12, ("line 7 of", "3's line 9"), first_overlap=10, grow=10, dedup=False
-    )
-    out = None
-    for length, (overlap, rows) in got.items():
-        one = rows.agg(F.lit(length).alias("context_length"), F.lit(overlap).alias("overlap"), F.count(F.lit(1)).alias("n"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    """Two lengths, one that a cut fits and one so short that its rows stay over it; near-duplicate responses out."""
+    got = chunking.chunk_sweep(_sections(s, d), (30, 80), 12, ("line 7 of", "3's line 9"), first_overlap=10, grow=10, num_perm=None)
+    return got.select("context_length", "overlap", "over_length", "page_id", "pos", "chunk_no", F.md5("response").alias("response"))
 
 
 _TEMPLATES = (

@@ -17,9 +17,9 @@ def denorm(posts: DataFrame, comments: DataFrame, list_limit: int = skew.GROUP_L
     return joins.denorm_posts_comments(live, needed, list_limit)
 
 
-def denorm_job(spark, comments_path: str, posts_path: str, out: str, files: int = 10) -> None:
+def denorm_job(spark, comments_path: str, posts_path: str, out: str, file_bytes: int = writers.FILE_BYTES) -> None:
     got = denorm(readers.read_table(spark, posts_path), readers.read_table(spark, comments_path))
-    writers.write_partitioned(got, out, "subreddit", files)
+    writers.write_partitioned(got, out, "subreddit", file_bytes)
 
 
 def main() -> None:

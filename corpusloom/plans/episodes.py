@@ -14,7 +14,7 @@ def episode_text(
     cues: DataFrame, episode: str, order: list[Column], col: str, sep: str = "\n", out: str = "content",
     list_limit: int = skew.GROUP_LIMIT,
 ) -> DataFrame:
-    """(episode, piece, content): cue texts joined in order."""
+    """(episode, piece, content): cue texts joined in order. `skew.ordered_rows` gives the cues as rows, with their places."""
     lists = skew.ordered_lists(cues, [episode], order, [F.col(col).alias("v")], "_l", list_limit)
     return lists.select(episode, "piece", F.array_join(F.transform("_l", lambda x: x["v"]), sep).alias(out))
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,9 +13,34 @@ from corpusloom.operators import skew, windows
 from corpusloom.session import stable
 
 
-def write_partitioned(df: DataFrame, path: str, by: str, n: int | None = None) -> None:
-    """Overwrite Parquet partitioned by a column: as the rows lie, or at a parallelism set by the caller."""
-    (df.repartition(n) if n else df).write.partitionBy(by).mode("overwrite").parquet(path)
+# Bytes of a written file, about: how far a shuffled partition is filled before it is cut.
+FILE_BYTES = 128 << 20
+# Folders of a keyed table that its first batch does not need more of: a batch rewrites whole folders.
+BUCKET_ROWS, LEAST_BUCKETS, MOST_BUCKETS = 1_000_000, 8, 8192
+
+
+@contextmanager
+def _file_size(spark: SparkSession, size: int) -> Iterator[None]:
+    """Adaptive plans run inside cut and join rebalanced partitions at about `size` bytes."""
+    conf = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": str(size), "spark.sql.adaptive.rebalancePartitionsSmallPartitionFactor": "0.5"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
+def write_partitioned(df: DataFrame, path: str, by: str, file_bytes: int = FILE_BYTES) -> None:
+    """Overwrite Parquet partitioned by a column. The data decide how many tasks write: rows are rebalanced by the column, small
+    partitions joined and large ones, a hot value's too, cut to files of about `file_bytes`."""
+    with _file_size(df.sparkSession, file_bytes):
+        df.hint("rebalance", by).write.partitionBy(by).mode("overwrite").parquet(path)
 
 
 def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -72,30 +98,33 @@ def to_index_docs(sections: DataFrame) -> DataFrame:
     )
 
 
-def upsert_parquet(df: DataFrame, path: str, key: str, order: Sequence[Column], buckets: int = 64) -> None:
+def upsert_parquet(df: DataFrame, path: str, key: str, order: Sequence[Column], buckets: int | None = None, file_bytes: int = FILE_BYTES) -> None:
     """Insert or replace rows by key: of all rows a key has had, in this batch and in the table, the first by `order`
     stays, so a late older row changes nothing; of rows equal in `order` the new one stays.
 
     Rows lie in folders by hash of the key, and only folders that receive rows are rewritten, by one committed dynamic
-    overwrite. Running the same batch twice leaves the same table. The number of folders belongs to the table: it is
-    written beside it, and another number is refused.
+    overwrite, in files of about `file_bytes`. Running the same batch twice leaves the same table. The number of folders belongs to the table: it is
+    written beside it, and another number is refused. Without `buckets` the first batch decides it, one folder for each BUCKET_ROWS rows.
     """
     spark = df.sparkSession
-    b = F.pmod(F.xxhash64(F.col(key)), F.lit(buckets)).cast("int")
-    new = windows.keep_one(df, [key], order).withColumn("bucket", b)
-    if _exists(spark, path):
-        made = spark.read.json(f"{path}/_layout").first()["buckets"]
-        if made != buckets:
-            raise ValueError(f"{path} has {made} buckets, not {buckets}")
+    kept = windows.keep_one(df, [key], order)
+    exists = _exists(spark, path)
+    made = spark.read.json(f"{path}/_layout").first()["buckets"] if exists else None
+    if exists and buckets not in (None, made):
+        raise ValueError(f"{path} has {made} buckets, not {buckets}")
+    if not exists:
+        made = buckets or min(max(-(-df.count() // BUCKET_ROWS), LEAST_BUCKETS), MOST_BUCKETS)
+        spark.createDataFrame([(made,)], "buckets int").coalesce(1).write.mode("overwrite").json(f"{path}/_layout")
+    new = kept.withColumn("bucket", F.pmod(F.xxhash64(F.col(key)), F.lit(made)).cast("int"))
+    if exists:
         new = stable(new)
-        touched = [r["bucket"] for r in new.select("bucket").distinct().collect()]  # at most `buckets` numbers
+        touched = [r["bucket"] for r in new.select("bucket").distinct().collect()]  # at most `made` numbers
         old = spark.read.parquet(path).where(F.col("bucket").isin(touched)).select(*new.columns).withColumn("_late", F.lit(1))
         both = old.unionByName(new.withColumn("_late", F.lit(0)))
         # Read in full before its own folders are replaced.
         new = stable(windows.keep_one(both, [key], [*order, F.asc("_late")]).drop("_late"))
-    else:
-        spark.createDataFrame([(buckets,)], "buckets int").coalesce(1).write.mode("overwrite").json(f"{path}/_layout")
-    new.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    with _file_size(spark, file_bytes):
+        new.hint("rebalance", "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
 
 
 def _exists(spark: SparkSession, path: str) -> bool:

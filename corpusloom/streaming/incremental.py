@@ -64,7 +64,7 @@ def append_new(out: str, key: str, order: Sequence[Column]) -> Callable[[DataFra
     return run
 
 
-def upsert_batches(path: str, key: str, order: Sequence[Column], buckets: int = 64) -> Callable[[DataFrame, int], None]:
+def upsert_batches(path: str, key: str, order: Sequence[Column], buckets: int | None = None) -> Callable[[DataFrame, int], None]:
     """For `foreachBatch`: keep the first row by `order` per key in a Parquet table, over all batches."""
     def run(batch: DataFrame, batch_id: int) -> None:
         writers.upsert_parquet(batch, path, key, order, buckets)

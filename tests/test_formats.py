@@ -171,7 +171,7 @@ def test_denorm_job(spark, tmp_path):
                                      "id string, parent_id string, body string, ups long, score long, downs long")
     posts.write.parquet(str(tmp_path / "p"))
     comments.write.parquet(str(tmp_path / "c"))
-    denorm_job(spark, str(tmp_path / "c"), str(tmp_path / "p"), str(tmp_path / "o"), 2)
+    denorm_job(spark, str(tmp_path / "c"), str(tmp_path / "p"), str(tmp_path / "o"))
     got = {r.post_id: r.comments for r in spark.read.parquet(str(tmp_path / "o")).collect()}
     assert got["t3_c"] is None and [c["rank"] for c in got["t3_a"]] == [1, 1, 3]
     assert sorted(glob.glob(str(tmp_path / "o" / "subreddit=*")))[0].endswith("subreddit=s1")
@@ -199,3 +199,35 @@ def test_upsert_keeps_the_first_by_order(spark, tmp_path):
     assert sorted((r.k, r.v) for r in spark.read.parquet(path).collect()) == [(1, 10), (2, 9), (3, 7)]
     with pytest.raises(ValueError):
         writers.upsert_parquet(spark.createDataFrame([(1, 1)], "k int, v int"), path, "k", [F.desc("v")], 8)
+
+
+def _files(root):
+    return {p: p.stat().st_size for p in root.rglob("*.parquet")}
+
+
+def test_files_have_the_size_asked_for(spark, tmp_path):
+    """Ten small values and one with most rows: files of the asked size, whatever the number of tasks."""
+    rows = spark.range(120_000).select(
+        "id", F.sha2(F.col("id").cast("string"), 512).alias("t"), F.when(F.col("id") % 10 < 8, F.lit("hot")).otherwise(F.concat(F.lit("v"), (F.col("id") % 100).cast("string"))).alias("by"),
+    ).repartition(3)
+    target = 1 << 20
+    writers.write_partitioned(rows, str(tmp_path / "t"), "by", target)
+    sizes = _files(tmp_path / "t")
+    hot = [n for p, n in sizes.items() if p.parent.name == "by=hot"]
+    assert len(hot) >= 5 and all(target / 2 <= n <= 2 * target for n in sorted(hot)[1:])
+    # Small values share tasks; one that is shuffled together with the hot value lies in some of its tasks.
+    assert len(sizes) - len(hot) <= 4 * 20
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 120_000
+    assert "REBALANCE" in rows.hint("rebalance", "by")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_folders_of_a_keyed_table_follow_its_first_batch(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(writers, "BUCKET_ROWS", 100)
+    path = str(tmp_path / "t")
+    writers.upsert_parquet(spark.range(2500).withColumn("v", F.lit(1)), path, "id", [F.desc("v")])
+    assert spark.read.json(f"{path}/_layout").first().buckets == 25
+    writers.upsert_parquet(spark.range(2000, 9000).withColumn("v", F.lit(2)), path, "id", [F.desc("v")])
+    got = spark.read.parquet(path)
+    assert got.count() == 9000 and got.where("v = 2").count() == 7000 and got.select("bucket").distinct().count() == 25
+    with pytest.raises(ValueError, match="has 25 buckets"):
+        writers.upsert_parquet(spark.range(3).withColumn("v", F.lit(2)), path, "id", [F.desc("v")], 8)

@@ -130,11 +130,14 @@ def test_packs(spark):
 def test_sweep_grows_overlap(spark):
     df = spark.createDataFrame([(i, "T", 0, "H", " ".join(f"a{i}_{j}" for j in range(120))) for i in range(3)] + [(9, "T", 0, "H", " ".join(f"a0_{j}" for j in range(120)))],
                                "page_id int, title string, pos int, heading string, content string")
-    out = chunking.chunk_sweep(df, (50,), 5, ("nothing",), first_overlap=5, grow=5, num_perm=None)
-    overlap, rows = out[50]
-    got = rows.collect()
-    assert overlap >= 10 and {r.page_id for r in got} == {0, 1, 2}
-    assert max(len((r.input + r.instruction + r.response).split()) * 1.2 for r in got) <= 50
+    rows = chunking.chunk_sweep(df, (50, 12, 50), 5, ("nothing",), first_overlap=5, grow=5, num_perm=None).collect()
+    got = [r for r in rows if r.context_length == 50]
+    assert {r.overlap for r in got} == {min(r.overlap for r in got)} and got[0].overlap >= 10 and {r.page_id for r in got} == {0, 1, 2}
+    assert max(len((r.input + r.instruction + r.response).split()) * 1.2 for r in got) <= 50 and not any(r.over_length for r in got)
+    # No overlap makes rows short enough: the last cut is taken, rows of one word, and the floor drops them.
+    assert not [r for r in rows if r.context_length == 12]
+    short = chunking.chunk_sweep(df, (12,), 0, first_overlap=5, grow=5, dedup=False)
+    assert short.where("not over_length").count() == 0 and short.select("overlap").distinct().collect()[0].overlap == 15
 
 
 @pytest.mark.parametrize("mark", ["{{", "[[", "{|", "<ref>", "[http://x ", "''", "<!--", "{{a|", "[[a|"])

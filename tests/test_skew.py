@@ -64,6 +64,25 @@ def test_ordered_lists_pieces_hold_every_row(spark):
     assert [tuple(r) for r in back] == [tuple(r) for r in want]
 
 
+def test_ordered_rows_keep_the_grain(spark):
+    df = _rows(spark)
+    w = Window.partitionBy("k")
+    want = df.select("k", F.row_number().over(w.orderBy("id")).cast("bigint").alias("place"), F.count(F.lit(1)).over(w).alias("total"), F.struct("id").alias("value"))
+    for limit in (1, 40, 10_000):
+        rows = skew.ordered_rows(df, ["k"], [F.col("id")], ["id"], limit)
+        _same(rows, want)
+        lists = skew.gather(rows, ["k"], "l", limit).collect()
+        assert all(r.first == 1 + r.piece * limit and len(r.l) == min(limit, r.total - r.first + 1) for r in lists)
+
+
+def test_join_few_deals_hot_keys(spark):
+    left = _rows(spark).select("k", "id")
+    right = spark.createDataFrame([(0, "a"), (0, "b"), (5, "c"), (99, "d"), (None, "e")], "k long, v string")
+    want = left.join(right, "k")
+    for limit in (0, 50, 10_000):
+        _same(skew.join_few(left, right, ["k"], limit, 7), want)
+
+
 def test_context_windows_over_blocks(spark):
     df = _rows(spark)
     for limit in (7, 30):

@@ -25,11 +25,13 @@ _ATTRIBUTE = re.compile(r"(class|id|role|style|hidden|aria-hidden|aria-label)\b(
 _TOKENS_OF = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 # Elements whose content is no text of the page.
-SILENT = frozenset("script style noscript template title textarea iframe object svg math select button canvas audio video head datalist".split())
+SILENT = frozenset("script style noscript template title textarea iframe object svg select button canvas audio video head datalist annotation annotation-xml".split())
+# Their content is raw text: what follows one that is never closed belongs to it. After the others the page goes on.
+RAW = frozenset("script style title textarea".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img "
-    "input br".split()
+    "input br math semantics mrow mi mn mo ms mtext mspace mfrac msqrt mroot msup msub msubsup mover munder munderover mstyle mpadded mphantom menclose".split()
 )
 # A start tag of these ends an open element of the same kind.
 SELF_CLOSING = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -47,11 +49,15 @@ CONTENT_NAMES = frozenset("article content main post entry story body text maint
 
 # Longer names that begin like this, and the few names that count for an article or main element itself.
 _NEVER_STARTS = ("comment", "advert", "sponsor", "newsletter", "cookie", "sidebar", "navbar", "breadcrumb", "subscri", "footer", "related")
+# Names of a paragraph or heading say something only if all their words are known.
+_OF_TEXT = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
 _NEVER_ARTICLE = ("comment", "reply", "advert", "sponsor", "related", "sidebar", "promo")
 
 
 class _Element:
-    __slots__ = ("tag", "up", "depth", "never", "hint")
+    """`never`: no text of the page's own. `lifted`: what `never` would be if names of elements around an article or main element said nothing."""
+
+    __slots__ = ("tag", "up", "depth", "never", "lifted", "hint")
 
     def __init__(self, tag: str, up: _Element | None, attributes: str):
         self.tag, self.up = tag, up
@@ -61,15 +67,25 @@ class _Element:
             for key, value in _ATTRIBUTE.findall(attributes):
                 key, value = key.lower(), value.strip("\"'")
                 if key in ("class", "id", "role", "aria-label"):
-                    names.update(w.lower().removesuffix("s") if len(w) > 3 else w.lower() for w in _TOKENS_OF.findall(value))
+                    for name in value.split():
+                        words = {w.lower().removesuffix("s") if len(w) > 3 else w.lower() for w in _TOKENS_OF.findall(name)}
+                        if tag not in _OF_TEXT or all(w in _KNOWN or w.startswith(_NEVER_STARTS) for w in words):
+                            names |= words
                 elif key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
                     hidden = True
         # The innermost element that says something decides, but some things stay what they are whatever is inside.
+        spoken = any(n.startswith(_SPOKEN) for n in names)
         if tag in CONTENT:
             never = hidden or any(n.startswith(_NEVER_ARTICLE) for n in names)
+            inherited = bool(up and up.lifted and up.lifted != "name")
         else:
             never = hidden or tag in NEVER or bool(names & _NEVER_NAMES) or any(n.startswith(_NEVER_STARTS) for n in names)
+            inherited = bool(up and up.lifted)
         self.never = never or bool(up and up.never)
+        if inherited:
+            self.lifted = up.lifted
+        else:
+            self.lifted = "" if not never else "name" if not (hidden or spoken or tag in NEVER or tag in CONTENT) else "part"
         if never:
             self.hint = -1
         elif tag in CONTENT or names & _CONTENT_NAMES:
@@ -79,12 +95,18 @@ class _Element:
         else:
             self.hint = up.hint if up else 0
 
+    def in_content(self) -> bool:
+        return self.lifted == "" and self.never and self.hint > 0
+
 
 def _stems(names: frozenset[str]) -> frozenset[str]:
     return names | {n.removesuffix("s") for n in names if len(n) > 3}
 
 
 _NEVER_NAMES, _RATHER_NOT, _CONTENT_NAMES = _stems(NEVER_NAMES), _stems(RATHER_NOT), _stems(CONTENT_NAMES)
+_KNOWN = _NEVER_NAMES | _RATHER_NOT | _CONTENT_NAMES
+# Names of what readers write, which no layout is called.
+_SPOKEN = ("comment", "repl", "discussion", "disqus", "respond")
 
 
 class _Block:
@@ -97,7 +119,9 @@ class _Block:
 def blocks_of(page: str) -> list[_Block]:
     """The page's blocks in order, one pass over its tags; broken markup ends elements as browsers do, roughly."""
     root = _Element("html", None, "")
-    now, links, silent = root, 0, ""
+    now, links, silent, in_head = root, 0, "", False
+    opened: dict[str, int] = {}  # elements open now, by tag: an end tag without one is passed over without a search
+    endless: set[str] = set()  # silent elements that no end tag follows any more
     out: list[_Block] = []
     pieces: list[str] = []
     linked = 0
@@ -120,11 +144,15 @@ def blocks_of(page: str) -> list[_Block]:
 
     at = 0
     while True:
-        if silent and silent != "head":  # raw text up to the end tag of this very element
-            m = re.compile(rf"</{re.escape(silent)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
-            if not m:
+        if silent and silent != "head":  # up to the end tag of this very element
+            m = None if silent in endless else re.compile(rf"</{re.escape(silent)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
+            if m:
+                at = m.end()
+            elif silent in RAW:
                 break
-            at, silent = m.end(), "head" if _in_head(now) else ""
+            else:
+                endless.add(silent)
+            silent = "head" if in_head else ""
             continue
         m = _TOKEN.search(page, at)
         if not m:
@@ -145,17 +173,17 @@ def blocks_of(page: str) -> list[_Block]:
         elif closing:
             end()
             links = 0
-            e = now
-            while e and e.tag != tag:
-                e = e.up
-            if e and e.up:
-                now = e.up
+            if opened.get(tag):
+                while now.tag != tag:
+                    opened[now.tag] -= 1
+                    now = now.up
+                opened[tag] -= 1
+                now = now.up
             if tag == "head":
-                silent = ""
+                silent, in_head = "", False
         elif tag in VOID:
             end()
         elif tag in SILENT and tag != "head":
-            end()
             if not attributes.endswith("/"):
                 silent = tag
         else:
@@ -163,32 +191,26 @@ def blocks_of(page: str) -> list[_Block]:
             links = 0
             ends = SELF_CLOSING.get(tag, ())
             while now.up and (now.tag == "p" or now.tag in ends):
+                opened[now.tag] -= 1
                 now = now.up
             if tag == "body":
-                silent = ""
-                now = root
+                silent, in_head = "", False
+                now, opened = root, {}
             now = _Element(tag, now, attributes)
+            opened[tag] = opened.get(tag, 0) + 1
             if tag == "head":
-                silent = "head"
+                silent, in_head = "head", True
     end()
     return out
 
 
-def _in_head(e: _Element | None) -> bool:
-    while e:
-        if e.tag == "head":
-            return True
-        e = e.up
-    return False
-
-
-def cost(b: _Block) -> float:
-    """Log-odds of content: above 0 speaks for content."""
+def cost(b: _Block, lifted: bool = False) -> float:
+    """Log-odds of content: above 0 speaks for content. With `lifted`, an article counts whatever the elements around it are called."""
     words = b.text.count(" ") + 1
     z = -0.8 + 0.35 * log2(1 + words) - 3.0 * b.linked / len(b.text)
     z += 0.4 if b.text[-1] in ".!?:;\"'»”…。" else 0.0
     z += 0.6 if b.inside.tag in ("p", "blockquote", "pre", "h1", "h2", "h3", "h4", "h5", "h6") else 0.0
-    if b.inside.never:
+    if b.inside.never and not (lifted and b.inside.in_content()):
         return z - 14.0
     return z + (5.0 if b.inside.hint > 0 else -5.0 if b.inside.hint < 0 else 0.0)
 
@@ -219,6 +241,9 @@ def main_text(page: str | None) -> str:
             edges.append((last[around], i, 0.5))
         last[around] = i
     keep = label([cost(b) for b in blocks], edges)
+    if not any(keep) and any(b.inside.in_content() for b in blocks):
+        # Nothing is left, but there is an article: the names around it are those of the page's layout.
+        keep = label([cost(b, lifted=True) for b in blocks], edges)
     return "\n".join(b.text for b, k in zip(blocks, keep, strict=True) if k)
 
 

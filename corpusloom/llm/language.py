@@ -22,9 +22,11 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm import words as W
 from corpusloom.llm.linear import platt, sigmoid, svm
+from corpusloom.operators.skew import small
 
 PER_LANGUAGE = 600
 BUCKETS = 4096
+BROADCAST_LANGUAGES = 100_000
 PIECE = 1 << 20
 # Families of language codes; a code that is not listed forms a family of its own.
 FAMILIES = {
@@ -38,7 +40,8 @@ FAMILIES = {
     "semitic": "ar he am mt",
     "austronesian": "id ms tl jv",
 }
-_LETTER = re.compile(r"[^\W\d_]")
+# Word characters but decimal digits: letters, and numbers like U+00B2 or U+2460, which are no letters.
+_WORD = re.compile(r"[^\W\d_]")
 _TABLE = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
 
 
@@ -46,13 +49,18 @@ def family_of(lang: str) -> str:
     return next((f for f, codes in FAMILIES.items() if lang in codes.split()), lang)
 
 
+def has_letter(text: str | None) -> bool:
+    """Whether a character is of a letter category; the first word character mostly tells."""
+    return bool(text) and any(m.group().isalpha() for m in _WORD.finditer(text))
+
+
 def features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """(one row of BUCKETS features per text, whether the text has a letter)."""
     out, letters = np.zeros((len(texts), BUCKETS), np.float32), np.zeros(len(texts), bool)
     for part in W.slices(texts):
         some = texts[part]
         raw = [(" " + t.lower() + " ").encode("utf-8", "surrogatepass").translate(_TABLE) if t else b"  " for t in some]
-        letters[part] = [bool(t and _LETTER.search(t)) for t in some]
+        letters[part] = [has_letter(t) for t in some]
         counts = np.zeros(len(some) * BUCKETS)
         whole, owner_end = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([len(r) for r in raw])
         for at in range(0, len(whole), PIECE):
@@ -138,7 +146,8 @@ def training_rows(docs: DataFrame, per_language: int) -> DataFrame:
     sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     # The hash alone leaves about twice the rows wanted of each language, whatever the size of the table.
     cut = F.pmod("draw", F.lit(1_000_000)) < F.lit(2_000_000 * per_language) / F.col("n")
-    few = rows.join(sizes, "lang").where(cut)
+    # The sizes go to the rows, so that only what the cut leaves is dealt by language.
+    few = rows.join(small(sizes, BROADCAST_LANGUAGES), "lang").where(cut)
     by_draw = Window.partitionBy("lang").orderBy("draw", "text")
     return few.withColumn("k", F.row_number().over(by_draw)).where(F.col("k") <= per_language).select("lang", "text")
 

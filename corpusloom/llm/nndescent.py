@@ -31,7 +31,7 @@ from corpusloom.llm.store import components, partitions_for, written
 
 K, ORDERS, BITS, WINDOW = 12, 6, 32, 4
 SETTLED, ROUNDS = 0.05, 8
-BLOCK = 256
+BLOCK = 2048
 AUDIT, ENOUGH, DRAWS, RECALL = 256, 64, 64, 0.999
 SLACK = 0.03  # more than the rounding can change a cosine
 ROWS = 100_000
@@ -44,11 +44,13 @@ def _clean(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         unit, small, key = [], [], []
         for e in b["embedding"]:
             v = None if e is None else np.asarray(e, np.float64)
-            n = np.linalg.norm(v) if v is not None and len(v) and np.isfinite(v).all() else 0.0
-            if not n or not np.isfinite(n):
+            top = np.abs(v).max() if v is not None and len(v) and np.isfinite(v).all() else 0.0
+            if not top:
                 unit.append(None), small.append(None), key.append(None)
                 continue
-            u = v / n
+            # Divided by the largest component first: the squares of very long or short vectors are no finite numbers.
+            u = v / top
+            u = u / np.linalg.norm(u)
             unit.append(u.tobytes())
             small.append(np.round(u * (127 / np.abs(u).max())).astype(np.int8).tobytes())
             key.append((v + 0.0).tobytes())
@@ -164,8 +166,10 @@ def _round(graph: DataFrame, entries: DataFrame, k: int, now: int) -> DataFrame:
 def _confirm(threshold: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            keep = [len(x) == len(y) and float(np.frombuffer(x) @ np.frombuffer(y)) >= threshold for x, y in zip(b["x"], b["y"], strict=True)]
-            yield b.loc[keep, ["a", "b"]]
+            for (lx, ly), g in b.groupby([b["x"].map(len), b["y"].map(len)]):
+                if lx == ly:
+                    x, y = (np.frombuffer(b"".join(g[c])).reshape(len(g), -1) for c in ("x", "y"))
+                    yield g.loc[np.einsum("ij,ij->i", x, y) >= threshold, ["a", "b"]]
 
     return run
 

@@ -195,7 +195,9 @@ def train(docs: DataFrame, labels: DataFrame) -> dict[str, dict | None]:
     """Fit both heads on the driver: the features of at most 9 * LABELLED + POOL documents come there."""
     few, pool = _sample(labels, docs)
     wanted = few.unionByName(pool, allowMissingColumns=True)  # bounded by the sample, so it may be broadcast
-    got = docs.join(F.broadcast(wanted), "doc_id").select("doc_id", *HEADS, "text", "source", "lang")
+    got = docs.join(F.broadcast(wanted), "doc_id").groupBy("doc_id", *HEADS).agg(F.min(F.struct("text", "source", "lang")).alias("r"))
+    # One row for each id, however often it is repeated.
+    got = got.select("doc_id", *HEADS, "r.text", "r.source", "r.lang")
     got = got.mapInPandas(_featured, "doc_id long, quality int, toxic int, t binary, p binary").toPandas()
     got = got.sort_values(["doc_id", "t", "p"], ignore_index=True).drop_duplicates("doc_id")
     pairs = [(np.frombuffer(t, np.int32), np.frombuffer(p, np.int16)) for t, p in zip(got["t"], got["p"], strict=True)]

@@ -165,7 +165,7 @@ def test_native_queries_have_no_python(spark, name):
 
 def test_every_operator_is_registered_once():
     names = [n for n in entry.queries() if n.startswith("op") and n[2].isdigit()]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11)) and "pipeline" in entry.queries()
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14)) and "pipeline" in entry.queries()
 
 
 def test_pipeline_stages(spark):
@@ -200,3 +200,56 @@ def test_pipeline_of_an_empty_table(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = corpus_pipeline.written(stage(spark, docs, SF), "empty")
         assert docs.count() == 0
+
+
+_PARAGRAPHS = [f"This is paragraph number {i} of the article, and it says something of some length about the matter." for i in range(5)]
+_BODY = "".join(f"<p>{p}</p>" for p in _PARAGRAPHS)
+_TEXT = "\n".join(_PARAGRAPHS)
+_TEASER = "<p>Some teaser text that is fairly long to look like prose, really, as teasers on pages do.</p>"
+
+
+@pytest.mark.parametrize("body, want", [
+    (f"<div class='content-sidebar-wrap'><main><article>{_BODY}</article></main></div>", _TEXT),
+    (f"<div class='layout has-sidebar'><article>{_BODY}</article><div class=sidebar>{_TEASER}</div></div>", _TEXT),
+    (f"<div id=search-results-page><article>{_BODY}</article></div>", _TEXT),
+    (f"<article>{_BODY}<button>Share<p>After the button, this paragraph is still a part of the article.</p></article>", _TEXT + "\nShare\nAfter the button, this paragraph is still a part of the article."),
+    (f"<article>{_BODY}<p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> be a number of the kind that we need here.</p></article>", _TEXT + "\nLet x=2 be a number of the kind that we need here."),
+    (f"<article>{_BODY}<p class='notice-of-award'>The award was given to the best of all authors in the year.</p></article>", _TEXT + "\nThe award was given to the best of all authors in the year."),
+    (f"<article>{_BODY}<p>Before the script <script>var x = '<p>no</p>';</script> and after it, the sentence goes on.</p></article>", _TEXT + "\nBefore the script and after it, the sentence goes on."),
+    (f"<article>{_BODY}</article><div id=comments><article>{_TEASER}</article></div>", _TEXT),
+    (f"<div class=comments><article>{_TEASER}</article></div>", ""),
+    (f"<div class=sidebar>{_TEASER}</div>", ""),
+])
+def test_names_of_a_layout_condemn_no_article(body, want):
+    page = f"<html><head><title>t</title><script>1</script></head><body><nav><a href=/>Home</a> <a href=/x>About us</a></nav>{body}<footer>All rights reserved, some company 2020.</footer></body></html>"
+    assert maintext.main_text(page) == want
+
+
+def test_bad_markup_takes_linear_time():
+    t0 = time.time()
+    maintext.main_text("<div>" * 30_000 + "x</b></i></section>" * 30_000 + "</div>" * 30_000)
+    maintext.main_text("<button>x" * 30_000)
+    maintext.main_text("<head>" + "<div><script>1</script>" * 20_000)
+    assert time.time() - t0 < 6
+
+
+def test_vectors_of_any_finite_length(spark):
+    rows = [(1, [1e200, 1e200]), (2, [2e200, 2e200]), (3, [1e-200, 1e-200]), (4, [5e-324, 5e-324]), (5, [-1e308, 1e308]), (6, [1.0, 1.0]), (7, [0.0, 0.0])]
+    got = nndescent.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    assert {x.vec_id: (x.n_links, x.component_id) for x in got.collect()} == {**{i: (4, 1) for i in (1, 2, 3, 4, 6)}, 5: (0, 5), 7: (0, 7)}
+
+
+def test_pipeline_judges_rows_not_ids(spark, tmp_path):
+    """An id with two texts, one of them a copy, one with a benchmark item: the other text stays, whatever happens to the first."""
+    item = common.prose(70, 30)
+    a, b, c, d = (common.prose(i, 90) for i in range(71, 75))
+    rows = [(1, a), (5, a), (5, b), (6, c), (6, c), (7, c + " x"), (8, f"{d} {item} {d}"), (8, d), (None, a), (None, common.prose(80, 90))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    kept = corpus_pipeline.near_dedup(spark, docs, str(tmp_path))
+    clean = corpus_pipeline.decontaminate(spark, docs, str(tmp_path))
+    assert sorted((r.doc_id or 0, r.text) for r in kept.collect()) == sorted([(1, a), (5, b), (6, c), (8, f"{d} {item} {d}"), (8, d), (0, common.prose(80, 90))])
+    assert sorted((r.doc_id or 0, r.text) for r in clean.collect()) == sorted((i or 0, t) for i, t in rows if item not in t)
+    assert set(kept.columns) == set(clean.columns) == set(corpus_pipeline.COLUMNS)
+    assert corpus_pipeline.near_dedup(spark, docs.limit(0), str(tmp_path)).count() == 0
+    assert corpus_pipeline.decontaminate(spark, docs.limit(0), str(tmp_path)).count() == 0

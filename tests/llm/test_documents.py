@@ -381,6 +381,14 @@ def test_an_id_with_two_texts_counts_by_its_greatest(spark):
     assert got == {(3, 2, 0, 80)}
 
 
+def test_a_word_said_over_and_over_makes_one_row(spark):
+    """Runs of one word have one row for each pair of documents; a passage said twice has a row for each time."""
+    passage = common.prose(6, 70)
+    rows = [(1, f"{common.prose(85, 60)} {'la ' * 60}"), (2, f"{common.prose(86, 60)} {'la ' * 300}"), (3, f"{passage} {common.prose(87, 60)}"), (4, f"{passage} {common.prose(88, 90)} {passage}")]
+    got = sorted((x.doc_id, x.of_doc_id, x.passage_start, x.passage_end) for x in passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert [x[:2] for x in got] == [(2, 1), (4, 3), (4, 3)] and got[1:] == [(4, 3, 0, 70), (4, 3, 160, 230)]
+
+
 def test_a_changed_passage_of_lines_that_others_hold(spark):
     """All holders of a rare seed are tried, not its first alone: documents before the pair hold parts of the passage."""
     passage = common.prose(5, 80).split()

@@ -1,6 +1,7 @@
 """License statements by conditional compression.
 
-A text is cut into sentences. Those with a cue word are candidate blocks. A block is compressed with zstandard on its own
+A text is cut into sentences, which end with their line; those with a cue word are candidate blocks. A sentence that goes on over
+line breaks, up to its full stop or an empty line, is a block instead of its lines if a license is confirmed for the whole. A block is compressed with zstandard on its own
 and once with each template as raw dictionary: the more of the block a template foretells, the smaller the
 result. Templates are ranked by the reduction; the best ones are then compared word by word, and a license is confirmed
 when what differs are few words and none that tells licenses apart (names, numbers, "not", "non", ...).
@@ -9,6 +10,7 @@ when what differs are few words and none that tells licenses apart (names, numbe
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 from functools import lru_cache
@@ -24,6 +26,7 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "Released under the MIT License.", "Licensed under the MIT License.", "This project is licensed under the terms of the MIT license.",
         "SPDX-License-Identifier: MIT",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction.",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
     ),
     "Apache-2.0": (
         "Licensed under the Apache License, Version 2.0.", "SPDX-License-Identifier: Apache-2.0", "Released under the Apache License 2.0.",
@@ -37,8 +40,14 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "This work is licensed under the GNU General Public License, version 3.", "SPDX-License-Identifier: GPL-3.0-or-later", "Released under the GNU GPL v3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     ),
-    "LGPL-3.0": ("This work is licensed under the GNU Lesser General Public License, version 3.", "SPDX-License-Identifier: LGPL-3.0-or-later"),
-    "AGPL-3.0": ("This work is licensed under the GNU Affero General Public License, version 3.", "SPDX-License-Identifier: AGPL-3.0-or-later"),
+    "LGPL-3.0": (
+        "This work is licensed under the GNU Lesser General Public License, version 3.", "SPDX-License-Identifier: LGPL-3.0-or-later",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version.",
+    ),
+    "AGPL-3.0": (
+        "This work is licensed under the GNU Affero General Public License, version 3.", "SPDX-License-Identifier: AGPL-3.0-or-later",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ),
     "BSD-3-Clause": (
         "Licensed under the BSD 3-Clause License.", "SPDX-License-Identifier: BSD-3-Clause",
         "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
@@ -64,6 +73,7 @@ PLAIN = frozenset("a an the this that these is are was be under of in to for by
 WINNERS = 5
 # A sentence ends at . ! ? and white space, but not after a single letter ("v. 2.0"), or with its line.
 _SENTENCE = re.compile(r"[^\n]*?(?:(?<![\s(][A-Za-z])[.!?]+(?=\s)|(?=\n)|\Z)\n?")
+_WRAPPED = re.compile(r"\S(?:(?!\n[^\w\n]*\n).)*?(?:(?<![\s(][A-Za-z])[.!?]+(?=\s|\Z)|(?=\n[^\w\n]*\n)|\Z)", re.S)
 _WORD = re.compile(r"[^\W_]+(?:\.[0-9]+)*")
 
 
@@ -123,8 +133,13 @@ def scan(block: str) -> tuple[str | None, float, str, str]:
     return (name if confirmed else None), -r, line, words
 
 
-def blocks(text: str) -> Iterator[tuple[int, int, str]]:
-    """(start, end, block) of the sentences with a cue word, places in code points."""
+@lru_cache(maxsize=1)
+def _longest() -> int:
+    """Words of the longest block that can be confirmed: at most as many words differ as agree."""
+    return 2 * max(len(_words(line)) for lines in TEMPLATES.values() for line in lines) + 2
+
+
+def _lines(text: str) -> Iterator[tuple[int, int, str]]:
     low = text.lower()
     if not any(c in low for c in CUES):
         return
@@ -138,6 +153,29 @@ def blocks(text: str) -> Iterator[tuple[int, int, str]]:
             yield m.start() + lead, m.start() + len(raw.rstrip()), raw.strip()
 
 
+def _apart(some: list[tuple[int, int, str]], others: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """Those of `some` that overlap none of `others`; both are in order and without overlaps of their own."""
+    starts = [o[0] for o in others]
+    return [x for x in some if not (k := bisect_left(starts, x[1])) or others[k - 1][1] <= x[0]]
+
+
+def blocks(text: str) -> Iterator[tuple[int, int, str]]:
+    """(start, end, block) of the sentences with a cue word, places in code points."""
+    lines = list(_lines(text))
+    if not lines:
+        return
+    whole = []
+    for m in _WRAPPED.finditer(text):
+        block = m.group().rstrip()
+        # A block of more words cannot be confirmed, so nothing is lost by leaving it to its lines.
+        if "\n" in block and any(c in block.lower() for c in CUES) and len(_words(block)) <= _longest() and scan(block)[0]:
+            whole.append((m.start(), m.start() + len(block), block))
+    alone = [x for x in lines if scan(x[2])[0]]
+    # Lines that are confirmed alone stay as they are.
+    whole = _apart(whole, alone)
+    yield from sorted(whole + _apart(lines, whole))
+
+
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, start, end, block, license, template, reduction, differences), one row per candidate block.
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import textwrap
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -460,6 +461,19 @@ def test_licenses(spark):
         assert got[i] - ({None} if name else set()) == {name}, (i, name, got[i])
 
 
+@pytest.mark.parametrize("leader", ["", "# ", " * ", "// "])
+def test_wrapped_notices(leader):
+    """The sentences of all templates wrapped as files have them, between other paragraphs; near misses are refused."""
+    for name, lines in licenses.TEMPLATES.items():
+        for line in lines:
+            body = "\n".join(leader + x for x in textwrap.wrap(line, 60))
+            text = f"{leader}A file of prose.\n{leader.rstrip()}\n{body}\n{leader.rstrip()}\n{leader}More of it"
+            got = [(licenses.scan(b)[0], text[lo:hi] == b) for lo, hi, b in licenses.blocks(text)]
+            assert (name, True) in got and all(same and n in (None, name) for n, same in got), (name, line, got)
+    wrong = licenses.TEMPLATES["AGPL-3.0"][-1].replace("version 3", "version 9")
+    assert {licenses.scan(b)[0] for _, _, b in licenses.blocks("\n".join(textwrap.wrap(wrong, 60)))} == {None}
+
+
 def test_licenses_of_odd_rows(spark):
     df, rows = common.odd_documents(spark)
     assert licenses.scan_licenses(df).count() == 0

@@ -9,6 +9,9 @@ from corpusloom.functions import text
 from corpusloom.operators import skew
 from corpusloom.session import stable
 
+# Places of a question that are paired together, where all pairs are given.
+BLOCK = 1024
+
 
 def with_preference_score(df: DataFrame, up: str = "up_vote_count", accepted: str = "is_accepted", out: str = "pm_score") -> DataFrame:
     return df.withColumn(out, text.preference_score(up, accepted))
@@ -41,11 +44,19 @@ def preference_pairs(
     """
     order = preference_order(df.select(question, answer, text_col, score), question, answer, score, limit)
     if max_pairs is None:
+        # An answer goes to the blocks that hold worse ones and is compared there: rows moved are answers times blocks, not pairs.
+        block = lambda place: F.floor((place - 1) / BLOCK)
         better = order.where("n_worse > 0").select(
-            question, F.col(answer).alias("answer_j"), F.col(text_col).alias("response_j"), F.explode(F.sequence(F.col("tie_end") + 1, F.col("n"))).alias("rn")
+            question, F.col(answer).alias("answer_j"), F.col(text_col).alias("response_j"), "tie_end",
+            F.explode(F.sequence(block(F.col("tie_end") + 1), block(F.col("n")))).alias("block"),
+        )
+        worse = order.where("rn > 1").select(
+            question, "rn", block(F.col("rn")).alias("block"), F.col(answer).alias("answer_k"), F.col(text_col).alias("response_k")
         )
-        worse = order.select(question, "rn", F.col(answer).alias("answer_k"), F.col(text_col).alias("response_k"))
-        return better.join(worse, [question, "rn"]).drop("rn")
+        # As many tasks as there are partitions: few rows here make many pairs, so their bytes are no measure of the work.
+        better = better.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), question, "block")
+        met = better.join(worse, [question, "block"]).where(F.col("rn") > F.col("tie_end"))
+        return met.select(question, "answer_j", "response_j", "answer_k", "response_k")
     if max_pairs <= 0:
         raise ValueError("max_pairs must be positive")
     _, hot = skew.split_hot(df.select(question), [question], limit)

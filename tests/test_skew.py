@@ -106,6 +106,17 @@ def test_round_robin_in_large_class(spark):
     )
 
 
+def test_all_pairs_meet_in_blocks(spark, monkeypatch):
+    """Every pair once, over blocks of places; no row is made for a pair before the join."""
+    monkeypatch.setattr(preference, "BLOCK", 4)
+    rows = [(i % 3 if i % 10 else None, i, str(i), None if i % 17 == 0 else float(i * 7 % 12)) for i in range(90)]
+    df = spark.createDataFrame(rows, "question_id int, answer_id int, answer string, pm_score double")
+    low = lambda s: float("-inf") if s is None else s
+    want = sorted((q, a, t, b, u) for q, a, t, x in rows for p, b, u, y in rows if q is not None and q == p and low(x) > low(y))
+    for limit in (5, 1000):
+        assert sorted(map(tuple, preference.preference_pairs(df, limit=limit).collect())) == want
+
+
 def test_preference_pairs_all_capped_and_hot(spark):
     df = spark.createDataFrame(
         [(q, a, f"t{a}", float((a * 7) % 5)) for q, n in ((1, 1), (2, 2), (3, 12), (4, 30)) for a in range(n)],

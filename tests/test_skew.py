@@ -54,6 +54,18 @@ def test_place_within(spark):
         _same(skew.place_within(df, ["k"], "score", [F.col("id")], limit), want)
 
 
+def test_many_hot_groups_are_spread_without_a_split(spark, monkeypatch):
+    """With more hot groups than a broadcast may hold no row is moved to split them off, and no hot group that lies in one partition is joined."""
+    df, limit = _rows(spark), 1
+    want = skew.place_within(df, ["k"], "score", [F.col("id")], 10_000)
+    rows = skew.ordered_rows(df, ["k"], [F.col("id")], ["id"], 10_000)
+    monkeypatch.setattr(skew, "BROADCAST_ROWS", 3)
+    monkeypatch.setattr(skew, "split_hot", None)
+    _same(skew.place_within(df, ["k"], "score", [F.col("id")], limit), want)
+    _same(skew.number_within(df, ["k"], [F.desc("score"), F.col("id")], limit=limit), want.drop("rank", "tie_end", "n"))
+    _same(skew.ordered_rows(df, ["k"], [F.col("id")], ["id"], limit), rows)
+
+
 def test_ordered_lists_pieces_hold_every_row(spark):
     df = _rows(spark)
     got = skew.ordered_lists(df, ["k"], [F.col("id")], ["id"], "l", list_limit=25)

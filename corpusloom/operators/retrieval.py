@@ -11,6 +11,8 @@ from corpusloom.session import stable
 
 K1 = 1.2
 B = 0.75
+# Scores that one task sums and sorts.
+SCORES = 1_000_000
 
 
 def terms(c: Column | str) -> Column:
@@ -56,7 +58,7 @@ def bm25(
     whole = tf.where("term = ''").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
     n, avgdl = whole.select("n").scalar(), whole.select("avgdl").scalar()
     hits = tf.where("term <> ''")
-    df_ = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    df_ = stable(hits.groupBy("term").agg(F.count(F.lit(1)).alias("df")))
     weights = q.join(df_, "term").select(
         "query_id", "term", "qtf", F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf")
     )
@@ -64,9 +66,12 @@ def bm25(
         F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1)
         / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / avgdl))
     )
+    # Every hit meets the queries of its term: the number of tasks follows the scores to be summed, so a task's table keeps its size.
+    met = weights.join(df_, "term").agg(F.sum("df")).collect()[0][0] or 0  # one row
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-met // SCORES))
     scored = (
         # By document, so that scores are summed where they are and only the best k of a task and query move on.
-        hits.repartition("doc_id").join(mark(weights), "term")
+        hits.repartition(tasks, "doc_id").join(mark(weights), "term")
         .groupBy("query_id", "doc_id").agg(F.round(F.sum(score), 6).alias("score"))
     )
     return sampling.top_k(scored, ["query_id"], [F.desc("score"), F.asc("doc_id")], k)

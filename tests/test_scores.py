@@ -80,6 +80,16 @@ def test_accuracy_overlap_means(spark):
     assert {r.model: (r.best, r.best_step) for r in evaluation.leaderboard(steps).collect()} == {"m": (0.7469, 350), "n": (0.5, 1)}
 
 
+def test_bm25_tasks_follow_the_scores(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "a b c") for i in range(60)], "doc_id long, text string")
+    q = spark.createDataFrame([(i, "a b") for i in range(10)], "query_id long, text string")
+    want = retrieval.bm25(docs, q, 3).collect()
+    monkeypatch.setattr(retrieval, "SCORES", 100)  # 60 documents, 2 terms, 10 queries: 1,200 scores
+    got = retrieval.bm25(docs, q, 3)
+    assert "doc_id" in (plan := got._jdf.queryExecution().analyzed().toString()) and re.search(r"RepartitionByExpression \[doc_id#\d+L\], 12\b", plan)
+    assert sorted(got.collect()) == sorted(want)
+
+
 def test_bm25(spark):
     docs = [(1, "The cat sat on the mat."), (2, "Dogs and cats"), (3, "the the the"), (4, ""), (5, "A cat, a CAT!")]
     df = spark.createDataFrame(docs, "doc_id int, text string")

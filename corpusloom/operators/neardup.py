@@ -16,13 +16,11 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
 
 from corpusloom.functions import text as tx
-from corpusloom.operators import skew
+from corpusloom.operators import batches, skew
 from corpusloom.session import stable
 
 # Most rows of a bucket that lead it in one round; the first rounds have fewer, while many rows are open.
@@ -78,12 +76,8 @@ def _word_hashes(col: str):
 
 def shingle_sets(df: DataFrame, id_col: str, text_col: str, ngrams: int = 10) -> DataFrame:
     """(id, s): sorted distinct shingle hashes per row."""
-
-    @pandas_udf("array<bigint>")
-    def run(words: pd.Series) -> pd.Series:
-        return words.map(lambda w: _shingles(np.asarray(w), ngrams))
-
-    return df.select(F.col(id_col).alias("id"), run(_word_hashes(text_col)).alias("s"))
+    rows = df.select(F.col(id_col).alias("id"), _word_hashes(text_col).alias("_w"))
+    return batches.with_result(rows, "_w", "s", "array<bigint>", lambda w: _shingles(w, ngrams), keep=False)
 
 
 def band_table(sets: DataFrame, bands: int, rows: int, num_perm: int, seed: int = 1) -> DataFrame:
@@ -91,12 +85,9 @@ def band_table(sets: DataFrame, bands: int, rows: int, num_perm: int, seed: int
     rng = np.random.RandomState(seed)
     a = rng.randint(0, 2**63, num_perm, dtype=np.int64).view(np.uint64) * _U(2) + _U(1)
     b = rng.randint(0, 2**63, num_perm, dtype=np.int64).view(np.uint64)
-
-    @pandas_udf("array<bigint>")
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda v: _bands(np.asarray(v, dtype=np.int64), a, b, bands, rows))
-
-    return sets.select("id", F.size("s").alias("n"), F.posexplode(run("s")).alias("band", "bucket"))
+    sized = sets.select("id", F.size("s").alias("n"), "s")
+    keyed = batches.with_result(sized, "s", "_k", "array<bigint>", lambda s: _bands(s, a, b, bands, rows), keep=False)
+    return keyed.select("id", "n", F.posexplode("_k").alias("band", "bucket"))
 
 
 def _prefix_keys(sets: DataFrame, threshold: float) -> DataFrame:

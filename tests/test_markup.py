@@ -2,10 +2,11 @@
 
 import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.operators import chunking, filters, markup
+from corpusloom.operators import batches, chunking, filters, markup
 
 HTML = """<html><head><title>t</title><script>var x = "<p>no</p>";</script></head><body>
 <div class="wiki-header-title"><h1> Title &amp; more </h1></div><h1>Other</h1>
@@ -168,3 +169,22 @@ def test_plain_text_shows_entities_and_labels(spark):
     }
     df = spark.createDataFrame([(k,) for k in cases], "wikitext string")
     assert {r.wikitext: r.content for r in markup.strip_wikitext(df).collect()} == cases
+
+
+def test_pieces_bound_what_a_worker_holds():
+    """A batch of any size is answered piece by piece; a row above the bound is a piece alone, and no row is lost."""
+    sizes = np.array([5, 5, 50, 0, 0, 9, 9, 9, 1])
+    got = list(batches._pieces(sizes, 20))
+    assert [i for at, n in got for i in range(at, at + n)] == list(range(len(sizes)))
+    assert all(n == 1 or (sizes[at : at + n] + 1).sum() <= 20 for at, n in got)
+    assert list(batches._pieces(np.array([], dtype=np.int64), 20)) == []
+
+
+def test_results_by_pieces_are_whole(spark):
+    df = spark.range(40).coalesce(1).selectExpr("id", "CASE WHEN id % 9 = 0 THEN NULL ELSE repeat('x', 200000) || id END AS t")
+    got = batches.with_result(df, "t", "n", "string", lambda t: str(len(t or "")), keep=False)
+    rows = sorted(got.collect())
+    assert [r.n for r in rows] == ["0" if i % 9 == 0 else str(200000 + len(str(i))) for i in range(40)]
+    arrays = spark.createDataFrame([(1, [1, 2]), (2, []), (3, None)], "id int, a array<bigint>")
+    total = batches.with_result(arrays, "a", "s", "array<bigint>", lambda a: [] if a is None else a[::-1])
+    assert sorted(map(tuple, total.collect())) == [(1, [1, 2], [2, 1]), (2, [], []), (3, None, [])]

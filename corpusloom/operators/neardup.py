@@ -18,6 +18,7 @@ import math
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from corpusloom.functions import text as tx
 from corpusloom.operators import batches, skew
@@ -25,6 +26,10 @@ from corpusloom.session import stable
 
 # Most rows of a bucket that lead it in one round; the first rounds have fewer, while many rows are open.
 LEADERS = 256
+# Numbers of rows that may be sent to every executor.
+SENT_IDS = 1_000_000
+# Shingles that one task sorts, in memory.
+KEY_ROWS = 4_000_000
 
 _U = np.uint64
 
@@ -96,19 +101,22 @@ def _prefix_keys(sets: DataFrame, threshold: float) -> DataFrame:
     Two sets with Jaccard >= t overlap in at least t|x| shingles, so they share one of the
     first |x| - ceil(t|x|) + 1 of any common order. Rarest first keeps boilerplate out.
     """
-    long = sets.select("id", F.size("s").alias("n"), F.explode("s").alias("key"))
-    freq = skew.small(stable(long.groupBy("key").agg(F.count(F.lit(1)).alias("f")).where("f > 1")))
-    # Shingles of one row only come first in the order and lead to nobody, so only their
-    # number matters: shared ones are the only rows that go on.
-    shared = long.join(freq, "key")
+    # Narrow rows: all shingles move once, without the sizes and as 48 of their 64 bits. Shingles that fall together stand for each
+    # other in the common order, which adds candidates and loses none; they are confirmed on the full sets.
+    long = sets.select("id", F.explode(F.transform("s", lambda x: F.shiftrightunsigned(x, 16))).alias("key"))
+    rows = sets.agg(F.sum(F.size("s"))).collect()[0][0] or 0  # one row
+    long = long.repartition(max(int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // KEY_ROWS)), "key")
+    # Counted where the rows of a key are. Shingles of one row only come first in the order and lead
+    # to nobody, so only their number matters: shared ones are the only rows that go on.
+    shared = long.withColumn("f", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("f > 1")
     w = Window.partitionBy("id")
+    placed = shared.withColumn("at", F.row_number().over(w.orderBy("f", "key"))).withColumn("m", F.count(F.lit(1)).over(w))
     # The slack keeps ceil() from rounding an exact product up and losing a position.
     need = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1
-    alone = F.col("n") - F.count(F.lit(1)).over(w)
     return (
-        shared.withColumn("at", alone + F.row_number().over(w.orderBy("f", "key")))
-        .where(F.col("at") <= need)
-        .select("id", "n", "key")
+        placed.join(sets.select("id", F.size("s").alias("n")), "id")
+        .where(F.col("n") - F.col("m") + F.col("at") <= need)
+        .select("id", "n", "key").distinct()
     )
 
 
@@ -132,14 +140,16 @@ def _greedy(sets: DataFrame, keys: DataFrame, threshold: float) -> list[DataFram
     gone_all: list[DataFrame] = []
     left = stable(_shared(keys))
     # A key of one row leads to no comparison, and most rows have no other kind.
-    sets = stable(sets.join(left.select("id").distinct(), "id", "left_semi"))
+    sets = stable(_of_ids(sets, left.select("id")))
     leaders = 1
     while not left.isEmpty():
         # The filter on row_number reaches the window as a group limit: a task passes on `leaders` rows of a key.
         place = F.row_number().over(Window.partitionBy("key").orderBy("id"))
         block = stable(left.withColumn("_rn", place).where(F.col("_rn") <= leaders).select("key", F.col("id").alias("lead")))
         pairs = left.join(block, "key").where("lead < id").select("id", "lead").distinct()
-        both = pairs.join(sets, "id").join(sets.select(F.col("id").alias("lead"), F.col("s").alias("t")), "lead")
+        # Only sets that are still compared move.
+        leads = _of_ids(sets, block.select(F.col("lead").alias("id"))).select(F.col("id").alias("lead"), F.col("s").alias("t"))
+        both = pairs.join(_of_ids(sets, left.select("id")), "id").join(leads, "lead")
         shared = F.size(F.array_intersect("s", "t"))
         scored = both.select("id", "lead", (shared / (F.size("s") + F.size("t") - shared)).alias("sim"))
         links = stable(scored.where(F.col("sim") >= threshold))
@@ -160,6 +170,11 @@ def _greedy(sets: DataFrame, keys: DataFrame, threshold: float) -> list[DataFram
     return gone_all
 
 
+def _of_ids(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows (texts, sets) of `ids`; sent to the rows, not the rows to them, while they are at most SENT_IDS."""
+    return rows.join(skew.small(stable(ids.distinct()), SENT_IDS), "id", "left_semi")
+
+
 def _shared(keys: DataFrame) -> DataFrame:
     """Rows of keys that more than one row has."""
     many = keys.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
@@ -173,13 +188,23 @@ def _dropped(
     keyed = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     hashed = stable(keyed.select("id", F.md5("text").alias("h")))
     firsts = stable(hashed.groupBy("h").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("c")))
-    heads = keyed.join(firsts.select("id"), "id", "left_semi")
+    # A text id would travel with every shingle: it is replaced by its place among the ids, which keeps their order.
+    named = skew.dense_ids(firsts.select("id").distinct(), ["id"], "no") if isinstance(df.schema[id_col].dataType, StringType) else None
+    if named is None:
+        heads = _of_ids(keyed, firsts.select("id"))
+    else:
+        named = stable(named.where("id IS NOT NULL"))
+        heads = keyed.join(named, "id").select(F.col("no").alias("id"), "text")
     sets = stable(shingle_sets(heads, "id", "text", ngrams))
     if num_perm is None:
         keys = _prefix_keys(sets, threshold)
     else:
         keys = band_table(sets, *band_shape(num_perm, threshold), num_perm).select("id", "n", F.xxhash64("band", "bucket").alias("key"))
     parts = _greedy(sets, _by_size(keys, threshold), threshold)
+    if named is not None:
+        kept = named.select(F.col("id").alias("kept"), F.col("no").alias("kept_id"))
+        own = named.select(F.col("id").alias("own"), F.col("no").alias("id"))
+        parts = [p.join(own, "id").join(kept, "kept_id").select(F.col("own").alias("id"), F.col("kept").alias("kept_id"), "similarity") for p in parts]
     copies = (
         hashed.join(firsts.where("c > 1").select("h", F.col("id").alias("kept_id")), "h")
         .where("id <> kept_id")

@@ -194,3 +194,29 @@ def test_band_shape():
     assert neardup.band_shape(256, 0.7) == (28, 9)
     b, r = neardup.band_shape(32, 0.7)
     assert b * r <= 32 and abs((1 / b) ** (1 / r) - 0.7) < 0.05
+
+
+def test_exact_keys_move_the_shingles_once(spark, monkeypatch):
+    """Shared shingles are counted where they are sorted, in tasks that follow their number: no table of frequencies is made beside them."""
+    rows = [(i, [(j << 20) + (j << 40) for j in range(i % 3, i % 3 + 10)]) for i in range(6)] + [(9, [5 << 50])]
+    sets = spark.createDataFrame(rows, "id long, s array<bigint>")
+    monkeypatch.setattr(neardup, "stable", None)
+    monkeypatch.setattr(neardup, "KEY_ROWS", 4)
+    keys = neardup._prefix_keys(sets, 0.7)
+    assert "RepartitionByExpression [key" in (plan := keys._jdf.queryExecution().analyzed().toString()) and ", 16" in plan  # 61 shingles
+    held = {}
+    for r in keys.collect():
+        held.setdefault(r.id, set()).add(r.key)
+    assert 9 not in held and all(held[i] & held[j] for i in range(6) for j in range(6))
+
+
+def test_text_ids_do_not_travel_with_shingles(spark, monkeypatch):
+    """Text ids are numbered in their order before the shingles are made, and come back in the result."""
+    words = [f"w{i}" for i in range(40)]
+    rows = [("b-2", " ".join(words)), ("b-10", " ".join(words[:38])), ("a", " ".join(words[1:])), ("c", "else"), ("d", "else"), (None, "x y")]
+    seen, greedy = [], neardup._greedy
+    monkeypatch.setattr(neardup, "_greedy", lambda sets, keys, t: seen.append(sets.schema["id"].dataType.simpleString()) or greedy(sets, keys, t))
+    df = spark.createDataFrame(rows, "id string, t string")
+    got = {(r.id, r.kept_id, round(r.similarity, 3)) for r in neardup.near_duplicate_pairs(df, "id", "t", 3, 0.7, None).collect()}
+    assert seen == ["bigint"]
+    assert got == {("b-10", "a", round(35 / 38, 3)), ("b-2", "a", round(37 / 38, 3)), ("d", "c", 1.0)}

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.functions import fixed, text
-from corpusloom.operators import aggregates, filters, joins, prompts, sampling, sets, windows
+from corpusloom.operators import aggregates, chunking, filters, joins, prompts, sampling, sets, windows
 from corpusloom.plans import answers, episodes, packaging
 
 
@@ -265,3 +265,16 @@ def test_fold_and_batches(spark):
     assert got[("a", 4)] == "v0v1v2v3v4" and got[("b", 1)] == "x"
     b = windows.with_batch_id(df, 4, ["s", "k"]).groupBy("batch").count().orderBy("batch").collect()
     assert [r["count"] for r in b] == [4, 2]
+
+
+def test_sweep_judges_no_overlap_after_the_first_that_fits(spark, monkeypatch):
+    """Overlaps are judged one by one: none after the one taken, and never the last, which is taken unjudged."""
+    tried, cut = [], chunking._cut_by_plans
+    monkeypatch.setattr(chunking, "_cut_by_plans", lambda df, plans, *a: tried.append([p[:2] for p in plans]) or cut(df, plans, *a))
+    s = spark.createDataFrame([("p", "t", 1, "h", " ".join(["w"] * 200))], "page_id string, title string, pos int, heading string, content string")
+    got = chunking.chunk_sweep(s, (12, 90), 6, first_overlap=10, grow=10, dedup=False)
+    taken = {(r.context_length, r.overlap) for r in got.select("context_length", "overlap").distinct().collect()}
+    judged = [p[0] for p in tried[:-1]]
+    assert all(len(p) == 1 for p in tried[:-1]) and (12, 20) not in judged and (12, 10) in judged  # two words a window: no rows, none over
+    last = max(o for n, o in judged if n == 90)
+    assert taken == {(90, last)} and last < 90 and tried[-1] == [(12, 10), (90, last)]

@@ -399,6 +399,16 @@ def test_a_changed_passage_of_lines_that_others_hold(spark):
     assert got == {(11, 10)}
 
 
+@pytest.mark.parametrize("holders", [5, passages.LEADS + 6])
+def test_a_changed_passage_of_common_lines(spark, holders):
+    """All 4-word runs of a changed passage stand in more documents than FEW, first in others than its source."""
+    passage = common.prose(15, 80).split()
+    rows = [(4 * i + k, f"{common.prose(600 + 4 * i + k, 60)} {' '.join(passage[k * 20 : k * 20 + 23])} {common.prose(1600 + 4 * i + k, 60)}") for i in range(holders) for k in range(4)]
+    rows += [(1000, f"{common.prose(80, 60)} {' '.join(passage)} {common.prose(81, 60)}"), (1001, f"{common.prose(82, 60)} {' '.join(_changed(passage, 8, 'replaced', 1))} {common.prose(83, 60)}")]
+    got = {(x.doc_id, x.of_doc_id) for x in passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(1001, 1000)}
+
+
 def test_repeated_passages_are_found(spark):
     """Exact and fuzzy passages of over 50 words in long texts; own texts stay out."""
     r, passage, docs, holds = random.Random(7), common.prose(400, 70).split(), {}, {}

@@ -42,6 +42,8 @@ BLOCK, BLOCKS = 20_000, 8
 VALUES = ORDERS * STEP
 # Rows of the sorted orders that one task holds, about 20 MB.
 ROWS = 100_000
+# Pairs whose sketches are compared at once.
+PAIRS = 16_384
 # Ids a broadcast may hold (16 bytes each); beyond that a shuffled join is used.
 BROADCAST_IDS = 1_000_000
 _MULTIPLY, _ADD = W.stream(5, VALUES) | np.uint64(1), W.stream(6, VALUES)
@@ -74,21 +76,24 @@ def _sets(texts, width: int) -> Iterator[np.ndarray]:
 
 def _describe(width: int, full: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["digest", "members"] if full else ["n", "digest", "vals", "sketch"]
         for b in batches:
-            texts, out = b["text"].tolist(), []
-            for s in _sets(texts, width):
-                if full:
-                    out.append((_digest(s), s.tobytes()))
-                elif len(s):
-                    v = _values(s)
-                    out.append((len(s), _digest(s), v.tobytes(), _sketch(v)))
-                else:
-                    out.append((0, None, None, None))
-            names = ["digest", "members"] if full else ["n", "digest", "vals", "sketch"]
-            got = pd.DataFrame(out, columns=names)
-            if not full:
-                got.insert(0, "doc_id", b["doc_id"].to_numpy())
-            yield got
+            texts = b["text"].tolist()
+            # By pieces of the batch: what is sent on does not wait for all of its rows.
+            for part in W.slices(texts):
+                out: list[tuple] = []
+                for s in _sets(texts[part], width):
+                    if full:
+                        out.append((_digest(s), s.tobytes()))
+                    elif len(s):
+                        v = _values(s)
+                        out.append((len(s), _digest(s), v.tobytes(), _sketch(v)))
+                    else:
+                        out.append((0, None, None, None))
+                got = pd.DataFrame(out, columns=names)
+                if not full:
+                    got.insert(0, "doc_id", b["doc_id"].to_numpy()[part])
+                yield got
 
     return run
 
@@ -104,11 +109,14 @@ def _pairs_in(keys: np.ndarray, sizes: np.ndarray, sk: np.ndarray, group: np.nda
     n = len(keys)
     if n < 2:
         return np.zeros((0, 2), np.int64)
-    same = np.cumprod(keys[1:] == keys[:-1], axis=1).sum(1) - 1  # the first column is the order's number
+    same = np.cumprod(keys[1:] == keys[:-1], axis=1, dtype=np.int8).sum(1) - 1  # the first column is the order's number
     p = percent / 100 + (1 - percent / 100) / 16  # chance of equal sketch values at the threshold
     need = VALUES * p - 5 * np.sqrt(VALUES * p * (1 - p))
 
     def close(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.concatenate([near(a[i : i + PAIRS], b[i : i + PAIRS]) for i in range(0, max(len(a), 1), PAIRS)])
+
+    def near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         lo, hi = np.minimum(sizes[a], sizes[b]), np.maximum(sizes[a], sizes[b])
         ok = 100 * lo >= percent * hi  # sets whose sizes differ more cannot reach the threshold
         a, b = a[ok], b[ok]
@@ -146,8 +154,9 @@ def _pairs_in(keys: np.ndarray, sizes: np.ndarray, sk: np.ndarray, group: np.nda
 
 def _by_cell(d: np.ndarray, p: np.ndarray, blocks: int) -> pd.DataFrame:
     """Pairs (row, row) as one row for each cell, a pair of blocks: the pairs' digests end to end, and all of them once."""
-    block = np.array([int.from_bytes(x[:8], "little") % blocks for x in d], np.int64)
-    pairs = {(d[i], d[j]) if d[i] < d[j] else (d[j], d[i]): (block[i], block[j]) for i, j in p.tolist()}
+    name = {i: d[i].tobytes() for i in np.unique(p).tolist()}
+    block = {i: int.from_bytes(x[:8], "little") % blocks for i, x in name.items()}
+    pairs = {(name[i], name[j]) if name[i] < name[j] else (name[j], name[i]): (block[i], block[j]) for i, j in p.tolist()}
     cells: dict[int, list[tuple[bytes, bytes]]] = {}
     for pair, (i, j) in pairs.items():
         cells.setdefault(int(min(i, j) * blocks + max(i, j)), []).append(pair)
@@ -161,12 +170,16 @@ _CELL = "cell long, pairs binary, members array<binary>"
 def _candidates(percent: int, grouped: bool, edge: bool, blocks: int):
     """Pairs of a sorted partition; its first and last rows go out too, to be compared across the cut."""
 
-    def frame(b: pd.DataFrame, part) -> pd.DataFrame:
+    def arrays(b: pd.DataFrame) -> tuple[np.ndarray, ...]:
+        """Keys, digests, sizes, sketches and groups: numbers, a fraction of the Python objects of a batch."""
         keys = np.frombuffer(b"".join(b["key"]), np.uint8).reshape(len(b), DEPTH + 1)
+        digest = np.frombuffer(b"".join(b["digest"]), np.uint8).reshape(len(b), 16)
         sk = np.frombuffer(b"".join(b["sketch"]), np.uint64).reshape(len(b), VALUES // 16)
-        group = b["grp"].to_numpy() if grouped else None
-        p = _pairs_in(keys, b["n"].to_numpy(), sk, group, percent)
-        got = _by_cell(b["digest"].to_numpy(object), p, blocks)
+        return keys, digest, b["n"].to_numpy(), sk, b["grp"].to_numpy() if grouped else np.zeros(len(b), np.int64)
+
+    def frame(rows: tuple[np.ndarray, ...], part) -> pd.DataFrame:
+        keys, digest, sizes, sk, group = rows
+        got = _by_cell(digest, _pairs_in(keys, sizes, sk, group if grouped else None, percent), blocks)
         if edge:
             return got
         # Only rows with the prefix of the partition's first or last row can have partners beyond the cut.
@@ -174,17 +187,22 @@ def _candidates(percent: int, grouped: bool, edge: bool, blocks: int):
         head, tail = ((keys[:, : LEAST + 1] == keys[at, : LEAST + 1]).all(1) for at in (0, -1))
         head[reach:] = False
         tail[:-reach] = False
-        ends = [b[rows].assign(cut=cut) for cut, rows in ((part, head), (part + 1, tail))]
+        ends = []
+        for at, cut in ((np.flatnonzero(head), part), (np.flatnonzero(tail), part + 1)):
+            raw = {"key": [x.tobytes() for x in keys[at]], "digest": [x.tobytes() for x in digest[at]], "n": sizes[at], "sketch": [x.tobytes() for x in sk[at]]}
+            ends.append(pd.DataFrame(raw | {"grp": group[at] if grouped else None, "cut": cut}))
         out = pd.concat([got, *ends], ignore_index=True).reindex(columns=["cell", "pairs", "members", "key", "digest", "n", "sketch", "grp", "cut"])
         return out.assign(members=out["members"].astype(object).where(out["members"].notna(), None))
 
     def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parts = [b for b in batches if len(b)]
+        parts = [arrays(b) for b in batches if len(b)]
         if parts:
-            yield frame(pd.concat(parts, ignore_index=True), TaskContext.get().partitionId())
+            rows = tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+            parts.clear()
+            yield frame(rows, TaskContext.get().partitionId())
 
     def across(b: pd.DataFrame) -> pd.DataFrame:
-        return frame(b.sort_values(["key", "digest"], ignore_index=True), None)
+        return frame(arrays(b.sort_values(["key", "digest"], ignore_index=True)), None)
 
     return across if edge else whole
 

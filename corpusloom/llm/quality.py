@@ -110,10 +110,12 @@ def _sample(labels: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _featured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        t, p = views(b["text"].tolist(), b["source"].tolist(), b["lang"].tolist())
-        b = b.drop(columns=["text", "source", "lang"])
-        yield b.assign(t=[x.astype(np.int32).tobytes() for x in t], p=[x.astype(np.int16).tobytes() for x in p])
+    for whole in batches:
+        for part in W.slices(whole["text"].tolist()):
+            b = whole.iloc[part]
+            t, p = views(b["text"].tolist(), b["source"].tolist(), b["lang"].tolist())
+            b = b.drop(columns=["text", "source", "lang"])
+            yield b.assign(t=[x.astype(np.int32).tobytes() for x in t], p=[x.astype(np.int16).tobytes() for x in p])
 
 
 def _telling(rows: list[np.ndarray], y: np.ndarray, size: int) -> np.ndarray:
@@ -217,9 +219,12 @@ def _model(docs: DataFrame, labels: DataFrame) -> dict[str, dict | None]:
 
 
 def _judge(heads: dict, b: pd.DataFrame, least_quality: float, most_toxic: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    t, p = views(b["text"].tolist(), b["source"].tolist(), b["lang"].tolist())
-    t, p = Sparse(t), Sparse(p)
-    good, bad = probability(heads["quality"], t, p, 1.0), probability(heads["toxic"], t, p, 0.0)
+    """By pieces of the batch: the features of a piece go before those of the next are made."""
+    texts, sources, langs = b["text"].tolist(), b["source"].tolist(), b["lang"].tolist()
+    good, bad = np.empty(len(b)), np.empty(len(b))
+    for part in W.slices(texts):
+        t, p = (Sparse(v) for v in views(texts[part], sources[part], langs[part]))
+        good[part], bad[part] = probability(heads["quality"], t, p, 1.0), probability(heads["toxic"], t, p, 0.0)
     return good, bad, (good >= least_quality) & (bad < most_toxic)
 
 

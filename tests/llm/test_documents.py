@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import random
 import textwrap
+import tracemalloc
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -281,6 +284,37 @@ def test_quality_of_odd_rows(spark):
     assert quality.score(common.empty_documents(spark), labels).count() == 0
 
 
+def _peak(fn):
+    tracemalloc.start()
+    fn()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return peak / 1e6
+
+
+def _vectors(n):
+    """Entries of the sorted orders as they come to a task: n rows in Arrow batches of 5,000, each made when it is asked for."""
+    r, names = np.random.default_rng(n), ("key", "digest", "sketch")
+    keys = np.sort(r.integers(0, 256, (n, 1), np.uint8), axis=0)
+    cells = [np.hstack([keys * 0, keys, r.integers(0, 256, (n, neardup_forest.DEPTH - 1), np.uint8)]), *(r.integers(0, 256, (n, m), np.uint8) for m in (16, neardup_forest.VALUES // 2))]
+    return (pd.DataFrame({k: [x.tobytes() for x in c[at : at + 5000]] for k, c in zip(names, cells, strict=True)} | {"n": 100, "grp": np.arange(at, min(at + 5000, n))}) for at in range(0, n, 5000))
+
+
+def test_python_workers_hold_pieces_of_a_batch(monkeypatch):
+    """What quality and near-duplicates hold beside a batch does not grow with its rows; sorted rows are held as numbers."""
+    b = pd.DataFrame({"doc_id": range(4000), "text": [common.prose(k % 50, 400) for k in range(4000)], "source": "s", "lang": "en"})
+    head = {"w": [np.zeros(quality.TEXT + 1), np.zeros(quality.PAGE + 1)], "curves": [(1.0, 0.0)] * 2, "mix": np.ones(3)}
+    heads = {"quality": head, "toxic": head}
+    quality._judge(heads, b, 0.5, 0.5)  # fills what words keep
+    assert _peak(lambda: quality._judge(heads, b, 0.5, 0.5)) < 1.5 * _peak(lambda: quality._judge(heads, b[:1000], 0.5, 0.5))
+    for full in (False, True):
+        got = list(neardup_forest._describe(5, full)(iter([b])))
+        assert max(map(len, got)) < 1000 and sum(map(len, got)) == 4000
+    monkeypatch.setattr(neardup_forest, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    run, rows = neardup_forest._candidates(80, True, False, 8), _vectors(60_000)
+    assert _peak(lambda: list(run(rows))) < 20
+
+
 def _brute_chain(pos, lpos, size, earn):
     best = [0.0] * len(pos)
     for j in sorted(range(len(pos)), key=lambda k: pos[k]):

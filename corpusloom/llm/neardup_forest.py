@@ -221,7 +221,7 @@ def _sorted_pairs(entries: DataFrame, count: int, percent: int, grouped: bool, o
     got = written(spread.mapInPandas(_candidates(percent, grouped, False, blocks), shape), "forest")
     # At most 2 * REGION rows for each cut between tasks.
     ends = got.where("cut is not null").drop("cell", "pairs", "members")
-    seams = ends.groupBy("cut").applyInPandas(_candidates(percent, grouped, True, blocks), _CELL)
+    seams = written(ends.groupBy("cut").applyInPandas(_candidates(percent, grouped, True, blocks), _CELL), "seams")
     return got.where("cut is null").select("cell", "pairs", "members").unionByName(seams)
 
 
@@ -246,7 +246,6 @@ def _confirmed(cells: DataFrame, docs: DataFrame, owners: DataFrame, width: int,
     Entries are hashed to blocks; a cell is a pair of blocks and confirms the pairs between them. A set is sent once
     to every cell that has a pair with it, not once for every pair.
     """
-    cells = written(cells, "cells")
     wants = cells.select("cell", F.explode("members").alias("digest")).distinct()
     need = written(owners.join(wants.select("digest").distinct(), "digest"), "need")
     texts = docs.join(small(need.select(F.col("id").alias("doc_id")).distinct(), BROADCAST_IDS), "doc_id", "left_semi")

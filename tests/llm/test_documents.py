@@ -315,6 +315,14 @@ def test_python_workers_hold_pieces_of_a_batch(monkeypatch):
     assert _peak(lambda: list(run(rows))) < 20
 
 
+def test_pieces_of_text_are_small():
+    """Beside a batch of any size, quality and near-duplicates hold a few tens of MB: as many workers as cores share an executor with the JVM."""
+    b = pd.DataFrame({"doc_id": range(2000), "text": [common.prose(k % 50, 400) for k in range(2000)], "source": "s", "lang": "en"})
+    head = {"w": [np.zeros(quality.TEXT + 1), np.zeros(quality.PAGE + 1)], "curves": [(1.0, 0.0)] * 2, "mix": np.ones(3)}
+    assert _peak(lambda: quality._judge({"quality": head, "toxic": head}, b, 0.5, 0.5)) < 30
+    assert _peak(lambda: [len(x) for x in neardup_forest._describe(5, False)(iter([b]))]) < 30
+
+
 def _brute_chain(pos, lpos, size, earn):
     best = [0.0] * len(pos)
     for j in sorted(range(len(pos)), key=lambda k: pos[k]):

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from corpusloom.llm import contamination, language, licenses, mixing, neardup_forest, passages, pseudonyms, quality
 from corpusloom.llm import words as W
 from corpusloom.llm.linear import platt, sigmoid, svm
-from corpusloom.llm.store import components
+from corpusloom.llm.store import components, written
 from tests.llm import common
 
 
@@ -451,6 +451,43 @@ def test_a_changed_passage_of_common_lines(spark, holders):
     assert got == {(1001, 1000)}
 
 
+def test_only_couples_that_ask_are_looked_up(spark):
+    """The first holder of repeated text asks nobody, and copies that a passage covers are not open, so their places are not numbered (a seed
+    at a task's edge may ask for nothing); later holders of a common line ask for its couples, and all places of these are numbered."""
+    text = common.prose(700, 400)
+    rows = [(i, f"{common.prose(710 + i, 60)} {text} {common.prose(730 + i, 60)}") for i in range(8)]
+
+    def asked(rows):
+        d = spark.createDataFrame(rows, "doc_id long, text string")
+        pairs, held = passages.matches(written(d.mapInPandas(passages._seeds(50), "seed long, doc long, pos int"), "seeds"))
+        return passages.couples(held, passages._spans(written(passages._passages(pairs, d, 0.8), "good")))
+
+    asks, places = asked(rows)
+    assert asks.count() < 200 and places.where("nth > 1").count() == 0 and places.count() < 200
+    line = common.prose(755, 22)
+    asks, places = asked(rows + [(100 + i, f"{common.prose(760 + i, 60)} {line} {common.prose(780 + i, 60)}") for i in range(8)])
+    assert {x.doc for x in asks.select("doc").distinct().collect()} >= set(range(101, 108))
+    assert {x.doc for x in places.where("nth > 1").select("doc").distinct().collect()} == set(range(101, 108))
+    assert places.groupBy("couple").agg({"nth": "max", "*": "count"}).where("`max(nth)` <> `count(1)`").count() == 0
+
+
+def test_alignment_of_one_diagonal(spark):
+    """Seeds on one diagonal, with changed words between them, align as they do where every stretch is compared."""
+    for seed in range(30):
+        r = random.Random(seed)
+        x = np.array([r.randrange(10**6) for _ in range(160)], np.uint32)
+        y = np.concatenate([np.arange(7, dtype=np.uint32), x])
+        y[[7 + at for at in r.sample(range(160), 12)]] += 10**6
+        seeds = np.array([k for k in range(20, 140) if (x[k : k + 4] == y[k + 7 : k + 11]).all() and r.random() < 0.4], np.int32)
+        got = passages.align(x, y, seeds, seeds + np.int32(7), 0.8)
+        wrong = [int((x[min(i, k + 4) : k + 4] != y[min(i, k + 4) + 7 : k + 11]).sum()) for i, k in zip([seeds[0], *(seeds[:-1] + 4)], seeds, strict=True)]
+        ((a, z, c, e, same),) = got
+        left, _, one = passages.extend(x[: seeds[0]][::-1], y[: seeds[0] + 7][::-1])
+        right, _, two = passages.extend(x[seeds[-1] + 4 :], y[seeds[-1] + 11 :])
+        assert (a, z, c, e) == (seeds[0] - left, seeds[-1] + 4 + right, seeds[0] - left + 7, seeds[-1] + 11 + right)
+        assert abs(same - (1 - (sum(wrong) + one + two) / (z - a))) < 1e-9
+
+
 def test_repeated_passages_are_found(spark):
     """Exact and fuzzy passages of over 50 words in long texts; own texts stay out."""
     r, passage, docs, holds = random.Random(7), common.prose(400, 70).split(), {}, {}

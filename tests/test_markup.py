@@ -1,12 +1,15 @@
 """Golden pages for HTML and wikitext."""
 
+import hashlib
 import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from corpusloom.functions import fixed
 from corpusloom.operators import batches, chunking, filters, markup
+from corpusloom.plans import catalog_formats
 
 HTML = """<html><head><title>t</title><script>var x = "<p>no</p>";</script></head><body>
 <div class="wiki-header-title"><h1> Title &amp; more </h1></div><h1>Other</h1>
@@ -188,3 +191,12 @@ def test_results_by_pieces_are_whole(spark):
     arrays = spark.createDataFrame([(1, [1, 2]), (2, []), (3, None)], "id int, a array<bigint>")
     total = batches.with_result(arrays, "a", "s", "array<bigint>", lambda a: [] if a is None else a[::-1])
     assert sorted(map(tuple, total.collect())) == [(1, [1, 2], [2, 1]), (2, [], []), (3, None, [])]
+
+
+def test_wiki_chunks_have_the_box(spark, tmp_path):
+    """The parameters that sections keep of a box reach the chunks, under the box's heading."""
+    rows = [(7, "one two three four\nfive six seven", "s"), (8, "a b c d e", "t"), (9, None, "u")]
+    spark.createDataFrame(rows, "doc_id bigint, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = catalog_formats.wiki_chunks(spark, str(tmp_path)).where(F.col("input").contains(fixed.INFOBOX_HEADING)).collect()
+    want = {(i, hashlib.md5(f"kanji: k{i}; users: u{i}".encode()).hexdigest()) for i in (7, 8)}
+    assert {(r.page_id, r.response) for r in got} == want and len(got) == 2

@@ -471,6 +471,58 @@ def test_only_couples_that_ask_are_looked_up(spark):
     assert places.groupBy("couple").agg({"nth": "max", "*": "count"}).where("`max(nth)` <> `count(1)`").count() == 0
 
 
+def test_documents_of_one_cycle_meet_at_few_places(spark, monkeypatch):
+    """Places with the same words around are tried once for each pair of documents, so what is met does not grow with how often a text repeats itself."""
+    line, labels = common.prose(950, 22), {}
+
+    def counted(df, label):
+        out = written(df, label)
+        labels.setdefault(label, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(passages, "written", counted)
+    rows = [(i, f"{common.prose(960 + i, 30)} {line} {_own(line, 100, i)} {common.prose(980 + i, 30)}") for i in range(8)]
+    assert passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).count() == 0
+    met = sum(labels["further"][1:]) + sum(labels.get("tried", [0]))
+    assert met < 3_000, (met, labels)
+
+
+def _own(line, times, i):
+    """`line` over and over, each time between 40 words of the document, the same ones each time."""
+    return " ".join([f"{common.prose(1000 + i, 40)} {line}"] * times)
+
+
+def test_couples_farther_apart_than_a_passage_allows(spark):
+    """Couples whose two seeds are much farther apart in one document are met only beside a passage that is known."""
+    rows = [(9, 1, 0, 50, False), (9, 2, 100, 50, True), (9, 3, 200, 14, False)]
+    asks = spark.createDataFrame(rows, "doc long, couple long, pos int, gap int, beside boolean")
+    places = spark.createDataFrame([(c, 5, 7, 12) for c in (1, 2, 3)], "couple long, doc long, pos int, gap int")
+    assert {r.pos for r in passages._met(asks, places, differ=0.2).collect()} == {100, 200}
+    assert {r.pos for r in passages._met(asks, places).collect()} == {0, 100, 200}
+
+
+def test_places_alike_are_taken_once(spark):
+    """Of places with the same MARGIN words around them the first stays; other words, another distance or another document make another place."""
+    cycle, odd = common.prose(990, 20), common.prose(991, 20)
+    d = spark.createDataFrame([(1, " ".join([cycle] * 20 + [odd] + [cycle] * 20)), (2, " ".join([cycle] * 20))], "doc_id long, text string")
+    places = [(7, doc, 20 * k, 14) for doc, n in ((1, 41), (2, 20)) for k in range(n) if k != 20 or doc == 2] + [(8, 1, 3, 14), (7, 1, 0, 30)]
+    places = spark.createDataFrame(places, "couple long, doc long, pos int, gap int")
+    got = sorted((x.doc, x.couple, x.gap, x.pos // 20) for x in passages.alike_once(places, d).collect())
+    # Within 64 words, before 3 whole cycles and a part of one, after 3 of them, begins or ends a text or another line.
+    start, end = [0, 1, 2, 3], [16, 17, 18, 19]
+    assert got == [(1, 7, 14, k) for k in [*start, 4, *end, 21, 22, 23, 24, 37, 38, 39, 40]] + [(1, 7, 30, 0), (1, 8, 14, 0)] + [(2, 7, 14, k) for k in [*start, 4, *end]]
+
+
+def test_long_runs_at_the_edge_of_a_task(spark):
+    """A run of one long seed over several tasks: the first rows of the later tasks are matched as a long run, too."""
+    seed = (1 << 62) + 12_345
+    rows = [(seed, doc, 3) for doc in range(400)]
+    pairs, _ = passages.matches(spark.createDataFrame(rows, "seed long, doc long, pos int").repartition(8))
+    got = pairs.collect()
+    assert {r.doc for r in got} == set(range(1, 400)) and sum(r.lead == 0 for r in got) < 399
+    assert {r.long for r in got} == {passages.WIDE}
+
+
 def test_alignment_of_one_diagonal(spark):
     """Seeds on one diagonal, with changed words between them, align as they do where every stretch is compared."""
     for seed in range(30):
